@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media_gif, pii, quality_gam, quality_rules
+from . import bpe, line_dedup, media_gif, mixing, ngram_join, pii, quality_gam, quality_rules, token_counts, url_filters
 from .common import table
 from .labelled import held_out
 
 
+#: The rules that the contract fixes: verdict, host, path prefix.
+URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict."""
+    return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op2_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a GIF, read back: payload and media digests, histogram feature."""
     docs = table(spark, sf_dir, "documents")
@@ -24,6 +33,23 @@ def op2_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pre-tokens and unigram tokens of every document."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    mixed = mixing.assign(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every document that repeat an earlier one, with the document that keeps them."""
+    spans = line_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return spans.select("doc_id", "start", "stop", "n_words", "kept_doc_id")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and the calibrated n-gram classifier over every document."""
     docs = table(spark, sf_dir, "documents")
@@ -38,6 +64,11 @@ def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality_gam.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and near-duplicate component of every document."""
+    return ngram_join.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the text decoded from them, as digests."""
     coded = bpe.encode(table(spark, sf_dir, "documents"))
@@ -54,9 +85,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-#: Rows that DuckDB can make: the base columns of rules 6 can't be listed alone, so only whole results are here.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.SQL}
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (op2_media_gif, op6_quality_rules, op7_quality_gam, op9_bpe, op10_pii)}
+    return {q.__name__: q for q in (op1_url_filters, op2_media_gif, op3_token_counts, op4_mixing, op5_line_dedup, op6_quality_rules, op7_quality_gam, op8_ngram_join, op9_bpe, op10_pii)}
