@@ -83,6 +83,14 @@ def in_part(c: Column | str, part: int, parts: int, hasher=portable_hash) -> Col
 
 
 def with_canonical_kmers(reads: DataFrame, k: int = K, packed: bool = False) -> DataFrame:
-    """sample_id and one kmer per N-free window of each read."""
-    word = pack("kmer") if packed else F.col("kmer")
-    return reads.select("sample_id", F.explode(canonical_kmers("seq", k)).alias("kmer")).select("sample_id", word.alias("kmer"))
+    """sample_id and one kmer per N-free window of each read.
+
+    Window starts are exploded and the words cut by plain expressions, so all of it is compiled code;
+    the reverse complement is made once per read.
+    """
+    n = F.length("seq")
+    long = reads.where(n >= k).select("sample_id", "seq", reverse_complement("seq").alias("rc"), F.explode(F.sequence(F.lit(1), n - (k - 1))).alias("i"))
+    word, other = F.substring("seq", F.col("i"), F.lit(k)), F.substring("rc", n - F.col("i") - (k - 2), F.lit(k))
+    words = long.select("sample_id", word.alias("w"), other.alias("r")).where(~F.contains("w", F.lit("N")) & ~F.contains("w", F.lit("n")))
+    kmer = F.least("w", "r")
+    return words.select("sample_id", (pack(kmer) if packed else kmer).alias("kmer"))
