@@ -330,7 +330,7 @@ _LONGS = pa.list_(pa.int64())
 _FRAME = pa.struct([("frame", pa.int32()), ("start_cs", pa.int64()), ("delay_cs", pa.int32()), ("left", pa.int32()), ("top", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("disposal", pa.int32()), ("rgba", pa.binary()), ("red", _LONGS), ("green", _LONGS), ("blue", _LONGS)])
 
 
-def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", compress: bool = False) -> DataFrame:
+def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", compress: bool = True) -> DataFrame:
     """Rows of id, n_bytes and media: each text's UTF-8 bytes, padded by zeros to rows of 64, as a GIF."""
     kind = dict(docs.select(id_col).dtypes)[id_col]
 

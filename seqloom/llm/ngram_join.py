@@ -15,8 +15,8 @@ when it has fewer words). Two sets with Jaccard similarity J >= 0.8 have a symme
 3. Join. Map tasks send packed (key, set) runs by key range; a reducer sorts a range and keeps the keys
    that different sets share. Equal sets are one node, and each node is first compared with the least
    node that it shares a key with; links found are contracted to components. Only keys that still hold
-   several components give pairs between them, which are filtered by size and verified with the exact
-   sets. So a group of thousands of near copies costs a comparison each, not their square.
+   several components give pairs between them. A pair of link size that shares fewer parts than a link
+   must (all but its largest difference) is dropped; the others are verified with the exact sets. So a group of thousands of near copies costs a comparison each, not their square.
 
 Empty texts and texts without words have an empty set and are alone. Rows of one id count as one document
 (linked by any of its texts); null ids stay as rows of their own. Shingle hashes have 64 bits.
@@ -88,8 +88,11 @@ def part_keys(value: np.ndarray, row: np.ndarray, parts: np.ndarray, salt: np.nd
     return mix(word[keep] + mix(salt[row[at]] + part[at] * U(0x9E3779B97F4A7C15))), row[at]
 
 
-def join_keys(value: np.ndarray, row: np.ndarray, size: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All keys of the rows, with their row: at home in the band of their size, and as the larger of a pair in the band below."""
+def join_keys(value: np.ndarray, row: np.ndarray, size: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All keys of the rows, their row, and the number of keys that the row has of the same kind.
+
+    A row has keys at home in the band of its size, and as the larger of a pair in the band below.
+    """
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, value), len(frequent) - 1)
         rare = frequent[at] != value
@@ -110,11 +113,12 @@ def join_keys(value: np.ndarray, row: np.ndarray, size: np.ndarray, frequent: np
                 key, owner = part_keys(v, r, parts, salt)
             else:
                 key, owner = mix(v + salt[r]), r
-            out.append((key, owner))
-            open_ &= np.bincount(owner, minlength=len(size)) <= most
+            count = np.bincount(owner, minlength=len(size))
+            out.append((key, owner, count[owner]))
+            open_ &= count <= most
             if not open_.any():
                 break
-    return np.concatenate([k for k, _ in out]), np.concatenate([o for _, o in out])
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def node_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,23 +147,27 @@ def frequent_shingles(nodes: DataFrame) -> np.ndarray:
 
 
 def shared_keys(docs: DataFrame, frequent: np.ndarray, bits: int, text_col: str = "text") -> DataFrame:
-    """key, node, size, lead: the keys that several nodes have, each with the least node of the key."""
+    """key, node, size, parts, lead, lead_size: the keys that several nodes have, each with the least node of the key.
 
-    def pack(keys: list[np.ndarray], nodes: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
-        key, node, size = np.concatenate(keys), np.concatenate(nodes), np.concatenate(sizes)
+    parts is the number of keys of that kind that the node has: two sets whose difference is at most D
+    share all but D of the parts of either.
+    """
+
+    def pack(*held: list[np.ndarray]) -> pa.RecordBatch:
+        key, node, size, parts = (np.concatenate(x) for x in held)
         order = np.argsort(key)
-        key, node, size = key[order], node[order], size[order]
+        key, node, size, parts = key[order], node[order], size[order], np.minimum(parts[order], (1 << 24) - 1)
         bucket = (key >> U(64 - bits)).astype(np.int64)
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         edges = [0, *cuts.tolist(), len(key)]
         # Below the range's own bits 40 more tell keys apart; a chance meeting only costs a comparison.
         low = ((key << U(bits)) >> U(24)).astype("<u8")
         head, tail = (low >> U(8)).astype("<u4"), (low & U(255)).astype(np.uint8)
-        runs = [head[a:b].tobytes() + tail[a:b].tobytes() + node[a:b].tobytes() + size[a:b].astype("<u4").tobytes() for a, b in zip(edges, edges[1:])]
+        runs = [head[a:b].tobytes() + tail[a:b].tobytes() + node[a:b].tobytes() + size[a:b].astype("<u4").tobytes() + parts[a:b].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes() for a, b in zip(edges, edges[1:])]
         return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]], pa.int32()), pa.array(runs, pa.binary())], names=["bucket", "run"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list, list] = ([], [], [])
+        held: tuple[list, ...] = ([], [], [], [])
         count, seen = 0, np.zeros(0, np.int64)
         for batch in slices(batches, "text", SLICE):
             value, row = shingles(*flat_bytes(batch.column(0)))
@@ -170,44 +178,46 @@ def shared_keys(docs: DataFrame, frequent: np.ndarray, bits: int, text_col: str
             fresh &= ~np.isin(node, seen) & (size > 0)
             seen = np.union1d(seen, node)
             keep = fresh[row]
-            key, owner = join_keys(value[keep], row[keep], np.where(fresh, size, 0), frequent)
-            for part, x in zip(held, (key, node[owner], size[owner])):
+            key, owner, parts = join_keys(value[keep], row[keep], np.where(fresh, size, 0), frequent)
+            for part, x in zip(held, (key, node[owner], size[owner], parts)):
                 part.append(x)
             count += len(key)
             if count >= FLUSH_KEYS:
                 yield pack(*held)
-                held, count, seen = ([], [], []), 0, np.zeros(0, np.int64)
+                held, count, seen = ([], [], [], []), 0, np.zeros(0, np.int64)
         if count:
             yield pack(*held)
 
     def meet(runs: list[bytes], bucket: int) -> pa.RecordBatch | None:
-        parts = []
+        columns = []
         for run in runs:
-            n = len(run) // 17
-            parts.append((np.frombuffer(run, "<u4", n).astype(np.int64) << 8 | np.frombuffer(run, np.uint8, n, 4 * n), np.frombuffer(run, "<i8", n, 5 * n), np.frombuffer(run, "<u4", n, 13 * n)))
-        key, node, size = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(key, kind="stable")
-        key, node, size = key[order], node[order], size[order]
+            n = len(run) // 20
+            few = np.zeros((n, 4), dtype=np.uint8)
+            few[:, :3] = np.frombuffer(run, np.uint8, 3 * n, 17 * n).reshape(n, 3)
+            low = np.frombuffer(run, "<u4", n).astype(np.int64) << 8 | np.frombuffer(run, np.uint8, n, 4 * n)
+            columns.append((low, np.frombuffer(run, "<i8", n, 5 * n), np.frombuffer(run, "<u4", n, 13 * n), few.view("<u4")[:, 0]))
+        key = np.concatenate([c[0] for c in columns])
+        order = np.argsort(key)
         same = np.zeros(len(key) + 1, dtype=bool)
-        same[1:-1] = key[1:] == key[:-1]
-        several = np.flatnonzero(same[1:] | same[:-1])
+        same[1:-1] = key[order][1:] == key[order][:-1]
+        several = order[same[1:] | same[:-1]]
         if not len(several):
             return None
-        key, node, size = key[several], node[several], size[several]
+        key, node, size, parts = key[several], *(np.concatenate([c[i] for c in columns])[several].astype(np.int64) for i in (1, 2, 3))
         order = np.lexsort((node, key))
-        key, node, size = key[order], node[order], size[order]
+        key, node, size, parts = key[order], node[order], size[order], parts[order]
         new = np.ones(len(key), dtype=bool)
         new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        key, node, size = key[new], node[new], size[new]
+        key, node, size, parts = key[new], node[new], size[new], parts[new]
         first = np.ones(len(key), dtype=bool)
         first[1:] = key[1:] != key[:-1]
         length = np.diff(np.append(np.flatnonzero(first), len(key)))
-        lead = np.repeat(node[first], length)
         keep = np.repeat(length > 1, length)
         if not keep.any():
             return None
-        whole = np.int64(bucket) << 40 | key[keep]
-        return pa.RecordBatch.from_arrays([pa.array(whole), pa.array(node[keep]), pa.array(size[keep].astype(np.int64)), pa.array(lead[keep])], names=["key", "node", "size", "lead"])
+        lead, lead_size = np.repeat(node[first], length), np.repeat(size[first], length)
+        whole = np.int64(bucket) << 40 | key
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (whole, node, size, parts, lead, lead_size)], names=["key", "node", "size", "parts", "lead", "lead_size"])
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, now = [], None
@@ -222,7 +232,7 @@ def shared_keys(docs: DataFrame, frequent: np.ndarray, bits: int, text_col: str
             yield out
 
     sent = docs.select(docs[text_col].alias("text")).where("text is not null").mapInArrow(send, "bucket int, run binary")
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(receive, "key long, node long, size long, lead long")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(receive, "key long, node long, size long, parts long, lead long, lead_size long")
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -239,10 +249,14 @@ def verify(pairs: DataFrame, docs: DataFrame, places: DataFrame, text_col: str =
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()  # a repeated row is hashed, but goes on once per task
         for batch in slices(batches, "text", SLICE):
             value, row = shingles(*flat_bytes(batch.column(2)))
             size, node, _ = set_hashes(value, row, batch.num_rows)
             right = node == batch.column(0).to_numpy(zero_copy_only=False)
+            for i in np.flatnonzero(right).tolist():
+                right[i] = node[i] not in done
+                done.add(node[i])
             ends = np.cumsum(size)
             found = [value[e - n : e].tobytes() for e, n in zip(ends, size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["node", "others", "shingles"]).filter(pa.array(right))
@@ -261,9 +275,9 @@ def verify(pairs: DataFrame, docs: DataFrame, places: DataFrame, text_col: str =
     schema = "node long, others array<long>, shingles binary"
     left = texts.join(small(by_a), texts["doc"] == by_a["doc_id"]).select("node", "others", "text").mapInArrow(sets, schema)
     right = texts.join(small(by_b), texts["doc"] == by_b["doc_id"]).select("node", "others", "text").mapInArrow(sets, schema)
-    one = left.select(F.col("node").alias("a"), F.explode("others").alias("b"), F.col("shingles").alias("x")).dropDuplicates(["a", "b"])
-    two = right.select(F.col("node").alias("b"), F.col("shingles").alias("y")).dropDuplicates(["b"])
-    return map_arrow(one.join(two, "b").select("a", "b", "x", "y"), check, "a long, b long", "x", 8 << 20)
+    one = left.select(F.col("node").alias("a"), F.explode("others").alias("b"), F.col("shingles").alias("x"))
+    two = right.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return map_arrow(one.join(two, "b").select("a", "b", "x", "y"), check, "a long, b long", "x", 8 << 20).distinct()
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,17 +289,20 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(1, 0.6 * total / RANGE_KEYS))), 4, 20))
     keyed = scratch.cut(shared_keys(docs.where("doc_id is not null"), frequent_shingles(nodes), bits))
-    # A node and the least node that shares a key with it.
-    stars = scratch.cut(keyed.where("node <> lead").groupBy("node").agg(F.min("lead").alias("lead")))
+    # A node and the least node of a key, where they share as many keys as a link needs; the one with most of them.
+    met = keyed.where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("shared"), F.min(F.col("parts") - F.floor((F.col("size") + F.col("lead_size")) / 9)).alias("need"))
+    stars = scratch.cut(met.where("shared >= need").groupBy("node").agg(F.max(F.struct("shared", "lead")).alias("best")).select("node", F.col("best.lead").alias("lead")))
     links = scratch.cut(verify(stars.select(F.col("node").alias("a"), F.col("lead").alias("b")), docs, places))
     groups = scratch.cut(connected_components(links, scratch))
     # Keys that still hold several components: their nodes meet the nodes of the others.
-    known = keyed.join(small(groups), "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("group"))
+    known = keyed.join(small(groups), "node", "left").select("key", "node", "size", "parts", F.coalesce("component", "node").alias("group"))
     mixed = scratch.cut(known.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key"))
     rest = known.join(small(mixed), "key")
-    left, right = rest.select("key", F.col("node").alias("a"), F.col("size").alias("m"), F.col("group").alias("g")), rest.select("key", F.col("node").alias("b"), F.col("size").alias("n"), F.col("group").alias("h"))
+    left, right = rest.toDF("key", "a", "m", "p", "g"), rest.toDF("key", "b", "n", "q", "h")
     near = (F.col("g") < F.col("h")) & (5 * F.least("m", "n") >= 4 * F.greatest("m", "n"))
-    pairs = scratch.cut(left.join(right, "key").where(near).select("a", "b").distinct())
+    need = F.greatest("p", "q") - F.floor((F.col("m") + F.col("n")) / 9)
+    shared = left.join(right, "key").where(near).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(need).alias("need"))
+    pairs = scratch.cut(shared.where("shared >= need").select("a", "b"))
     links = scratch.cut(links.union(verify(pairs, docs, places)))
     groups = scratch.cut(connected_components(links, scratch))
     # Documents of one node, and nodes of one document, are linked too.
