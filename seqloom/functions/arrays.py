@@ -34,7 +34,8 @@ def ntiles(n: int, ordered: Column | str) -> Column:
     """n + 1 elements of an ordered array at round(i / n * (size - 1)); empty for an empty array."""
     a = col(ordered)
     at = lambda i: F.element_at(a, (F.round(i / F.lit(n) * (F.size(a) - 1)) + 1).cast("int"))
-    return F.when(F.size(a) > 0, F.transform(F.sequence(F.lit(0), F.lit(n)), at))
+    tiles = F.when(F.size(a) > 0, F.sequence(F.lit(0), F.lit(n))).otherwise(F.array().cast("array<int>"))
+    return F.transform(tiles, at)
 
 
 def round_div(a, b) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ def numbered_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     Lines are numbered within each block of a file, after the counts of the file's blocks before it, so
     no task holds more than a block (a compressed file is one block).
     """
-    raw = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"))
+    raw = spark.read.text(list(paths)).select("value", F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"))
     counts = raw.groupBy("path", "block").agg(F.count("*").alias("rows"))
     before = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     ahead = counts.select("path", "block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("ahead"))
@@ -33,7 +34,7 @@ def numbered_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 def qualified(spark: SparkSession, path: str) -> str:
     """A path as the engine's file metadata writes it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toUri().toString().replace("file:/", "file:///", 1).replace("file://///", "file:///")
+    return re.sub("^file:/+", "file:/", where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toUri().toString())
 
 
 def fastq(spark: SparkSession, paths: Sequence[str], part: int | None = None, parts: int = 1) -> DataFrame:
