@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, flat_bytes, map_arrow, word_spans
+from .common import IS_SPACE, Scratch, flat_bytes, map_arrow, word_spans
 from .text_kernel import LOWER, STEPS, U, hash_units, line_spans, mix
 
 LINE_WORDS = 5
@@ -88,11 +88,12 @@ def unit_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def repeated_spans(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """What to remove: doc_id, version, start, stop, n_words, kept_doc_id (the smallest that keeps a copy of a unit of it).
 
-    The earliest occurrence of each digest comes from a partial aggregation; the join back to the units
-    meets one row per digest, so a frequent line is split by adaptive execution and never gathered.
+    The earliest occurrence of each digest comes from a partial aggregation and is written out, so that the
+    join back to the units has a plain table of one row per digest on its other side: adaptive execution
+    can then split a frequent line, which is never gathered.
     """
     every = unit_table(docs, id_col, text_col)
-    first = every.groupBy("digest", "kind").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "version", "start")).alias("first")).where("n > 1").select("digest", "kind", "first")
+    first = Scratch(docs.sparkSession).cut(every.groupBy("digest", "kind").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "version", "start")).alias("first")).where("n > 1").select("digest", "kind", "first"))
     place = F.struct("doc_id", "version", "start")
     later = every.join(first, ["digest", "kind"]).where(place != F.col("first")).select("doc_id", "version", "kind", "number", "start", "stop", "words", F.col("first.doc_id").alias("kept"))
     row = W.partitionBy("doc_id", "version")
