@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,8 +10,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scratch import Scratch, shared_dir
+
 #: Bytes that separate words: space and the ASCII controls tab to carriage return.
 SPACES = b" \t\n\x0b\x0c\r"
+__all__ = ["IS_SPACE", "SLICE_BYTES", "SPACES", "WORD", "Scratch", "flat_bytes", "map_arrow", "shared_dir", "slices", "table", "texts_of", "tokenizer_path", "word_spans"]
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[list(SPACES)] = True
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,38 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests) a temporary one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Written tables in the shared folder: they cut lineage and survive lost executors."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def write(self, df: DataFrame) -> tuple[DataFrame, str]:
-        path = f"{self.root}/{self.count}"
-        self.count += 1
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path), path
-
-    def cut(self, df: DataFrame) -> DataFrame:
-        return self.write(df)[0]
-
-    def drop(self, path: str) -> None:
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def slices(batches: Iterator[pa.RecordBatch], by: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that the column `by` holds about `most` bytes in each."""
     for batch in batches:

@@ -13,10 +13,12 @@ when it has fewer words). Two sets with Jaccard similarity J >= 0.8 have a symme
    full set, and, if those are too few, by its single shingles. As a partner that has enough parts is found
    by the level above, no link is lost.
 3. Join. Map tasks send packed (key, set) runs by key range; a reducer sorts a range and keeps the keys
-   that different sets share. Equal sets are one node, and each node is first compared with the least
-   node that it shares a key with; links found are contracted to components. Only keys that still hold
-   several components give pairs between them. A pair of link size that shares fewer parts than a link
-   must (all but its largest difference) is dropped; the others are verified with the exact sets. So a group of thousands of near copies costs a comparison each, not their square.
+   that different sets share. Equal sets are one node. Each node is first verified against one centre: of
+   its keys' nodes with most shared keys the one it has most in common with. Links found are contracted to
+   components, so a group of thousands of near copies costs a comparison each, not their square.
+4. Verify. Keys that still hold several components are compared in blocks: parity bit sketches, in which
+   every shingle flips one bit, bound the symmetric difference from below by their Hamming distance, and
+   only pairs within the bound of a link leave the block, to be verified with the exact sets.
 
 Empty texts and texts without words have an empty set and are alone. Rows of one id count as one document
 (linked by any of its texts); null ids stay as rows of their own. Shingle hashes have 64 bits.
@@ -31,18 +33,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
 from .common import Scratch, flat_bytes, map_arrow, slices
-from .components import connected_components
 from .text_kernel import U, mix, shingles
 
-SLICE = 1 << 20
+SLICE = 512 << 10
 BAND = 1.4
 #: Parts of a scheme per shingle of its band's upper end.
 PARTS = 0.33
 #: Keys that a map task gathers before it sends them, and about those that a reducer sorts at once.
-FLUSH_KEYS, RANGE_KEYS = 600_000, 500_000
+FLUSH_KEYS, RANGE_KEYS = 200_000, 400_000
 #: One in so many sets tells which shingles are very frequent: those in FREQUENT of them; at most MOST_FREQUENT.
 SAMPLE, FREQUENT, MOST_FREQUENT = 64, 8, 100_000
+#: Bits of a bit sketch, as powers of two, and the rows of one key that a task compares with as many others.
+LEAST_BITS, MOST_BITS, BLOCK = 6, 13, 2048
 #: A side of at most so many rows of two numbers is broadcast (32 MB); a larger one is shuffled.
 BROADCAST_ROWS = 2_000_000
 
@@ -121,8 +125,63 @@ def join_keys(value: np.ndarray, row: np.ndarray, size: np.ndarray, frequent: np
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def bit_sketches(value: np.ndarray, row: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Parity bit sketches: each shingle flips one of m bits, m being the power of two from the set's size on.
+
+    The Hamming distance of two sketches (the longer folded by XOR) is at most the symmetric difference.
+    """
+    bits = 1 << np.clip(np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+    begin = np.cumsum(bits) - bits
+    place = (mix(value + U(7)) & (bits[row] - 1).astype(np.uint64)).astype(np.int64) + begin[row]
+    parity = np.bincount(place, minlength=int(bits.sum())).astype(np.uint8) & 1
+    flat = np.packbits(parity, bitorder="little").tobytes()
+    return [flat[a : a + n] for a, n in zip((begin // 8).tolist(), (bits // 8).tolist())]
+
+
+def fold(sketch: np.ndarray, width: int) -> np.ndarray:
+    """Rows of 64-bit words folded to `width` words."""
+    while sketch.shape[1] > width:
+        half = sketch.shape[1] // 2
+        sketch = sketch[:, :half] ^ sketch[:, half:]
+    return sketch
+
+
+def close_pairs(node: np.ndarray, size: np.ndarray, group: np.ndarray, side: np.ndarray, sketch: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places i, j and sketch distance of rows of different groups whose sizes and sketches allow a link.
+
+    side: -1 for rows that meet all others, or 0 and 1 for rows that meet the other side only.
+    Rows are compared in blocks, those with sketches of one length at a time.
+    """
+    width = np.array([len(s) // 8 for s in sketch])
+    kinds = {w: np.flatnonzero(width == w) for w in np.unique(width)}
+    words = {w: np.frombuffer(b"".join(sketch[i] for i in at), dtype="<u8").reshape(len(at), w) for w, at in kinds.items()}
+    left, right, apart = [], [], []
+    for w, at in kinds.items():
+        for v, other in kinds.items():
+            if v < w or v > 2 * w:  # link sizes differ by less than a factor of two
+                continue
+            theirs = fold(words[v], w)
+            step = max(1, (1 << 20) // max(1, len(other) * w))
+            for a in range(0, len(at), step):
+                i = at[a : a + step]
+                s, t = size[i][:, None], size[other][None, :]
+                fit = (group[i][:, None] != group[other][None, :]) & (5 * np.minimum(s, t) >= 4 * np.maximum(s, t))
+                fit &= (side[i][:, None] < 0) | (side[i][:, None] != side[other][None, :])
+                if v == w:
+                    fit &= node[i][:, None] < node[other][None, :]
+                x, y = np.nonzero(fit)
+                if len(x):
+                    far = np.bitwise_count(words[w][a + x] ^ theirs[y]).sum(axis=1, dtype=np.int64)
+                    good = 9 * far <= size[i][x] + size[other][y]
+                    left.append(i[x[good]])
+                    right.append(other[y[good]])
+                    apart.append(far[good])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right), np.concatenate(apart)) if left else (none, none, none)
+
+
 def node_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, node (hash of the set; 0 when empty), second fingerprint, and the shingles of one set in SAMPLE."""
+    """doc_id, n_shingles, node (hash of the set; 0 when empty), second fingerprint, bit sketch, and the shingles of one set in SAMPLE."""
     kind = dict(docs.select(id_col).dtypes)[id_col]
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -132,11 +191,11 @@ def node_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         picked = (one.view(np.uint64) % U(SAMPLE) == 0) & (size > 0)
         sample = [value[b - n : b].view(np.int64).tolist() if p else None for b, n, p in zip(ends, size, picked)]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(size, pa.int64()), pa.array(one), pa.array(two), pa.array(sample, pa.list_(pa.int64()))],
-            names=["doc_id", "n_shingles", "node", "twin", "sample"],
+            [batch.column(0), pa.array(size, pa.int64()), pa.array(one), pa.array(two), pa.array(bit_sketches(value, row, size), pa.binary()), pa.array(sample, pa.list_(pa.int64()))],
+            names=["doc_id", "n_shingles", "node", "twin", "sketch", "sample"],
         )
 
-    return map_arrow(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), kernel, f"doc_id {kind}, n_shingles long, node long, twin long, sample array<long>", "text", SLICE)
+    return map_arrow(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), kernel, f"doc_id {kind}, n_shingles long, node long, twin long, sketch binary, sample array<long>", "text", SLICE)
 
 
 def frequent_shingles(nodes: DataFrame) -> np.ndarray:
@@ -147,16 +206,17 @@ def frequent_shingles(nodes: DataFrame) -> np.ndarray:
 
 
 def shared_keys(docs: DataFrame, frequent: np.ndarray, bits: int, text_col: str = "text") -> DataFrame:
-    """key, node, size, parts, lead, lead_size: the keys that several nodes have, each with the least node of the key.
+    """key, node, size, parts, many: the keys that several nodes have, with their number.
 
     parts is the number of keys of that kind that the node has: two sets whose difference is at most D
     share all but D of the parts of either.
     """
 
     def pack(*held: list[np.ndarray]) -> pa.RecordBatch:
-        key, node, size, parts = (np.concatenate(x) for x in held)
+        key = np.concatenate(held[0])
         order = np.argsort(key)
-        key, node, size, parts = key[order], node[order], size[order], np.minimum(parts[order], (1 << 24) - 1)
+        key, node, size, parts = key[order], *(np.concatenate(x)[order] for x in held[1:])
+        parts = np.minimum(parts, (1 << 24) - 1)
         bucket = (key >> U(64 - bits)).astype(np.int64)
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         edges = [0, *cuts.tolist(), len(key)]
@@ -179,7 +239,7 @@ def shared_keys(docs: DataFrame, frequent: np.ndarray, bits: int, text_col: str
             seen = np.union1d(seen, node)
             keep = fresh[row]
             key, owner, parts = join_keys(value[keep], row[keep], np.where(fresh, size, 0), frequent)
-            for part, x in zip(held, (key, node[owner], size[owner], parts)):
+            for part, x in zip(held, (key, node[owner], size[owner].astype(np.uint32), parts.astype(np.uint32))):
                 part.append(x)
             count += len(key)
             if count >= FLUSH_KEYS:
@@ -215,24 +275,23 @@ def shared_keys(docs: DataFrame, frequent: np.ndarray, bits: int, text_col: str
         keep = np.repeat(length > 1, length)
         if not keep.any():
             return None
-        lead, lead_size = np.repeat(node[first], length), np.repeat(size[first], length)
         whole = np.int64(bucket) << 40 | key
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (whole, node, size, parts, lead, lead_size)], names=["key", "node", "size", "parts", "lead", "lead_size"])
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (whole, node, size, parts, np.repeat(length, length))], names=["key", "node", "size", "parts", "many"])
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, now = [], None
         for batch in batches:
-            for bucket, run in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i, bucket in enumerate(batch.column(0).to_pylist()):
                 if bucket != now:
                     if runs and (out := meet(runs, now)) is not None:
                         yield out
                     runs, now = [], bucket
-                runs.append(run)
+                runs.append(batch.column(1)[i].as_py())
         if runs and (out := meet(runs, now)) is not None:
             yield out
 
     sent = docs.select(docs[text_col].alias("text")).where("text is not null").mapInArrow(send, "bucket int, run binary")
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(receive, "key long, node long, size long, parts long, lead long, lead_size long")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(receive, "key long, node long, size long, parts long, many long")
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -270,14 +329,60 @@ def verify(pairs: DataFrame, docs: DataFrame, places: DataFrame, text_col: str =
         return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     texts = docs.select(F.col("doc_id").alias("doc"), F.col(text_col).alias("text"))
-    by_a = pairs.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("others")).join(places, "node")
-    by_b = pairs.select(F.col("b").alias("node")).distinct().join(places, "node").withColumn("others", F.lit(None).cast("array<long>"))
+    by_a = pairs.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("others")).join(places.select("node", "doc_id"), "node")
+    by_b = pairs.select(F.col("b").alias("node")).distinct().join(places.select("node", "doc_id"), "node").withColumn("others", F.lit(None).cast("array<long>"))
     schema = "node long, others array<long>, shingles binary"
     left = texts.join(small(by_a), texts["doc"] == by_a["doc_id"]).select("node", "others", "text").mapInArrow(sets, schema)
     right = texts.join(small(by_b), texts["doc"] == by_b["doc_id"]).select("node", "others", "text").mapInArrow(sets, schema)
     one = left.select(F.col("node").alias("a"), F.explode("others").alias("b"), F.col("shingles").alias("x"))
     two = right.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return map_arrow(one.join(two, "b").select("a", "b", "x", "y"), check, "a long, b long", "x", 8 << 20).distinct()
+    return map_arrow(one.join(two, "b").select("a", "b", "x", "y"), check, "a long, b long", "x", 2 << 20).distinct()
+
+
+def between(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs whose nodes are in different components, with these (g < h)."""
+    of = small(groups)
+    known = pairs.join(of.toDF("a", "ga"), "a", "left").join(of.toDF("b", "gb"), "b", "left").select("a", "b", "far", F.coalesce("ga", "a").alias("ga"), F.coalesce("gb", "b").alias("gb"))
+    return known.where("ga <> gb").select("a", "b", "far", F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h"))
+
+
+def crossing_pairs(keyed: DataFrame, groups: DataFrame, places: DataFrame, scratch: Scratch) -> DataFrame:
+    """a, b and sketch distance of nodes that share a key, but no component, and may be linked.
+
+    The nodes of a key meet in blocks of BLOCK rows, each pair of blocks in a place of its own, so that a key
+    of any size is spread; only pairs that pass the bounds of sizes and bit sketches leave the block.
+    """
+    known = keyed.join(small(groups), "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("group"))
+    mixed = scratch.cut(known.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("rows")).where("low < high").select("key", F.ceil(F.col("rows") / BLOCK).alias("blocks")))
+    rest = known.join(small(mixed), "key").join(places.select("node", "sketch"), "node")
+    rest = rest.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    where = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    dealt = rest.select(where.alias("place"), "node", "size", "group", side.cast("int").alias("side"), "sketch").repartition("place").sortWithinPartitions("place")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            place = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(place)) + 1
+            edges = [0, *cuts.tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                part = batch.slice(a, b - a)
+                if held and held[0].column(0)[0] != part.column(0)[0]:
+                    yield from pairs_of(held)
+                    held = []
+                held.append(part)
+        if held:
+            yield from pairs_of(held)
+
+    def pairs_of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        node, size, group, side = (rows.column(c).to_numpy() for c in ("node", "size", "group", "side"))
+        i, j, far = close_pairs(node, size, group, side, rows.column("sketch").to_pylist())
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(far)], names=["a", "b", "far"])
+
+    return dealt.mapInArrow(compare, "a long, b long, far long").distinct()
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,26 +390,29 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     nodes = scratch.cut(node_table(docs))
-    places = scratch.cut(nodes.where("node <> 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    places = scratch.cut(nodes.where("node <> 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")))
     total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(1, 0.6 * total / RANGE_KEYS))), 4, 20))
     keyed = scratch.cut(shared_keys(docs.where("doc_id is not null"), frequent_shingles(nodes), bits))
-    # A node and the least node of a key, where they share as many keys as a link needs; the one with most of them.
-    met = keyed.where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("shared"), F.min(F.col("parts") - F.floor((F.col("size") + F.col("lead_size")) / 9)).alias("need"))
+    # The centre of a key is its node that shares most keys with others. A node meets the centre with which it
+    # has most keys in common, if these are as many as a link needs.
+    weight = keyed.groupBy("node").agg(F.sum("many").alias("weight"))
+    weighed = keyed.join(small(scratch.cut(weight)), "node")
+    centre = weighed.groupBy("key").agg(F.max(F.struct("weight", "node", "size")).alias("c")).select("key", F.col("c.node").alias("lead"), F.col("c.size").alias("lead_size"))
+    met = keyed.join(centre, "key").where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("shared"), F.min(F.col("parts") - F.floor((F.col("size") + F.col("lead_size")) / 9)).alias("need"))
     stars = scratch.cut(met.where("shared >= need").groupBy("node").agg(F.max(F.struct("shared", "lead")).alias("best")).select("node", F.col("best.lead").alias("lead")))
     links = scratch.cut(verify(stars.select(F.col("node").alias("a"), F.col("lead").alias("b")), docs, places))
     groups = scratch.cut(connected_components(links, scratch))
-    # Keys that still hold several components: their nodes meet the nodes of the others.
-    known = keyed.join(small(groups), "node", "left").select("key", "node", "size", "parts", F.coalesce("component", "node").alias("group"))
-    mixed = scratch.cut(known.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key"))
-    rest = known.join(small(mixed), "key")
-    left, right = rest.toDF("key", "a", "m", "p", "g"), rest.toDF("key", "b", "n", "q", "h")
-    near = (F.col("g") < F.col("h")) & (5 * F.least("m", "n") >= 4 * F.greatest("m", "n"))
-    need = F.greatest("p", "q") - F.floor((F.col("m") + F.col("n")) / 9)
-    shared = left.join(right, "key").where(near).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(need).alias("need"))
-    pairs = scratch.cut(shared.where("shared >= need").select("a", "b"))
-    links = scratch.cut(links.union(verify(pairs, docs, places)))
-    groups = scratch.cut(connected_components(links, scratch))
+    pairs = scratch.cut(crossing_pairs(keyed, groups, places, scratch))
+    for last in (False, False, True):
+        # First the closest pair of two components, which may settle the others; at last all that are left.
+        apart = scratch.cut(between(pairs, groups))
+        if not apart.head(1):
+            break
+        chosen = apart if last else apart.groupBy("g", "h").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b")
+        links = scratch.cut(links.union(verify(chosen.select("a", "b"), docs, places)))
+        groups = scratch.cut(connected_components(links, scratch))
+        pairs = pairs.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
     # Documents of one node, and nodes of one document, are linked too.
     same_doc = nodes.where("node <> 0 and doc_id is not null").select("doc_id", "node").distinct()
     labelled = same_doc.join(groups, "node", "left").select("doc_id", F.coalesce("component", "node").alias("group"))
