@@ -419,3 +419,20 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = labelled.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     labelled = labelled.join(least, "group").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     return nodes.join(labelled, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+#: The same rows in DuckDB, by the pairs that share shingles.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(l[i:i + 4], ' ') AS g
+  FROM w, LATERAL unnest(range(1, greatest(len(l) - 3, least(len(l), 1) + 1))) AS t(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+sym AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(v, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.v, sym.b FROM reach JOIN sym ON reach.r = sym.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT v, min(r) AS component_id FROM reach GROUP BY v) m ON m.v = d.doc_id"""
