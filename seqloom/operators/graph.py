@@ -8,7 +8,7 @@ folder, so lineage stays short and a lost executor costs one round. A hub's edge
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
@@ -49,8 +49,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b")))
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, str, tuple]:
+    """Writes edges; their number and a sum of their hashes come with the writing, without a pass of their own."""
+    seen = Observation()
+    table, path = scratch.write(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")))
+    return table, path, (seen.get["n"], seen.get["s"])
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -59,12 +62,12 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Nulls and loops join nothing; nodes without an edge have no row.
     """
     a, b = edges.columns
-    now, path = scratch.write(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(f"`{a}` <> `{b}`").distinct())
+    now, path, state = _written(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(f"`{a}` <> `{b}`").distinct(), scratch)
     before = None
-    while (state := _state(now)) != before and state[0]:
+    while state != before and state[0]:
         before = state
-        wide, mid = scratch.write(_large_star(now).distinct())
-        new, new_path = scratch.write(_small_star(wide).distinct())
+        wide, mid = scratch.write(_large_star(now))
+        new, new_path, state = _written(_small_star(wide).distinct(), scratch)
         scratch.drop(path)
         scratch.drop(mid)
         now, path = new, new_path
