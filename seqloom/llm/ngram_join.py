@@ -126,11 +126,11 @@ def join_keys(value: np.ndarray, row: np.ndarray, size: np.ndarray, frequent: np
 
 
 def bit_sketches(value: np.ndarray, row: np.ndarray, size: np.ndarray) -> list[bytes]:
-    """Parity bit sketches: each shingle flips one of m bits, m being the power of two from the set's size on.
+    """Parity bit sketches: each shingle flips one of m bits, m being the power of two from twice the set's size on.
 
     The Hamming distance of two sketches (the longer folded by XOR) is at most the symmetric difference.
     """
-    bits = 1 << np.clip(np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+    bits = 1 << np.clip(np.ceil(np.log2(2 * np.maximum(size, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
     begin = np.cumsum(bits) - bits
     place = (mix(value + U(7)) & (bits[row] - 1).astype(np.uint64)).astype(np.int64) + begin[row]
     parity = np.bincount(place, minlength=int(bits.sum())).astype(np.uint8) & 1
