@@ -115,6 +115,11 @@ def curriculum(docs: DataFrame, range_rows: int = RANGE_ROWS, schedules=SCHEDULE
     return copies.orderBy("position", "doc_id", "copy")
 
 
+def training_order(docs: DataFrame, range_rows: int = RANGE_ROWS, schedules=SCHEDULES, carry: Sequence[str] = ()) -> DataFrame:
+    """The rows of assign(), range-sorted by the training positions of their copies; rows that aren't taken come last."""
+    return assign(docs, range_rows, schedules, carry).orderBy(F.size("positions") == 0, "positions", "doc_id", "size")
+
+
 #: The same rows in DuckDB: sizes, targets by the same closed form, and running sums in hash order.
 SQL = rf"""
 WITH sized AS (

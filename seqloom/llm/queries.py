@@ -39,11 +39,16 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of every document."""
-    mixed = mixing.assign(table(spark, sf_dir, "documents"))
+    """Words that the mix takes of every document, in the order in which the curriculum trains on them."""
+    mixed = mixing.training_order(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy that the mix takes, with its training position, in order of position."""
+    return mixing.curriculum(table(spark, sf_dir, "documents")).select("doc_id", "copy", "position", "size", "source")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of every document that repeat an earlier one, with the document that keeps them."""
     spans = line_dedup.repeated_spans(table(spark, sf_dir, "documents"))
@@ -89,4 +94,4 @@ ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.SQL, "op8_ngram_join": ngram_
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (op1_url_filters, op2_media_gif, op3_token_counts, op4_mixing, op5_line_dedup, op6_quality_rules, op7_quality_gam, op8_ngram_join, op9_bpe, op10_pii)}
+    return {q.__name__: q for q in (op1_url_filters, op2_media_gif, op3_token_counts, op4_mixing, op4_curriculum, op5_line_dedup, op6_quality_rules, op7_quality_gam, op8_ngram_join, op9_bpe, op10_pii)}

@@ -260,6 +260,17 @@ def test_curriculum_order_and_schedules(spark, rough):
     assert mixing.assign(rough.limit(0)).count() == 0
 
 
+def test_registered_mixing_follows_the_schedules(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    at = {r.doc_id: r.positions for r in mixing.assign(docs).collect()}
+    order = [r.doc_id for r in queries.op4_mixing(spark, str(tmp_path)).collect()]
+    assert order == sorted(at, key=lambda d: (not at[d], at[d], d))
+    copies = queries.op4_curriculum(spark, str(tmp_path)).collect()
+    assert [r.position for r in copies] == sorted(r.position for r in copies)
+    assert sorted((r.doc_id, r.copy, r.position) for r in copies) == sorted((d, k, x) for d, p in at.items() for k, x in enumerate(p))
+    assert "SQRT" in queries.op4_mixing(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+
+
 # --- 5: line removal ----------------------------------------------------------------------------------
 
 
