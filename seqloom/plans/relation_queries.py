@@ -112,12 +112,23 @@ sym AS (SELECT a, b FROM e UNION SELECT b, a FROM e), v AS (SELECT a FROM sym UN
 reach(v, r) AS (SELECT a, a FROM v UNION SELECT reach.v, sym.b FROM reach JOIN sym ON reach.r = sym.a)
 SELECT v AS vertex, min(r) AS component FROM reach GROUP BY v""")
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of a bipartite graph of suppliers and parts; single suppliers included."""
-    edges = table(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_discount = 0.05").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1000000).alias("b")).distinct()
+    """Components of the slice of suppliers and parts that the recursive SQL selects; supplier_part_components has all."""
+    return _supplier_parts(spark, sf_dir, table(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_discount = 0.05"))
+
+
+def _supplier_parts(spark: SparkSession, sf_dir: str, items: DataFrame, above: int = 1000000) -> DataFrame:
+    """Components of a bipartite graph of suppliers and parts (numbered from `above`); single suppliers included."""
+    edges = items.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + F.lit(above)).alias("b")).distinct()
     vertices = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("v")).union(edges.select("a")).union(edges.select("b"))
     return graph.components(vertices, edges)
 
 
+@query(None)
+def supplier_part_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components over all rows of lineitem; a part's vertex is its key plus 2 to the 40th, above every supplier."""
+    return _supplier_parts(spark, sf_dir, table(spark, sf_dir, "lineitem"), 1 << 40)
+
+
 COVARIATES = "cov AS (SELECT l.doc_id AS sample_id, l.quality::DOUBLE AS y, d.n_chars::DOUBLE / 1000 AS z FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE l.quality IS NOT NULL AND d.n_chars IS NOT NULL)"
 WORD_DOCS = WORDS_SQL + ", wd AS (SELECT sample_id AS key, kmer AS doc FROM doc_words), kept AS (SELECT key FROM wd GROUP BY key HAVING count(*) >= 20)"
 

@@ -65,6 +65,20 @@ def test_long_chain_and_empty_graph(spark):
     assert pairs(graph.components(spark.range(2), chain.limit(0))) == {0: 0, 1: 1}
 
 
+def test_supplier_parts_take_every_row(spark, tmp_path):
+    from seqloom.plans import relation_queries
+
+    items = [(1, 7, 50, 0.05), (2, 7, 10, 0.05), (2, 8, 50, 0.0), (3, 9, 1, 0.1), (4, 9, 2, 0.0), (3, 9, 1, 0.1)]
+    spark.createDataFrame(items, "l_suppkey bigint, l_partkey bigint, l_quantity bigint, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(i,) for i in range(1, 6)], "s_suppkey bigint").write.parquet(str(tmp_path / "supplier.parquet"))
+    least = {v: v for v in [*range(1, 6), *((1 << 40) + p for _, p, _, _ in items)]}
+    for _ in least:
+        for a, p, _, _ in items:
+            least[a] = least[(1 << 40) + p] = min(least[a], least[(1 << 40) + p])
+    assert pairs(relation_queries.supplier_part_components(spark, str(tmp_path))) == least
+    assert {least[v] for v in range(1, 6)} == {1, 3, 5}
+
+
 def test_graph_edits(spark):
     e = spark.createDataFrame([(1, 2), (2, 1), (3, 3)], "src bigint, dst bigint")
     more = spark.createDataFrame([(5, 4)], "src bigint, dst bigint")
