@@ -2,7 +2,8 @@
 
 A rule is a host and a path prefix, and fits the host and all its subdomains; the longest rule wins.
 Pages that redirect to, or name as canonical, another address are aliases of it: connected components
-over those edges carry a block to every alias. An explicit allow on a page's own address has precedence
+over those edges carry a block to every alias, also from an address that is only linked to and isn't
+among the pages. An explicit allow on a page's own address has precedence
 over a block that comes from an alias.
 
 Null urls and urls without "://" have empty host and path, fit no rule and have no aliases: they are
@@ -92,16 +93,20 @@ def plain_address(url: Column) -> Column:
     return F.regexp_replace(no_track, r"(?<=[^/])/$|/index\.html?$", "")
 
 
-def alias_edges(pages: DataFrame, conventions: bool = True) -> DataFrame:
-    """Edges (a, b) between addresses: redirects, canonical links and, if asked for, conventional redirects."""
+def link_edges(pages: DataFrame) -> DataFrame:
+    """Edges (a, b) from a page's address to those that its refresh and canonical link name."""
     canonical = _attribute(F.regexp_extract("html", r"(?is)<link\b[^>]{0,2000}\brel\s*=\s*[\"']?canonical\b[^>]{0,2000}>", 0), "href")
     meta = F.regexp_extract("html", r"(?is)<meta\b[^>]{0,2000}\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]{0,2000}>", 0)
     refresh = F.trim(F.regexp_extract(_attribute(meta, "content"), r"(?is)url\s*=\s*['\"]?([^'\"]*)", 1))
     targets = F.array(_absolute(F.trim(canonical)), _absolute(refresh))
-    own = address(F.col("url"))
-    linked = pages.where("instr(url, '://') > 0").select(own.alias("a"), F.explode(F.filter(targets, lambda t: t.isNotNull())).alias("t")).select("a", address(F.col("t")).alias("b"))
+    return pages.where("instr(url, '://') > 0").select(address(F.col("url")).alias("a"), F.explode(F.filter(targets, lambda t: t.isNotNull())).alias("t")).select("a", address(F.col("t")).alias("b"))
+
+
+def alias_edges(pages: DataFrame, linked: DataFrame, conventions: bool = True) -> DataFrame:
+    """Edges (a, b) between addresses: those of link_edges and, if asked for, conventional redirects."""
     if conventions:
-        linked = linked.union(linked.select("b", plain_address(F.col("b")))).union(pages.where("instr(url, '://') > 0").select(own, plain_address(F.col("url"))))
+        own = pages.where("instr(url, '://') > 0").select(address(F.col("url")), plain_address(F.col("url")))
+        linked = linked.union(linked.select("b", plain_address(F.col("b")))).union(own)
     return linked.where("a <> b").distinct()
 
 
@@ -115,9 +120,11 @@ def judge(pages: DataFrame, rules: Sequence[Rule], conventions: bool = True) ->
     ruled = with_rule(with_host_path(pages.select("page_id", "url", "html")), rules)
     own = F.when(F.instr("url", "://") > 0, F.xxhash64(address(F.col("url"))))
     judged = scratch.cut(ruled.select("page_id", "host", "path", "rule", "rule_verdict", own.alias("node")))
-    edges = alias_edges(pages.select("url", "html"), conventions).select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+    linked = scratch.cut(link_edges(pages.select("url", "html")))
+    edges = alias_edges(pages.select("url"), linked, conventions).select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
     groups = scratch.cut(connected_components(edges, scratch))
-    blocked = judged.where("rule_verdict = 'block' and node is not null").select("node").distinct()
+    aims = with_rule(with_host_path(linked.select(F.col("b").alias("url")).distinct()), rules).withColumn("node", F.xxhash64("url"))
+    blocked = judged.select("node", "rule_verdict").union(aims.select("node", "rule_verdict")).where("rule_verdict = 'block' and node is not null").select("node").distinct()
     spread = groups.join(blocked, "node", "left_semi").select("component").distinct().withColumn("hit", F.lit(True))
     known = groups.join(spread, "component", "left").select("node", F.col("component").alias("alias_class"), F.coalesce("hit", F.lit(False)).alias("hit"))
     alone = F.when(F.col("hit"), "block").otherwise("allow")

@@ -126,6 +126,18 @@ def test_url_rules_and_aliases(spark):
     assert url_filters.judge(df.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_blocked_targets_that_are_no_pages(spark):
+    link = '<link rel="canonical" href="{}">'
+    pages = [
+        (1, "http://a.net/1", link.format("https://x.com/de/y#top")), (2, "http://b.net/2", '<meta http-equiv="refresh" content="0; url=http://a.net/1">'),
+        (3, "http://ok.org/3", link.format("http://a.net/1")), (4, "http://c.net/4", link.format("https://x.com/fr/y")), (5, "http://d.net/5", ""),
+    ]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    many = [*queries.URL_RULES, *[("block", f"h{i}.net", "/") for i in range(100)]]
+    for rules in (queries.URL_RULES, many):
+        assert {r.page_id: r.verdict for r in url_filters.judge(df, rules).collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
+
+
 # --- 2: GIF -------------------------------------------------------------------------------------------
 
 
