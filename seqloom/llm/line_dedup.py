@@ -1,10 +1,12 @@
 """Substring removal by hashing lines and sentences.
 
-Units are the lines of a text and the sentences inside them (up to . ! or ? before white space). Their
-words, lower-cased, are digested; digests are grouped over the whole corpus, and the earliest occurrence
+Units are the lines of a text, the sentences inside them (up to . ! or ? before white space), and pairs
+of neighbouring chunks of words. Chunks run over the whole text and are cut where the hash of two
+successive words is the least within CHUNK_REACH words, so equal passages are cut alike wherever they
+stand (chunks have some 7 words). Words, lower-cased, are digested; digests are grouped over the whole corpus, and the earliest occurrence
 by (doc_id, start) is kept. Later occurrences go: whole lines of LINE_WORDS words or more, and runs of
-successive repeated sentences that have RUN_WORDS words or more, which also finds passages that stand
-inside other lines. What goes is given as spans of the original text, in code points, ends exclusive.
+successive repeated sentences or pairs of chunks that have RUN_WORDS words or more, which also finds
+passages that stand inside other lines and sentences; up to two chunks at a passage's ends may stay. What goes is given as spans of the original text, in code points, ends exclusive.
 
 Null and empty texts have no units. Rows with the same id and text count as one row and keep their
 first occurrence; the same id with another text is a row of its own. Digests have 64 bits.
@@ -24,7 +26,8 @@ from .text_kernel import LOWER, STEPS, U, hash_units, line_spans, mix
 LINE_WORDS = 5
 RUN_WORDS = 15
 SLICE = 512 << 10
-SENTENCE, LINE = 0, 1
+SENTENCE, LINE, CHUNKS = 0, 1, 2
+CHUNK_REACH = 3
 _END = np.zeros(256, dtype=bool)
 _END[list(b".!?")] = True
 
@@ -42,8 +45,23 @@ def digests(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarra
     return mix(np.add.reduceat(value, np.cumsum(size) - size) + size.astype(np.uint64))
 
 
+def chunk_starts(words: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Whether a chunk starts at each word: at a row's first word, and where the hash of a word and the next is least nearby."""
+    if not len(words):
+        return np.zeros(0, dtype=bool)
+    pair = mix(words * STEPS[11] + np.append(words[1:], words[:1]))
+    least = np.ones(len(words), dtype=bool)
+    for d in range(1, CHUNK_REACH + 1):
+        same = owner[d:] == owner[:-d]
+        least[d:] &= ~same | (pair[d:] < pair[:-d])
+        least[:-d] &= ~same | (pair[:-d] <= pair[d:])
+    least[0] = True
+    least[1:] |= owner[1:] != owner[:-1]
+    return least
+
+
 def units(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """All units of the rows: row, kind, number within row and kind, start and end (code points), words, digest."""
+    """All units of the rows: row, kind, number within row and kind, start and end (code points), first word's place, words, digest."""
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     starts, ends, first = word_spans(data, offsets)
     words = hash_units(LOWER[data], starts, ends)
@@ -59,30 +77,34 @@ def units(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         sa = np.flatnonzero(fresh)
         sb = np.append(sa[1:], len(words))
         out.append((owner[sa], SENTENCE, sa, sb))
+        ca = np.flatnonzero(chunk_starts(words, owner))
+        cb = np.append(ca[1:], len(words))
+        both = np.flatnonzero(owner[ca[1:]] == owner[ca[:-1]])
+        out.append((owner[ca[both]], CHUNKS, ca[both], cb[both + 1]))
     big = (b - a) >= LINE_WORDS
     out.append((lrow[big], LINE, a[big], b[big]))
     parts = []
     for row, kind, x, y in out:
         begin = np.searchsorted(row, row)
-        parts.append((row, np.full(len(row), kind), np.arange(len(row)) - begin, chars[starts[x]] if len(x) else x, chars[ends[y - 1]] if len(x) else x, y - x, digests(words, x, y)))
-    row, kind, number, start, end, count, digest = (np.concatenate(p) for p in zip(*parts))
+        parts.append((row, np.full(len(row), kind), np.arange(len(row)) - begin, chars[starts[x]] if len(x) else x, chars[ends[y - 1]] if len(x) else x, x - first[row] if len(x) else x, y - x, digests(words, x, y)))
+    row, kind, number, start, end, place, count, digest = (np.concatenate(p) for p in zip(*parts))
     base = chars[offsets[row]] if len(row) else 0
-    return {"row": row, "kind": kind, "number": number, "start": start - base, "end": end - base, "words": count, "digest": digest}
+    return {"row": row, "kind": kind, "number": number, "start": start - base, "end": end - base, "place": place, "words": count, "digest": digest}
 
 
 def unit_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per unit: digest, doc_id, version (hash of the text), kind, number, start, stop, words."""
+    """One row per unit: digest, doc_id, version (hash of the text), kind, number, start, stop, place (of its first word), words."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         u = units(*flat_bytes(batch.column(2)))
         at = pa.array(u["row"])
         return pa.RecordBatch.from_arrays(
-            [pa.array(u["digest"].view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), *[pa.array(u[c], pa.int32()) for c in ("kind", "number", "start", "end", "words")]],
-            names=["digest", "doc_id", "version", "kind", "number", "start", "stop", "words"],
+            [pa.array(u["digest"].view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), *[pa.array(u[c], pa.int32()) for c in ("kind", "number", "start", "end", "place", "words")]],
+            names=["digest", "doc_id", "version", "kind", "number", "start", "stop", "place", "words"],
         )
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("version"), docs[text_col].alias("text"))
-    return map_arrow(rows, kernel, "digest long, doc_id long, version long, kind int, number int, start int, stop int, words int", "text", SLICE)
+    return map_arrow(rows, kernel, "digest long, doc_id long, version long, kind int, number int, start int, stop int, place int, words int", "text", SLICE)
 
 
 def repeated_spans(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,17 +117,18 @@ def repeated_spans(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str = "d
     every = unit_table(docs, id_col, text_col)
     first = Scratch(docs.sparkSession).cut(every.groupBy("digest", "kind").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "version", "start")).alias("first")).where("n > 1").select("digest", "kind", "first"))
     place = F.struct("doc_id", "version", "start")
-    later = every.join(first, ["digest", "kind"]).where(place != F.col("first")).select("doc_id", "version", "kind", "number", "start", "stop", "words", F.col("first.doc_id").alias("kept"))
+    later = every.join(first, ["digest", "kind"]).where(place != F.col("first")).select("doc_id", "version", "kind", "number", "start", "stop", "place", (F.col("place") + F.col("words")).alias("upto"), F.col("first.doc_id").alias("kept"))
     row = W.partitionBy("doc_id", "version")
-    runs = later.withColumn("run", F.col("number") - F.row_number().over(W.partitionBy("doc_id", "version", "kind").orderBy("number")))
+    inner = W.partitionBy("doc_id", "version", "kind").orderBy("number")
+    runs = later.withColumn("run", F.col("number") - F.row_number().over(inner))
     runs = runs.withColumn("run", F.when(F.col("kind") == LINE, F.col("number")).otherwise(F.col("run")))
-    found = runs.groupBy("doc_id", "version", "kind", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("words"), F.min("kept").alias("kept"))
-    found = found.where((F.col("kind") == LINE) | (F.col("words") >= run_words))
+    found = runs.groupBy("doc_id", "version", "kind", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("place").alias("place"), F.max("upto").alias("upto"), F.min("kept").alias("kept"))
+    found = found.where((F.col("kind") == LINE) | (F.col("upto") - F.col("place") >= run_words))
     order = row.orderBy("start", F.col("stop").desc(), "kind")
     reach = F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1))
     joined = found.withColumn("opens", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))).withColumn("span", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    fresh = F.when((F.col("opens") == 1) | (F.col("kind") == SENTENCE), F.col("words"))
-    return joined.groupBy("doc_id", "version", "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.max(fresh).cast("long").alias("n_words"), F.min("kept").alias("kept_doc_id")).drop("span")
+    words = (F.max("upto") - F.min("place")).cast("long").alias("n_words")
+    return joined.groupBy("doc_id", "version", "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), words, F.min("kept").alias("kept_doc_id")).drop("span")
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, text_col: str = "text") -> DataFrame:

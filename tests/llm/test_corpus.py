@@ -307,6 +307,17 @@ def test_repeated_lines_and_passages(spark):
     assert line_dedup.repeated_spans(df.limit(0)).count() == 0
 
 
+def test_passages_without_sentence_ends(spark):
+    r = random.Random(10)
+    for _ in range(3):
+        passage = sentence(r, 60)
+        texts = [f"{sentence(r, 20)} {passage} {sentence(r, 20)}", f"{sentence(r, 30)} {passage} {sentence(r, 7)}", sentence(r, 90)]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+        spans = line_dedup.repeated_spans(df).collect()
+        assert {s.doc_id for s in spans} == {1} and all(texts[1][s.start : s.stop] in passage for s in spans)
+        assert sum(s.n_words for s in spans) >= 30 and all(len(texts[1][s.start : s.stop].split()) == s.n_words for s in spans)
+
+
 # --- 6 and 7: quality ---------------------------------------------------------------------------------
 
 
