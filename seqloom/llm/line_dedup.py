@@ -120,7 +120,8 @@ def repeated_spans(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str = "d
     later = every.join(first, ["digest", "kind"]).where(place != F.col("first")).select("doc_id", "version", "kind", "number", "start", "stop", "place", (F.col("place") + F.col("words")).alias("upto"), F.col("first.doc_id").alias("kept"))
     row = W.partitionBy("doc_id", "version")
     inner = W.partitionBy("doc_id", "version", "kind").orderBy("number")
-    runs = later.withColumn("run", F.col("number") - F.row_number().over(inner))
+    # Repeated rows give each unit several times; the dense rank and the lag count it once.
+    runs = later.withColumns({"run": F.col("number") - F.dense_rank().over(inner), "last": F.lag("number").over(inner)}).where("last is null or last <> number")
     runs = runs.withColumn("run", F.when(F.col("kind") == LINE, F.col("number")).otherwise(F.col("run")))
     found = runs.groupBy("doc_id", "version", "kind", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("place").alias("place"), F.max("upto").alias("upto"), F.min("kept").alias("kept"))
     found = found.where((F.col("kind") == LINE) | (F.col("upto") - F.col("place") >= run_words))

@@ -307,6 +307,16 @@ def test_repeated_lines_and_passages(spark):
     assert line_dedup.repeated_spans(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_with_short_sentences(spark):
+    r = random.Random(9)
+    passage = " ".join(sentence(r, 3).capitalize() + "." for _ in range(8))
+    rows = [(0, f"{sentence(r, 9)}. {passage}"), (1, f"{sentence(r, 9)}. {passage} {sentence(r, 9)}.")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = line_dedup.repeated_spans(df).collect()
+    assert [(s.doc_id, s.kept_doc_id, s.n_words) for s in want] == [(1, 0, 24)] and rows[1][1][want[0].start : want[0].stop] == passage
+    assert line_dedup.repeated_spans(df.union(df).union(df.where("doc_id = 1"))).collect() == want
+
+
 def test_passages_without_sentence_ends(spark):
     r = random.Random(10)
     for _ in range(3):
