@@ -84,15 +84,17 @@ DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "fo
 # Last labels that make "name at host dot label" without brackets an address.
 LABELS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu", "co")
 
-_STRANGE = re.compile("[Ͱ-ԯ①-⒛٠-٩۰-۹！-～\U0001d7ce-\U0001d7ff]").search
-_WORDS = "|".join(DIGIT_WORDS)
-_SPELLED = re.compile(rf"(?<![^\W_])(?:{_WORDS})(?:[\s,.-]{{1,3}}(?:{_WORDS}))+(?![^\W_])", re.I)
+_WORDS = f"(?a:{'|'.join(DIGIT_WORDS)})"
+_SPELLED = re.compile(rf"(?<![^\W_]){_WORDS}(?:[\s,.-]{{1,3}}{_WORDS})*(?![^\W_])", re.I)
+# A single digit word is a disguise only next to a digit or a plus.
+_DIGIT_BEFORE = re.compile(r"[0-9+][\s,.-]{1,3}\Z|\+\Z").search
+_DIGIT_AFTER = re.compile(r"[\s,.-]{1,3}[0-9]").match
 _ONE_WORD = re.compile(_WORDS, re.I)
 _AT = re.compile(r"\s{0,3}[\[({<]\s{0,3}at\s{0,3}[\])}>]\s{0,3}", re.I)
 _DOT = re.compile(r"\s{0,3}[\[({<]\s{0,3}dot\s{0,3}[\])}>]\s{0,3}", re.I)
 _PLAIN = re.compile(rf"(?<=[a-z0-9])\s{{1,3}}at\s{{1,3}}(?!(?:the|an?|this|that|my|our|your|its)\s)(?=([a-z0-9-]{{1,63}}(?:\s{{1,3}}dot\s{{1,3}}[a-z0-9-]{{1,63}}){{0,4}}?\s{{1,3}}dot\s{{1,3}}(?:{'|'.join(LABELS)}))(?![a-z0-9-]))", re.I)
+_AT_CORE = re.compile(r"[\[({<]\s{0,3}at\s{0,3}[\])}>]", re.I).search
 _PLAIN_DOT = re.compile(r"\s{1,3}dot\s{1,3}", re.I)
-_RARE_DIGITS = ("zero", "two", "three", "four", "five", "six", "seven", "eight", "nine", "one one", "one-one", "one, one", "oh one", "one oh")
 
 
 def plain_character(c: str) -> str:
@@ -105,6 +107,11 @@ def plain_character(c: str) -> str:
     return c if digit is None else str(digit)
 
 
+#: Every character that plain_character changes (digits of all scripts among them), with what it stands for.
+PLAIN = {c: plain_character(chr(c)) for c in range(0x80, 0x20000) if plain_character(chr(c)) != chr(c)}
+_STRANGE = re.compile(f"[{''.join(map(chr, PLAIN))}]")
+
+
 class Rewritten:
     """A text with, for each character, its source span and whether it was rewritten."""
 
@@ -115,10 +122,9 @@ class Rewritten:
         self.changed = bytearray(len(text))
 
     def characters(self) -> None:
-        new = [plain_character(c) if c > "\x7f" else c for c in self.text]
-        for i, (a, b) in enumerate(zip(self.text, new)):
-            self.changed[i] |= a != b
-        self.text = "".join(new)
+        for m in _STRANGE.finditer(self.text):
+            self.changed[m.start()] = 1
+        self.text = self.text.translate(PLAIN)
 
     def replace(self, edits: list[tuple[int, int, str, list[tuple[int, int]]]]) -> None:
         """Edits in order, as (start, end, written text, span in this text of each written character)."""
@@ -135,34 +141,43 @@ class Rewritten:
         self.start, self.end, self.changed = start + self.start[at:], end + self.end[at:], changed + self.changed[at:]
 
 
-def disguised(text: str) -> list[tuple[int, int, int]]:
-    """Spans of identifiers that show only after rewriting, as (start, kind's index, end) in the source."""
-    lower = text.lower()
-    strange = not text.isascii() and _STRANGE(text) is not None
-    dots = "dot" in lower
-    brackets = any(f"{x}at" in lower or "at" + y in lower for x, y in ("()", "[]", "{}", "<>"))
-    spelled = any(w in lower for w in _RARE_DIGITS)
-    if not (strange or dots or brackets or spelled):
+def spelled_digits(text: str) -> list[tuple[int, int, str, list[tuple[int, int]]]]:
+    """Edits that write runs of digit words, and single ones next to a digit or a plus, as digits."""
+    edits = []
+    for m in _SPELLED.finditer(text):
+        words = list(_ONE_WORD.finditer(text, m.start(), m.end()))
+        if len(words) > 1 or _DIGIT_BEFORE(text[max(0, m.start() - 4) : m.start()]) or _DIGIT_AFTER(text, m.end()):
+            edits.append((m.start(), m.end(), "".join(DIGIT_WORDS[w.group().lower()] for w in words), [w.span() for w in words]))
+    return edits
+
+
+def disguised(text: str, gates: bool = True) -> list[tuple[int, int, int]]:
+    """Spans of identifiers that show only after rewriting, as (start, kind's index, end) in the source.
+
+    Each gate is a necessary condition of its transducer on the text that it reads, so that results don't
+    depend on `gates`. Digits written for words make no new "at" or "dot".
+    """
+    strange = not gates or (not text.isascii() and _STRANGE.search(text) is not None)
+    plain = text.translate(PLAIN) if strange else text
+    lower = plain.lower()
+    edits = spelled_digits(plain) if not gates or any(w in lower for w in DIGIT_WORDS) else []
+    dots = not gates or "dot" in lower
+    brackets = not gates or ("at" in lower and _AT_CORE(plain) is not None)
+    if not (strange or dots or brackets or edits):
         return []
     out = Rewritten(text)
     if strange:
         out.characters()
-        lower = out.text.lower()
-        spelled = any(w in lower for w in _RARE_DIGITS)
-    if spelled:
-        edits = []
-        for m in _SPELLED.finditer(out.text):
-            words = list(_ONE_WORD.finditer(out.text, m.start(), m.end()))
-            edits.append((m.start(), m.end(), "".join(DIGIT_WORDS[w.group().lower()] for w in words), [w.span() for w in words]))
+    if edits:
         out.replace(edits)
-    lower = out.text.lower()
-    if "at" in lower and ("dot" in lower or brackets or strange):
-        edits = [(m.start(), m.end(), "@", [m.span()]) for m in _AT.finditer(out.text)]
-        if "dot" in lower:
-            edits += [(m.start(), m.end(), ".", [m.span()]) for m in _DOT.finditer(out.text)]
+    edits = [(m.start(), m.end(), "@", [m.span()]) for m in _AT.finditer(out.text)] if brackets else []
+    if dots:
+        edits += [(m.start(), m.end(), ".", [m.span()]) for m in _DOT.finditer(out.text)]
+        if not gates or "at" in lower:
             for m in _PLAIN.finditer(out.text):
                 edits.append((m.start(), m.end(), "@", [m.span()]))
                 edits += [(d.start(), d.end(), ".", [d.span()]) for d in _PLAIN_DOT.finditer(out.text, m.start(1), m.end(1))]
+    if edits:
         out.replace(sorted(edits))
     if not any(out.changed):
         return []

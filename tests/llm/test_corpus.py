@@ -532,6 +532,22 @@ def test_disguises(text, kind, span):
     assert pii.redacted(text) == text.replace(span, f"<{kind.upper()}>")
 
 
+@pytest.mark.parametrize("text,kind", [
+    ("jane [ at ] example.com", "email"), ("bob@gmail[dot]com", "email"), ("tel +४४ ७७०० ९००१२३४", "phone"), ("+1 2 three 4 five 6 seven 8 nine 0", "phone"), ("ip 10.zero.0.one", "ip"),
+])
+def test_disguises_need_no_other_text(text, kind):
+    for t in (text, text + " that dot о"):
+        assert [pii.KINDS[k] for _, k, _, new in pii.spans_of(t) if new] == [kind]
+
+
+def test_gates_change_nothing():
+    r = random.Random(8)
+    parts = ["jane", "bob@", "@", "[at]", "( at )", "[ dot ]", "(dot)", " at ", " dot ", "com", "example", ".", "+", "1", "22", "two", "Three", "oh", "ſix", "४", "٣", "²", "а", "о", "Ａ", " ", " ", "-", "that", "4111 1111 1111 111", "é"]
+    for _ in range(20000):
+        t = "".join(r.choice(parts) for _ in range(r.randrange(14)))
+        assert pii.disguised(t) == pii.disguised(t, gates=False)
+
+
 @pytest.mark.parametrize("text", ["look at the dot on this page", "at one two three", "the dot com boom at home", "zero. One two", "", "at (at) dot", "Он в 5 домах"])
 def test_plain_prose_is_left_alone(text):
     assert pii.spans_of(text) == [] and pii.redacted(text) == text
