@@ -179,9 +179,8 @@ def ols_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def logit_association(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logistic regressions of quality on each word that a tenth of the labelled documents have."""
-    cov = covariates(spark, sf_dir)
-    return association.associate(word_docs(spark, sf_dir).where(F.size("samples") >= cov.count() / 10), cov, "y", family="logit")
+    """Logistic regressions of quality on each word with a covariate."""
+    return association.associate(word_docs(spark, sf_dir), covariates(spark, sf_dir), "y", family="logit")
 
 
 @query("""WITH n AS (SELECT count(*) AS n FROM lineitem) SELECT l_orderkey, l_linenumber, l_discount * 1e-4 <= 0.05 / n AS significant FROM lineitem, n WHERE l_quantity > 0 AND l_tax >= 0""")

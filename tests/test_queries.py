@@ -42,6 +42,11 @@ def test_query_without_sql_runs(spark, name):
     assert registry.QUERIES[name](spark, DATA).count() > 0
 
 
+def test_logit_fits_every_word(spark):
+    words = relation_queries.word_docs(spark, DATA).select("kmer").collect()
+    assert sorted(r.key for r in relation_queries.logit_association(spark, DATA).select("key").collect()) == sorted(r.kmer for r in words)
+
+
 def test_entry_works_without_the_corpus_operators(spark):
     import __spark_entry__ as entry
 
