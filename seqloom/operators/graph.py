@@ -3,7 +3,8 @@
 Components come from alternating star contractions: each round points neighbours at the least node of a
 neighbourhood, first those larger than the centre, then those smaller. Rounds are written to the shared
 folder, so lineage stays short and a lost executor costs one round. A hub's edges are only grouped by
-`min` (partial aggregation) and joined to one row (which adaptive execution can split), never gathered.
+`min` (partial aggregation), whose result is written as well: the join of the edges to it then has a plain
+table on either side, so adaptive execution can split a hub's rows over many tasks.
 """
 
 from __future__ import annotations
@@ -37,16 +38,8 @@ def degrees(edges: DataFrame) -> DataFrame:
     return e.select(F.explode(F.array("src", "dst")).alias("vertex")).groupBy("vertex").agg(F.count("*").alias("degree"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select("b", "a"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b")))
+def _least(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("a").agg(F.min("b").alias("m"))
 
 
 def _written(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, str, tuple]:
@@ -65,12 +58,19 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now, path, state = _written(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(f"`{a}` <> `{b}`").distinct(), scratch)
     before = None
     while state != before and state[0]:
-        before = state
-        wide, mid = scratch.write(_large_star(now))
-        new, new_path, state = _written(_small_star(wide).distinct(), scratch)
-        scratch.drop(path)
-        scratch.drop(mid)
-        now, path = new, new_path
+        before, old = state, [path]
+        both = now.union(now.select("b", "a"))
+        low, at = scratch.write(_least(both).select("a", F.least("a", "m").alias("m")))
+        old.append(at)
+        wide, at = scratch.write(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"))
+        old.append(at)
+        # Every edge of `wide` leads from a node to a lesser one.
+        low, at = scratch.write(_least(wide))
+        old.append(at)
+        down = wide.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        now, path, state = _written(down.union(low.select("a", F.col("m").alias("b"))).distinct(), scratch)
+        for p in old:
+            scratch.drop(p)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())
 
 

@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests) a temporary one is set."""
+    """The folder named in spark.checkpoint.dir. Only where driver and executors are one process may it be unset: then a temporary one serves until the end."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own:
+        folder = _own[context.applicationId] = tempfile.mkdtemp(prefix="shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return "file://" + _own[context.applicationId]
 
 
 class Scratch:
@@ -24,12 +34,14 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
         self.count = 0
+        self.tables: dict[str, DataFrame] = {}
 
     def write(self, df: DataFrame) -> tuple[DataFrame, str]:
         path = f"{self.root}/{self.count}"
         self.count += 1
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path), path
+        table = self.tables[path] = self.spark.read.schema(df.schema).parquet(path)
+        return table, path
 
     def cut(self, df: DataFrame) -> DataFrame:
         return self.write(df)[0]
@@ -38,3 +50,9 @@ class Scratch:
         jvm = self.spark._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.tables.pop(path, None)
+
+    def release(self, *keep: DataFrame) -> None:
+        """Deletes all tables but those that a result still reads."""
+        for path in [p for p, t in self.tables.items() if not any(t is k for k in keep)]:
+            self.drop(path)
