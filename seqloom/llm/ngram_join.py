@@ -7,21 +7,29 @@ when it has fewer words). Two sets with Jaccard similarity J >= 0.8 have a symme
 1. Sketch. Sizes fall into bands. In its band's scheme a set is cut into P parts by hash and every part
    keeps the XOR of its shingles' 64-bit hashes: a sketch of P words of which each shingle touches one, so
    that the number of differing words (their Hamming distance) is a lower bound of the symmetric difference.
-2. Pigeonhole. A set whose non-empty parts outnumber its largest possible difference has at least one
+2. Pigeonhole. A set whose non-empty parts outnumber its largest possible difference D has at least one
    non-empty part in common with every partner, whatever the partner. Parts are join keys. Very frequent
    shingles are left out first; a set that then has too few non-empty parts also joins by the parts of its
    full set, and, if those are too few, by its single shingles. As a partner that has enough parts is found
    by the level above, no link is lost.
 3. Join. Map tasks send packed (key, set) runs by key range; a reducer sorts a range and keeps the keys
-   that different sets share. Equal sets are one node. Each node is first verified against one centre: of
-   its keys' nodes with most shared keys the one it has most in common with. Links found are contracted to
-   components, so a group of thousands of near copies costs a comparison each, not their square.
-4. Verify. Keys that still hold several components are compared in blocks: parity bit sketches, in which
+   that different sets share. Keys that a sample shows to be very frequent are dealt by set instead, as they
+   are shared for certain. Equal sets are one node.
+4. Prune. Partners differ in at most D parts, so the rarest key that they share is among the D + 1 rarest of
+   either's keys of that kind; all others go. Sets with more than D keys of their own have no partner.
+5. Stars. Each node is first verified against one centre: of its keys' most connected nodes the one it
+   shares most keys with. Links found are contracted to components, so a group of thousands of near copies
+   costs a comparison each, not their square.
+6. Verify. Keys that still hold several components are compared in blocks: parity bit sketches, in which
    every shingle flips one bit, bound the symmetric difference from below by their Hamming distance, and
-   only pairs within the bound of a link leave the block, to be verified with the exact sets.
-
-Empty texts and texts without words have an empty set and are alone. Rows of one id count as one document
-(linked by any of its texts); null ids stay as rows of their own. Shingle hashes have 64 bits.
+   only pairs within the bound of a link leave the block, to be verified with the exact sets. The largest
+   component of a key is dealt once for each block of the key's other nodes and never meets itself.
+
+Results: empty texts and texts without words have an empty set and are alone. Texts of one id are linked with
+each other, and repeated rows are linked as equal texts are; null ids stay as rows of their own. An empty
+table gives no rows. Very long texts are handled whole, one at a time. Other columns than id and text are
+never read, so their names can't clash. Shingle hashes have 64 bits; sets whose 64-bit ids agree by chance
+are told apart by a second fingerprint.
 """
 
 from __future__ import annotations
@@ -31,6 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -41,14 +50,17 @@ SLICE = 512 << 10
 BAND = 1.4
 #: Parts of a scheme per shingle of its band's upper end.
 PARTS = 0.33
-#: Keys that a map task gathers before it sends them, and about those that a reducer sorts at once.
-FLUSH_KEYS, RANGE_KEYS = 200_000, 400_000
-#: One in so many sets tells which shingles are very frequent: those in FREQUENT of them; at most MOST_FREQUENT.
+#: Keys that a map task gathers before it sends them, those that a range has on average, and the most that a reducer holds.
+FLUSH_KEYS, RANGE_KEYS, HELD_KEYS = 200_000, 400_000, 1_500_000
+#: One in so many sets tells what is very frequent: shingles and keys in FREQUENT of them; at most MOST_FREQUENT of each.
 SAMPLE, FREQUENT, MOST_FREQUENT = 64, 8, 100_000
 #: Bits of a bit sketch, as powers of two, and the rows of one key that a task compares with as many others.
-LEAST_BITS, MOST_BITS, BLOCK = 6, 13, 2048
-#: A side of at most so many rows of two numbers is broadcast (32 MB); a larger one is shuffled.
-BROADCAST_ROWS = 2_000_000
+LEAST_BITS, MOST_BITS, BLOCK = 6, 13, 4096
+#: A side of at most so many bytes is broadcast; a larger one is shuffled.
+BROADCAST_BYTES = 32 << 20
+#: Stands for the number of nodes of a very frequent key; and from so many parts on a set's keys aren't counted.
+HOT, MANY_PARTS = 1 << 30, (1 << 21) - 1
+NONE = np.zeros(0, np.uint64)
 
 
 def _edges() -> np.ndarray:
@@ -63,8 +75,8 @@ EDGES = _edges()
 SCHEME = np.maximum(2, np.ceil(PARTS * EDGES[1:] + 2 * np.sqrt(EDGES[1:]) * PARTS)).astype(np.int64)
 
 
-def set_hashes(value: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Size, id and second fingerprint of each row's set; an empty set has id 0."""
+def set_hashes(value: np.ndarray, row: np.ndarray, rows: int, clashes: np.ndarray = NONE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size, id and second fingerprint of each row's set; an empty set has id 0. Ids in `clashes` take the fingerprint in."""
     size = np.bincount(row, minlength=rows)
     some = np.flatnonzero(size)
     one, two = np.zeros(rows, dtype=np.uint64), np.zeros(rows, dtype=np.uint64)
@@ -72,6 +84,8 @@ def set_hashes(value: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarra
         at = np.cumsum(size)[some] - size[some]
         one[some] = mix(np.add.reduceat(mix(value), at) + size[some].astype(np.uint64))
         two[some] = mix(np.bitwise_xor.reduceat(mix(value ^ U(0x9E3779B97F4A7C15)), at))
+        if len(clashes):
+            one = np.where(np.isin(one, clashes) & (size > 0), mix(one + mix(two)), one)
     return size, one.view(np.int64), two.view(np.int64)
 
 
@@ -92,10 +106,11 @@ def part_keys(value: np.ndarray, row: np.ndarray, parts: np.ndarray, salt: np.nd
     return mix(word[keep] + mix(salt[row[at]] + part[at] * U(0x9E3779B97F4A7C15))), row[at]
 
 
-def join_keys(value: np.ndarray, row: np.ndarray, size: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All keys of the rows, their row, and the number of keys that the row has of the same kind.
+def join_keys(value: np.ndarray, row: np.ndarray, size: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
+    """All keys of the rows: key, row, kind, and the number of keys that the row has of this kind.
 
-    A row has keys at home in the band of its size, and as the larger of a pair in the band below.
+    A row has keys at home in the band of its size (kinds 0 to 2, by level), and as the larger of a pair in
+    the band below (kinds 3 to 5).
     """
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, value), len(frequent) - 1)
@@ -105,7 +120,7 @@ def join_keys(value: np.ndarray, row: np.ndarray, size: np.ndarray, frequent: np
     band = np.searchsorted(EDGES, size, side="right") - 1
     below = (band > 0) & (4 * size < 5 * EDGES[np.maximum(band, 0)])
     out = []
-    for where, scheme, most in ((size > 0, band, size // 4), (below, band - 1, 2 * size // 9)):
+    for first, where, scheme, most in ((0, size > 0, band, size // 4), (3, below, band - 1, 2 * size // 9)):
         scheme = np.where(where, scheme, 0)
         parts = SCHEME[scheme]
         open_ = where.copy()
@@ -118,7 +133,7 @@ def join_keys(value: np.ndarray, row: np.ndarray, size: np.ndarray, frequent: np
             else:
                 key, owner = mix(v + salt[r]), r
             count = np.bincount(owner, minlength=len(size))
-            out.append((key, owner, count[owner]))
+            out.append((key, owner, np.full(len(key), first + level), count[owner]))
             open_ &= count <= most
             if not open_.any():
                 break
@@ -180,90 +195,124 @@ def close_pairs(node: np.ndarray, size: np.ndarray, group: np.ndarray, side: np.
     return (np.concatenate(left), np.concatenate(right), np.concatenate(apart)) if left else (none, none, none)
 
 
-def node_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, node (hash of the set; 0 when empty), second fingerprint, bit sketch, and the shingles of one set in SAMPLE."""
-    kind = dict(docs.select(id_col).dtypes)[id_col]
+def node_table(docs: DataFrame, clashes: np.ndarray = NONE) -> DataFrame:
+    """doc_id, version, n_shingles, node (id of the set; 0 when empty), second fingerprint, bit sketch, and the shingles of one set in SAMPLE.
+
+    docs: doc_id, text and version (a hash of the text).
+    """
+    kind = dict(docs.dtypes)["doc_id"]
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        value, row = shingles(*flat_bytes(batch.column(1)))
-        size, one, two = set_hashes(value, row, batch.num_rows)
+        value, row = shingles(*flat_bytes(batch.column(2)))
+        size, one, two = set_hashes(value, row, batch.num_rows, clashes)
         ends = np.cumsum(size)
         picked = (one.view(np.uint64) % U(SAMPLE) == 0) & (size > 0)
         sample = [value[b - n : b].view(np.int64).tolist() if p else None for b, n, p in zip(ends, size, picked)]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(size, pa.int64()), pa.array(one), pa.array(two), pa.array(bit_sketches(value, row, size), pa.binary()), pa.array(sample, pa.list_(pa.int64()))],
-            names=["doc_id", "n_shingles", "node", "twin", "sketch", "sample"],
+            [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(one), pa.array(two), pa.array(bit_sketches(value, row, size), pa.binary()), pa.array(sample, pa.list_(pa.int64()))],
+            names=["doc_id", "version", "n_shingles", "node", "twin", "sketch", "sample"],
         )
 
-    return map_arrow(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), kernel, f"doc_id {kind}, n_shingles long, node long, twin long, sketch binary, sample array<long>", "text", SLICE)
+    return map_arrow(docs.select("doc_id", "version", "text"), kernel, f"doc_id {kind}, version long, n_shingles long, node long, twin long, sketch binary, sample array<long>", "text", SLICE)
 
 
-def frequent_shingles(nodes: DataFrame) -> np.ndarray:
-    """Sorted hashes of very frequent shingles: at most MOST_FREQUENT. They steer the keys; no result depends on them."""
-    each = nodes.where("sample is not null").groupBy("node").agg(F.first("sample").alias("sample")).select(F.explode("sample").alias("s"))
-    top = each.groupBy("s").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "s").limit(MOST_FREQUENT)
-    return np.sort(np.array([r.s for r in top.select("s").collect()], dtype=np.int64).view(np.uint64))
+def _most_frequent(values: DataFrame) -> np.ndarray:
+    """Sorted 64-bit values (column v) that occur FREQUENT times: at most MOST_FREQUENT."""
+    top = values.groupBy("v").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "v").limit(MOST_FREQUENT)
+    return np.sort(np.array([r.v for r in top.select("v").collect()], dtype=np.int64).view(np.uint64))
 
 
-def shared_keys(docs: DataFrame, frequent: np.ndarray, bits: int, text_col: str = "text") -> DataFrame:
-    """key, node, size, parts, many: the keys that several nodes have, with their number.
+def frequent_shingles_and_keys(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of very frequent shingles, and very frequent keys, by the sampled sets. They steer the work; no result depends on them."""
+    each = nodes.where("sample is not null").groupBy("node").agg(F.first("sample").alias("sample"))
+    frequent = _most_frequent(each.select(F.explode("sample").alias("v")))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in batch.column(0):
+                value = s.values.to_numpy().view(np.uint64)
+                key = join_keys(value, np.zeros(len(value), np.int64), np.array([len(value)]), frequent)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["v"])
+
+    return frequent, _most_frequent(each.select("sample").mapInArrow(keys, "v long"))
+
+
+def shared_keys(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray, bits: int, clashes: np.ndarray = NONE) -> DataFrame:
+    """key, node, size, kind, parts, many: the keys that several nodes have, with the number of these nodes.
 
     parts is the number of keys of that kind that the node has: two sets whose difference is at most D
-    share all but D of the parts of either.
+    share all but D of the parts of either. Very frequent keys have HOT for many, and may come repeatedly.
     """
 
     def pack(*held: list[np.ndarray]) -> pa.RecordBatch:
-        key = np.concatenate(held[0])
-        order = np.argsort(key)
-        key, node, size, parts = key[order], *(np.concatenate(x)[order] for x in held[1:])
-        parts = np.minimum(parts, (1 << 24) - 1)
-        bucket = (key >> U(64 - bits)).astype(np.int64)
+        bucket, low, node, size, parts = (np.concatenate(x) for x in held)
+        order = np.argsort(bucket, kind="stable")
+        bucket, low, node, size, parts = (x[order] for x in (bucket, low, node, size, parts))
         cuts = np.flatnonzero(np.diff(bucket)) + 1
-        edges = [0, *cuts.tolist(), len(key)]
-        # Below the range's own bits 40 more tell keys apart; a chance meeting only costs a comparison.
-        low = ((key << U(bits)) >> U(24)).astype("<u8")
+        edges = [0, *cuts.tolist(), len(bucket)]
         head, tail = (low >> U(8)).astype("<u4"), (low & U(255)).astype(np.uint8)
-        runs = [head[a:b].tobytes() + tail[a:b].tobytes() + node[a:b].tobytes() + size[a:b].astype("<u4").tobytes() + parts[a:b].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes() for a, b in zip(edges, edges[1:])]
+        few = parts.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+        runs = [head[a:b].tobytes() + tail[a:b].tobytes() + node[a:b].tobytes() + size[a:b].astype("<u4").tobytes() + few[a:b].tobytes() for a, b in zip(edges, edges[1:])]
         return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]], pa.int32()), pa.array(runs, pa.binary())], names=["bucket", "run"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, ...] = ([], [], [], [])
+        held: tuple[list, ...] = ([], [], [], [], [])
         count, seen = 0, np.zeros(0, np.int64)
         for batch in slices(batches, "text", SLICE):
             value, row = shingles(*flat_bytes(batch.column(0)))
-            size, node, _ = set_hashes(value, row, batch.num_rows)
+            size, node, _ = set_hashes(value, row, batch.num_rows, clashes)
             # Equal sets send their keys once.
             fresh = np.zeros(batch.num_rows, dtype=bool)
             fresh[np.unique(node, return_index=True)[1]] = True
             fresh &= ~np.isin(node, seen) & (size > 0)
             seen = np.union1d(seen, node)
             keep = fresh[row]
-            key, owner, parts = join_keys(value[keep], row[keep], np.where(fresh, size, 0), frequent)
-            for part, x in zip(held, (key, node[owner], size[owner].astype(np.uint32), parts.astype(np.uint32))):
+            key, owner, kind, parts = join_keys(value[keep], row[keep], np.where(fresh, size, 0), frequent)
+            bucket = (key >> U(64 - bits)).astype(np.int64)
+            # Below the range's own bits 40 more tell keys apart; a chance meeting only costs a comparison.
+            low = (key << U(bits)) >> U(24)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+                often = hot[at] == key
+                bucket[often] = (1 << bits) | (mix(node[owner[often]].view(np.uint64)) >> U(64 - bits)).astype(np.int64)
+                low[often] = at[often]
+            packed = np.minimum(parts, MANY_PARTS).astype(np.uint32) << np.uint32(3) | kind.astype(np.uint32)
+            for part, x in zip(held, (bucket, low, node[owner], size[owner].astype(np.uint32), packed)):
                 part.append(x)
             count += len(key)
             if count >= FLUSH_KEYS:
                 yield pack(*held)
-                held, count, seen = ([], [], [], []), 0, np.zeros(0, np.int64)
+                held, count, seen = ([], [], [], [], []), 0, np.zeros(0, np.int64)
         if count:
             yield pack(*held)
 
-    def meet(runs: list[bytes], bucket: int) -> pa.RecordBatch | None:
-        columns = []
-        for run in runs:
-            n = len(run) // 20
-            few = np.zeros((n, 4), dtype=np.uint8)
-            few[:, :3] = np.frombuffer(run, np.uint8, 3 * n, 17 * n).reshape(n, 3)
-            low = np.frombuffer(run, "<u4", n).astype(np.int64) << 8 | np.frombuffer(run, np.uint8, n, 4 * n)
-            columns.append((low, np.frombuffer(run, "<i8", n, 5 * n), np.frombuffer(run, "<u4", n, 13 * n), few.view("<u4")[:, 0]))
-        key = np.concatenate([c[0] for c in columns])
-        order = np.argsort(key)
+    def out(bucket: int, key: np.ndarray, node: np.ndarray, size: np.ndarray, parts: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+        whole = -1 - key if bucket >> bits else np.int64(bucket) << 40 | key
+        columns = (whole, node, size.astype(np.int64), (parts & 7).astype(np.int32), (parts >> 3).astype(np.int64), many.astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "node", "size", "kind", "parts", "many"])
+
+    def opened(run: bytes) -> tuple[np.ndarray, ...]:
+        n = len(run) // 20
+        few = np.zeros((n, 4), dtype=np.uint8)
+        few[:, :3] = np.frombuffer(run, np.uint8, 3 * n, 17 * n).reshape(n, 3)
+        low = np.frombuffer(run, "<u4", n).astype(np.int64) << 8 | np.frombuffer(run, np.uint8, n, 4 * n)
+        return low, np.frombuffer(run, "<i8", n, 5 * n), np.frombuffer(run, "<u4", n, 13 * n), few.view("<u4")[:, 0]
+
+    def meet(bucket: int, held: list[tuple[np.ndarray, ...]], free: np.ndarray, last: bool) -> tuple[pa.RecordBatch | None, list[tuple[np.ndarray, ...]], np.ndarray]:
+        """Rows of shared keys, the rows that wait for a partner, and the keys known to be shared (`free`), which no longer wait.
+
+        Only a range that outgrows HELD_KEYS is met before its last row; what it holds then is a row a key.
+        """
+        columns = [np.concatenate(x) for x in zip(*held)]
+        key = columns[0]
+        order = np.argsort(key, kind="stable")
         same = np.zeros(len(key) + 1, dtype=bool)
         same[1:-1] = key[order][1:] == key[order][:-1]
-        several = order[same[1:] | same[:-1]]
-        if not len(several):
-            return None
-        key, node, size, parts = key[several], *(np.concatenate([c[i] for c in columns])[several].astype(np.int64) for i in (1, 2, 3))
+        shared = np.isin(key[order], free) if len(free) or bucket >> bits else np.zeros(len(key), dtype=bool)
+        shared |= bool(bucket >> bits)
+        several = order[same[1:] | same[:-1] | shared]
+        alone = [] if last else order[~(same[1:] | same[:-1] | shared)]
+        key, node, size, parts = (c[several] for c in columns)
         order = np.lexsort((node, key))
         key, node, size, parts = key[order], node[order], size[order], parts[order]
         new = np.ones(len(key), dtype=bool)
@@ -272,153 +321,230 @@ def shared_keys(docs: DataFrame, frequent: np.ndarray, bits: int, text_col: str
         first = np.ones(len(key), dtype=bool)
         first[1:] = key[1:] != key[:-1]
         length = np.diff(np.append(np.flatnonzero(first), len(key)))
-        keep = np.repeat(length > 1, length)
-        if not keep.any():
-            return None
-        whole = np.int64(bucket) << 40 | key
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (whole, node, size, parts, np.repeat(length, length))], names=["key", "node", "size", "parts", "many"])
+        many = np.repeat(length, length)
+        known = np.isin(key, free) | bool(bucket >> bits)
+        if not last:
+            wait = ~known & (many == 1)  # one set that was sent several times
+            alone = [np.concatenate([c[alone], x[wait]]) for c, x in zip(columns, (key, node, size, parts))]
+            many[:] = HOT
+            key, node, size, parts, many = (x[~wait] for x in (key, node, size, parts, many))
+            free = free if bucket >> bits else np.union1d(free, key)
+        else:
+            keep = known | (many > 1)
+            many = np.where(known, HOT, many)
+            key, node, size, parts, many = (x[keep] for x in (key, node, size, parts, many))
+        return out(bucket, key, node, size, parts, many) if len(key) else None, [] if last or not len(alone[0]) else [tuple(alone)], free
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, now = [], None
+        held: list[tuple[np.ndarray, ...]] = []
+        now, count, free = -1, 0, np.zeros(0, np.int64)
         for batch in batches:
             for i, bucket in enumerate(batch.column(0).to_pylist()):
                 if bucket != now:
-                    if runs and (out := meet(runs, now)) is not None:
-                        yield out
-                    runs, now = [], bucket
-                runs.append(batch.column(1)[i].as_py())
-        if runs and (out := meet(runs, now)) is not None:
-            yield out
-
-    sent = docs.select(docs[text_col].alias("text")).where("text is not null").mapInArrow(send, "bucket int, run binary")
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(receive, "key long, node long, size long, parts long, many long")
-
-
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df marked for broadcast when it has at most BROADCAST_ROWS rows (of a few numbers each); else as it is."""
-    rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
-def verify(pairs: DataFrame, docs: DataFrame, places: DataFrame, text_col: str = "text") -> DataFrame:
-    """The pairs (a, b) of nodes whose exact sets have 100 * |intersection| >= 80 * |union|.
-
-    places: node and the doc_id of one text that has it. Texts of the pairs alone are hashed again;
-    the set of `a` travels with each pair to the set of `b`.
-    """
+                    if held and (found := meet(now, held, free, True)[0]) is not None:
+                        yield found
+                    now, held, count, free = bucket, [], 0, np.zeros(0, np.int64)
+                held.append(opened(batch.column(1)[i].as_py()))
+                count += len(held[-1][0])
+                if count >= HELD_KEYS:
+                    found, held, free = meet(now, held, free, False)
+                    count = sum(len(h[0]) for h in held) // 2
+                    if found is not None:
+                        yield found
+        if held and (found := meet(now, held, free, True)[0]) is not None:
+            yield found
+
+    sent = docs.select("text").where("text is not null").mapInArrow(send, "bucket int, run binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(receive, "key long, node long, size long, kind int, parts long, many int")
+
+
+def prune(keyed: DataFrame) -> DataFrame:
+    """key, node, size: each node's D + 1 rarest keys of a kind, those that no other node has (which aren't listed) counted first."""
+    each = keyed.where(F.col("many") < HOT).union(keyed.where(F.col("many") == HOT).distinct())
+    kind = W.partitionBy("node", "kind")
+    most = F.when(F.col("kind") < 3, F.floor(F.col("size") / 4)).otherwise(F.floor(2 * F.col("size") / 9))
+    own = F.col("parts") - F.count("*").over(kind)
+    rank = F.row_number().over(kind.orderBy("many", "key"))
+    return each.withColumn("kept", (rank + own <= most + 1) | (F.col("parts") >= MANY_PARTS)).where("kept").select("key", "node", "size")
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df (a written table) marked for broadcast when it has at most BROADCAST_BYTES: 16 for each column and row, and the length of strings; else as it is."""
+    texts = [F.length(c) for c, t in df.dtypes if t not in ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp")]
+    if any(t.startswith(("array", "map", "struct")) for _, t in df.dtypes):
+        return df
+    size = F.coalesce(F.sum(sum(texts, F.lit(16 * len(df.columns))).cast("long")), F.lit(0))
+    return F.broadcast(df) if df.agg(size).first()[0] <= BROADCAST_BYTES else df
+
+
+def shingle_sets(docs: DataFrame, needed: DataFrame, clashes: np.ndarray = NONE) -> DataFrame:
+    """node and shingles (array of hashes) of the needed nodes (node, doc_id, version of one text that has it). Only those texts are hashed again."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()  # a repeated row is hashed, but goes on once per task
         for batch in slices(batches, "text", SLICE):
-            value, row = shingles(*flat_bytes(batch.column(2)))
-            size, node, _ = set_hashes(value, row, batch.num_rows)
+            value, row = shingles(*flat_bytes(batch.column(1)))
+            size, node, _ = set_hashes(value, row, batch.num_rows, clashes)
             right = node == batch.column(0).to_numpy(zero_copy_only=False)
             for i in np.flatnonzero(right).tolist():
                 right[i] = node[i] not in done
                 done.add(node[i])
-            ends = np.cumsum(size)
-            found = [value[e - n : e].tobytes() for e, n in zip(ends, size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["node", "others", "shingles"]).filter(pa.array(right))
-
-    def check(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            common = len(np.intersect1d(p, q, assume_unique=True))
-            keep.append(100 * common >= 80 * (len(p) + len(q) - common))
-        return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    texts = docs.select(F.col("doc_id").alias("doc"), F.col(text_col).alias("text"))
-    by_a = pairs.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("others")).join(places.select("node", "doc_id"), "node")
-    by_b = pairs.select(F.col("b").alias("node")).distinct().join(places.select("node", "doc_id"), "node").withColumn("others", F.lit(None).cast("array<long>"))
-    schema = "node long, others array<long>, shingles binary"
-    left = texts.join(small(by_a), texts["doc"] == by_a["doc_id"]).select("node", "others", "text").mapInArrow(sets, schema)
-    right = texts.join(small(by_b), texts["doc"] == by_b["doc_id"]).select("node", "others", "text").mapInArrow(sets, schema)
-    one = left.select(F.col("node").alias("a"), F.explode("others").alias("b"), F.col("shingles").alias("x"))
-    two = right.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return map_arrow(one.join(two, "b").select("a", "b", "x", "y"), check, "a long, b long", "x", 2 << 20).distinct()
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(value.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["node", "shingles"]).filter(pa.array(right))
+
+    on = docs["doc_id"].eqNullSafe(needed["doc_id"]) & (docs["version"] == needed["version"])
+    return docs.join(small(needed), on).select(needed["node"], "text").mapInArrow(sets, "node long, shingles array<long>")
+
+
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose exact sets have 100 * |intersection| >= 80 * |union|."""
+    both = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
+    size = lambda c: F.size(c).cast("long")
+    common = size(F.array_intersect("x", "y"))
+    return both.withColumn("common", common).where(100 * F.col("common") >= 80 * (size("x") + size("y") - F.col("common"))).select("a", "b").distinct()
 
 
 def between(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """The pairs whose nodes are in different components, with these (g < h)."""
-    of = small(groups)
-    known = pairs.join(of.toDF("a", "ga"), "a", "left").join(of.toDF("b", "gb"), "b", "left").select("a", "b", "far", F.coalesce("ga", "a").alias("ga"), F.coalesce("gb", "b").alias("gb"))
+    known = pairs.join(groups.toDF("a", "ga"), "a").join(groups.toDF("b", "gb"), "b")
     return known.where("ga <> gb").select("a", "b", "far", F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h"))
 
 
-def crossing_pairs(keyed: DataFrame, groups: DataFrame, places: DataFrame, scratch: Scratch) -> DataFrame:
+def crossing_pairs(held: DataFrame, groups: DataFrame, places: DataFrame, scratch: Scratch) -> DataFrame:
     """a, b and sketch distance of nodes that share a key, but no component, and may be linked.
 
     The nodes of a key meet in blocks of BLOCK rows, each pair of blocks in a place of its own, so that a key
-    of any size is spread; only pairs that pass the bounds of sizes and bit sketches leave the block.
+    of any size is spread. Rows of its largest component meet the others only. Only pairs that pass the
+    bounds of sizes and bit sketches leave the block.
     """
-    known = keyed.join(small(groups), "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("group"))
-    mixed = scratch.cut(known.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("rows")).where("low < high").select("key", F.ceil(F.col("rows") / BLOCK).alias("blocks")))
-    rest = known.join(small(mixed), "key").join(places.select("node", "sketch"), "node")
-    rest = rest.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    where = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    side = F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    dealt = rest.select(where.alias("place"), "node", "size", "group", side.cast("int").alias("side"), "sketch").repartition("place").sortWithinPartitions("place")
+    known = held.join(groups, "node").select("key", "node", "size", F.col("component").alias("group"))
+    rows = known.groupBy("key", "group").agg(F.count("*").alias("rows"))
+    per = rows.groupBy("key").agg(F.max(F.struct("rows", "group")).alias("top"), F.sum("rows").alias("all"), F.count("*").alias("groups")).where("groups > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("long")
+    mixed = scratch.cut(per.select("key", F.col("top.group").alias("base"), blocks(F.col("top.rows")).alias("base_blocks"), blocks(F.col("all") - F.col("top.rows")).alias("blocks")))
+    rest = known.join(mixed, "key").join(places.select("node", "sketch"), "node")
+    each = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), f)
+    place = lambda what, a, b, side: F.struct(F.xxhash64("key", F.lit(what), a, b).alias("place"), F.lit(side).cast("int").alias("side") if isinstance(side, int) else side.cast("int").alias("side"))
+    is_base = F.col("group") == F.col("base")
+    rest = rest.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.when(is_base, F.col("base_blocks")).otherwise(F.col("blocks"))))
+    own = F.col("own")
+    side = lambda i: F.when(own == i, -1).when(own < i, 0).otherwise(1)
+    as_base = each(F.col("blocks"), lambda i: place(0, own, i, 0))
+    as_other = F.concat(each(F.col("base_blocks"), lambda i: place(0, i, own, 1)), each(F.col("blocks"), lambda i: place(1, F.least(own, i), F.greatest(own, i), side(i))))
+    dealt = rest.withColumn("to", F.explode(F.when(is_base, as_base).otherwise(as_other))).select("to.place", "node", "size", "group", "to.side", "sketch").repartition("place").sortWithinPartitions("place")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        part: list[pa.RecordBatch] = []
         for batch in batches:
-            place = batch.column(0).to_numpy()
-            cuts = np.flatnonzero(np.diff(place)) + 1
+            here = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(here)) + 1
             edges = [0, *cuts.tolist(), batch.num_rows]
             for a, b in zip(edges, edges[1:]):
-                part = batch.slice(a, b - a)
-                if held and held[0].column(0)[0] != part.column(0)[0]:
-                    yield from pairs_of(held)
-                    held = []
-                held.append(part)
-        if held:
-            yield from pairs_of(held)
-
-    def pairs_of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held)
-        node, size, group, side = (rows.column(c).to_numpy() for c in ("node", "size", "group", "side"))
-        i, j, far = close_pairs(node, size, group, side, rows.column("sketch").to_pylist())
+                more = batch.slice(a, b - a)
+                if part and part[0].column(0)[0] != more.column(0)[0]:
+                    yield from pairs_of(part)
+                    part = []
+                part.append(more)
+        if part:
+            yield from pairs_of(part)
+
+    def pairs_of(part: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(part)
+        node, size, group, side = (table.column(c).to_numpy() for c in ("node", "size", "group", "side"))
+        i, j, far = close_pairs(node, size, group, side, table.column("sketch").to_pylist())
         if len(i):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(far)], names=["a", "b", "far"])
 
     return dealt.mapInArrow(compare, "a long, b long, far long").distinct()
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) for every row of docs."""
-    scratch = Scratch(docs.sparkSession)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    nodes = scratch.cut(node_table(docs))
-    places = scratch.cut(nodes.where("node <> 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")))
+def link_groups(docs: DataFrame, scratch: Scratch, same_id: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Nodes of the rows (node_table), and node and component of all nodes that a link or, with same_id, a document joins to others.
+
+    docs: doc_id, text, version. With same_id rows without id link with nothing, and texts of one id are linked.
+    """
+    clashes = NONE
+    while True:
+        nodes = scratch.cut(node_table(docs, clashes))
+        linked = nodes.where("node <> 0 and doc_id is not null" if same_id else "node <> 0")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("first")
+        places = scratch.cut(linked.groupBy("node").agg(first, F.first("sketch").alias("sketch"), F.min("twin").alias("low"), F.max("twin").alias("high")).select("node", "first.doc_id", "first.version", "sketch", "low", "high"))
+        # Chance equals among 64-bit ids: a handful, if any, for any corpus.
+        found = np.array([r.node for r in places.where("low <> high").select("node").collect()], dtype=np.int64).view(np.uint64)
+        if not len(found):
+            break
+        clashes = np.union1d(clashes, found)
     total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
-    bits = int(np.clip(np.ceil(np.log2(max(1, 0.6 * total / RANGE_KEYS))), 4, 20))
-    keyed = scratch.cut(shared_keys(docs.where("doc_id is not null"), frequent_shingles(nodes), bits))
-    # The centre of a key is its node that shares most keys with others. A node meets the centre with which it
-    # has most keys in common, if these are as many as a link needs.
-    weight = keyed.groupBy("node").agg(F.sum("many").alias("weight"))
-    weighed = keyed.join(small(scratch.cut(weight)), "node")
-    centre = weighed.groupBy("key").agg(F.max(F.struct("weight", "node", "size")).alias("c")).select("key", F.col("c.node").alias("lead"), F.col("c.size").alias("lead_size"))
-    met = keyed.join(centre, "key").where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("shared"), F.min(F.col("parts") - F.floor((F.col("size") + F.col("lead_size")) / 9)).alias("need"))
-    stars = scratch.cut(met.where("shared >= need").groupBy("node").agg(F.max(F.struct("shared", "lead")).alias("best")).select("node", F.col("best.lead").alias("lead")))
-    links = scratch.cut(verify(stars.select(F.col("node").alias("a"), F.col("lead").alias("b")), docs, places))
-    groups = scratch.cut(connected_components(links, scratch))
-    pairs = scratch.cut(crossing_pairs(keyed, groups, places, scratch))
+    bits = int(np.clip(np.ceil(np.log2(max(1, 0.6 * total / RANGE_KEYS))), 4, 23))
+    frequent, hot = frequent_shingles_and_keys(nodes)
+    source = docs.where("doc_id is not null") if same_id else docs
+    keyed = scratch.cut(shared_keys(source, frequent, hot, bits, clashes))
+    pruned = scratch.cut(prune(keyed))
+    # The centre of a key is its node with most keys.
+    weight = scratch.cut(pruned.groupBy("node").agg(F.count("*").alias("weight")))
+    lead = F.max(F.struct("weight", "node"))
+    centres = scratch.cut(pruned.join(weight, "node").groupBy("key").agg(lead.alias("c"), F.count("*").alias("n")).where("n > 1").select("key", F.col("c.node").alias("lead")))
+    held = scratch.cut(pruned.join(centres, "key"))
+    shared = held.where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("shared"))
+    stars = shared.groupBy("node").agg(F.max(F.struct("shared", "lead")).alias("best")).select(F.col("node").alias("a"), F.col("best.lead").alias("b"))
+    needed = scratch.cut(held.select("node").distinct().join(places.select("node", "doc_id", "version"), "node"))
+    sets = scratch.cut(shingle_sets(source, needed, clashes))
+    if sets.count() > needed.count():  # rows repeated over several tasks
+        sets = scratch.cut(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
+    links, members = verify(scratch.cut(stars), sets), needed.select("node")
+    if same_id:
+        several = scratch.cut(linked.groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("doc_id", "least"))
+        own = scratch.cut(linked.select("doc_id", "node").join(several, "doc_id").where("node <> least").select("node", "least").distinct())
+        links, members = links.union(own), members.union(own.select("node")).union(own.select("least")).distinct()
+    joined = scratch.cut(connected_components(scratch.cut(links), scratch))
+    groups = scratch.cut(members.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+    pairs = scratch.cut(crossing_pairs(held, groups, places, scratch))
     for last in (False, False, True):
         # First the closest pair of two components, which may settle the others; at last all that are left.
         apart = scratch.cut(between(pairs, groups))
         if not apart.head(1):
             break
-        chosen = apart if last else apart.groupBy("g", "h").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b")
-        links = scratch.cut(links.union(verify(chosen.select("a", "b"), docs, places)))
-        groups = scratch.cut(connected_components(links, scratch))
-        pairs = pairs.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
-    # Documents of one node, and nodes of one document, are linked too.
-    same_doc = nodes.where("node <> 0 and doc_id is not null").select("doc_id", "node").distinct()
-    labelled = same_doc.join(groups, "node", "left").select("doc_id", F.coalesce("component", "node").alias("group"))
-    least = labelled.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    labelled = labelled.join(least, "group").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return nodes.join(labelled, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        chosen = apart if last else scratch.cut(apart.groupBy("g", "h").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b", "g", "h"))
+        links = scratch.cut(verify(chosen.select("a", "b"), sets).join(chosen, ["a", "b"]).select("g", "h").distinct())
+        joined = scratch.cut(connected_components(links, scratch))
+        groups = scratch.cut(groups.join(joined.toDF("component", "onto"), "component", "left").select("node", F.coalesce("onto", "component").alias("component")))
+        pairs = scratch.cut(apart.join(chosen.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "far")) if not last else pairs
+    scratch.release(nodes, groups)
+    return nodes, groups
+
+
+def _versioned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("version"))
+
+
+def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, version (xxhash64 of the text) and group for every row: rows whose texts are linked have one group; empty sets have none.
+
+    Texts alone decide: those of one id aren't linked for it, and rows without id take part.
+    """
+    scratch = Scratch(docs.sparkSession)
+    nodes, groups = link_groups(_versioned(docs, id_col, text_col), scratch)
+    group = F.when(F.col("node") != 0, F.coalesce("component", "node"))
+    return nodes.join(groups, "node", "left").select("doc_id", "version", group.alias("group"))
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) for every row of docs."""
+    scratch = Scratch(docs.sparkSession)
+    nodes, groups = link_groups(_versioned(docs, id_col, text_col), scratch, same_id=True)
+    own = nodes.where("node <> 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    own = scratch.cut(own.join(groups, "node", "left").select("node", "least", F.coalesce("component", "node").alias("group")))
+    least = scratch.cut(own.groupBy("group").agg(F.min("least").alias("component_id")))
+    reach = scratch.cut(own.join(least, "group").select("node", "component_id"))
+    found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    out = nodes.join(reach, "node", "left").select("doc_id", "n_shingles", found.alias("component_id"), "node")
+    # A document may have an empty text beside others.
+    both = out.groupBy("doc_id").agg(F.min(F.col("node") == 0).alias("all_empty"), F.max(F.col("node") == 0).alias("an_empty"), F.min("component_id").alias("id"))
+    both = scratch.cut(both.where("an_empty and not all_empty and doc_id is not null").select(F.col("doc_id").alias("d"), "id"))
+    if both.head(1):
+        out = out.join(small(both), F.col("doc_id") == F.col("d"), "left").withColumn("component_id", F.coalesce("id", "component_id"))
+    scratch.release(nodes, reach, both)
+    return out.select("doc_id", "n_shingles", "component_id")
 
 
 #: The same rows in DuckDB, by the pairs that share shingles.

@@ -440,7 +440,8 @@ def test_join_levels_blocks_and_frequent_shingles(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "SAMPLE", 1)
     monkeypatch.setattr(ngram_join, "FREQUENT", 3)
     monkeypatch.setattr(ngram_join, "BLOCK", 3)
-    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ngram_join, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(ngram_join, "HELD_KEYS", 50)
     rows = list(enumerate(near_copies(5, 8)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     assert {r.doc_id: r.component_id for r in ngram_join.similar_components(df).collect()} == brute_components(rows)
@@ -452,7 +453,7 @@ def test_every_link_shares_a_key():
     size, node, _ = ngram_join.set_hashes(value, row, len(texts))
     frequent = np.unique(value)[::3]
     for rare in (np.zeros(0, np.uint64), frequent):
-        key, owner, _ = ngram_join.join_keys(value, row, size, rare)
+        key, owner, _, _ = ngram_join.join_keys(value, row, size, rare)
         keys = [set(key[owner == i].tolist()) for i in range(len(texts))]
         sets = [shingle_set(t) for t in texts]
         sketch = ngram_join.bit_sketches(value, row, size)
@@ -469,6 +470,25 @@ def test_join_edges(spark):
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in ngram_join.similar_components(df).collect())
     assert got == [(-1, 2, None), (1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 0, 4), (5, 0, 5)]
     assert ngram_join.similar_components(df.limit(0)).count() == 0
+    rows = [(5, "a b c d e f"), (1, "a b c d e f"), (1, "x y z"), (0, "x y z"), (0, ""), (7, "q r"), (7, None)]
+    for kind in ("bigint", "string"):
+        df = spark.createDataFrame([(str(i) if kind == "string" else i, t) for i, t in rows], f"doc_id {kind}, text string")
+        assert sorted((int(r.doc_id), int(r.component_id)) for r in ngram_join.similar_components(df.union(df)).collect()) == sorted(2 * [(0, 0), (0, 0), (1, 0), (1, 0), (5, 0), (7, 7), (7, 7)])
+
+
+def test_chance_equals_of_set_ids_are_told_apart(spark, monkeypatch):
+    plain = ngram_join.set_hashes
+
+    def few(value, row, rows, clashes=ngram_join.NONE):
+        size, one, two = plain(value, row, rows)
+        one = np.where(size > 0, one.view(np.uint64) % np.uint64(3) + np.uint64(1), np.uint64(0))
+        clash = np.isin(one, clashes) & (size > 0)
+        return size, np.where(clash, two.view(np.uint64), one).view(np.int64), two
+
+    monkeypatch.setattr(ngram_join, "set_hashes", few)
+    rows = list(enumerate(near_copies(4, 4)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.similar_components(df).collect()} == brute_components(rows)
 
 
 # --- 9: BPE -------------------------------------------------------------------------------------------
