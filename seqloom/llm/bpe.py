@@ -2,15 +2,19 @@
 
 The symbols of many distinct pre-tokens lie in one flat array. Each round looks every adjacent pair
 up by binary search over the sorted pair keys, finds each word's lowest rank, and merges all its
-non-overlapping occurrences, leftmost first; words without a known pair leave the array. Finished
-words stay in a bounded cache of the worker, so a frequent word is merged once.
-
-Null texts count as empty and give no tokens. Special tokens that stand in a text are one id, as in
-the vocabulary file. Rows are independent: repeated rows, ties and extra columns have no effect.
+non-overlapping occurrences, leftmost first; words without a known pair leave the array. A word of more
+than LONG_WORD bytes has rounds of its own, one a rank, that touch only the pairs of this rank, so that
+a text without spaces takes time by its length and not its square. Finished words stay in a bounded
+cache of the worker, so a frequent word is merged once.
+
+Null and empty texts give no tokens; an empty table gives no rows. Special tokens that stand in a text are
+one id, as in the vocabulary file. Rows are independent: repeated rows and ties have no effect, very long
+texts are handled whole, and other columns than id and text are never read, so their names can't clash.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import sys
@@ -32,7 +36,10 @@ SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s
 #: U+0530 the numbers that are no decimal digits, and the white space of Python alone, are listed there.
 COMMON = r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 RARE = "[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0530-\U0010ffff]"
-CACHE_WORDS = 300_000
+#: Words, and bytes of words, from which on a worker's cache is emptied; longer words than LONG_WORD bytes have rounds of their own.
+CACHE_WORDS, CACHE_BYTES, LONG_WORD = 200_000, 16 << 20, 512
+#: Text bytes that one kernel call handles.
+SLICE = 1 << 20
 NONE = np.int64(1) << 40
 
 
@@ -79,6 +86,7 @@ class Vocabulary:
         made = np.array([ids[a + b] for a, b in pairs], dtype=np.int32)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
+        self.by_rank = [(a, b, c) for a, b, c in zip((keys // self.size).tolist(), (keys % self.size).tolist(), made.tolist())]
         self.byte_ids = np.array([ids[c] for c in letters], dtype=np.int32)
         pieces = [b""] * self.size
         for word, i in ids.items():
@@ -96,6 +104,7 @@ class Vocabulary:
         self.known: dict[str, int] = {s: k for k, s in enumerate(self.special)}
         self.flat = np.array(list(self.special.values()), dtype=np.uint32)
         self.ends = np.arange(1, 1 + len(self.special), dtype=np.int64)
+        self.held = 0
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens of a text; a special token is one of its own."""
@@ -117,7 +126,7 @@ class Vocabulary:
 
     def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, as uint32, and where each text begins in it."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS or self.held > CACHE_BYTES:
             self.clear()
         known, index, counts = self.known, [], []
         before = len(known)
@@ -127,6 +136,7 @@ class Vocabulary:
             counts.append(len(words))
         if len(known) > before:
             fresh = [w.encode() for w in islice(reversed(known), len(known) - before)][::-1]
+            self.held += sum(map(len, fresh))
             flat, ends = self.merge_words(fresh)
             self.ends = np.concatenate([self.ends, ends + len(self.flat)])
             self.flat = np.concatenate([self.flat, flat])
@@ -138,6 +148,69 @@ class Vocabulary:
         return ids, total[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
 
     def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in one array, and where each word ends."""
+        alone = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
+        if not alone:
+            return self.merge_short(words)
+        apart = set(alone)
+        flat, ends = self.merge_short([b"" if i in apart else w for i, w in enumerate(words)])
+        parts, at = [], 0
+        size = np.diff(ends, prepend=0)
+        for i in alone:
+            one = self.merge_long(words[i])
+            parts += [flat[at : ends[i]], one]
+            at, size[i] = ends[i], len(one)
+        return np.concatenate([*parts, flat[at:]]), np.cumsum(size)
+
+    def look(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, NONE where it is none."""
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NONE)
+
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """Ids of one word. A round merges all pairs of the lowest rank, found in lists of places by rank; symbols are linked to their neighbours."""
+        sym = self.byte_ids[np.frombuffer(word, dtype=np.uint8)].astype(np.int64)
+        n = len(sym)
+        after, before, gone = np.arange(1, n + 1), np.arange(-1, n - 1), np.zeros(n, dtype=bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(place: np.ndarray) -> None:
+            rank = self.look(sym[place], sym[after[place]])
+            place, rank = place[rank < NONE], rank[rank < NONE]
+            order = np.argsort(rank, kind="stable")
+            cuts = np.flatnonzero(np.diff(rank[order])) + 1
+            for part in np.split(place[order], cuts) if len(place) else []:
+                r = int(self.look(sym[part[:1]], sym[after[part[:1]]])[0])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(part)
+
+        wait(np.arange(n - 1))
+        while ranks:
+            r = heapq.heappop(ranks)
+            place = np.unique(np.concatenate(waiting.pop(r)))
+            left, right, made = self.by_rank[r]
+            place = place[~gone[place] & (after[place] < n)]
+            place = place[(sym[place] == left) & (sym[after[place]] == right)]
+            if left == right and len(place) > 1:
+                joined = np.concatenate([[False], after[place[:-1]] == place[1:]])
+                index = np.arange(len(place))
+                begin = np.maximum.accumulate(np.where(joined, 0, index))
+                place = place[(index - begin) % 2 == 0]
+            if not len(place):
+                continue
+            eaten = after[place]
+            sym[place], gone[eaten] = made, True
+            after[place] = far = after[eaten]
+            before[far[far < n]] = place[far < n]
+            ahead = before[place]
+            wait(np.concatenate([ahead[ahead >= 0], place[far < n]]))
+        return sym[~gone].astype(np.uint32)
+
+    def merge_short(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Merge rounds over all words at once: their ids in one array, and where each word ends."""
         lengths = np.array([len(w) for w in words], dtype=np.int64)
         sym = self.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)].astype(np.int64)
@@ -201,8 +274,8 @@ def vocabulary(text: str) -> Vocabulary:
     return _loaded[key]
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Rows of id, n_tokens, ids (packed little-endian unsigned 32-bit) and decoded text for every document.
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, back: bool = False) -> DataFrame:
+    """Rows of id, n_tokens and ids (packed little-endian unsigned 32-bit) for every document; with `back` also `decoded`, the text read back from the packed ids.
 
     The vocabulary file is read on the driver and travels with the tasks (1.5 MB, whatever the corpus).
     """
@@ -215,16 +288,18 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         ids, edges = v.encode_many(texts_of(batch.column(1)))
         packed = ids.astype("<u4").tobytes()
         cuts = (4 * edges).tolist()
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(np.diff(edges), pa.int64()), pa.array([packed[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())],
-            names=["id", "n_tokens", "ids"],
-        )
+        each = [packed[a:b] for a, b in zip(cuts, cuts[1:])]
+        columns = {"id": batch.column(0), "n_tokens": pa.array(np.diff(edges), pa.int64()), "ids": pa.array(each, pa.binary())}
+        if back:
+            columns["decoded"] = pa.array([v.decode(np.frombuffer(x, dtype="<u4")) for x in each], pa.string())
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return map_arrow(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), kernel, f"id {kind}, n_tokens long, ids binary", "text").withColumnRenamed("id", id_col)
+    schema = f"id {kind}, n_tokens long, ids binary" + ", decoded string" * back
+    return map_arrow(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), kernel, schema, "text", SLICE).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", path: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """The text of packed ids (column `ids`), malformed UTF-8 replaced; `carry` columns pass unchanged."""
+    """The text of packed ids (column `ids`), malformed UTF-8 replaced; `carry` columns pass unchanged. Null ids give an empty text."""
     with open(path or tokenizer_path(), encoding="utf-8") as f:
         spec = f.read()
     cols = [id_col, *carry, "ids"]
@@ -235,4 +310,4 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", path: str | None = None,
         out = [v.decode(np.frombuffer(x or b"", dtype="<u4")) for x in batch.column(batch.num_columns - 1).to_pylist()]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*cols, "decoded"])
 
-    return map_arrow(encoded.select(*cols), kernel, ", ".join(f"`{c}` {kinds[c]}" for c in cols) + ", decoded string", "ids")
+    return map_arrow(encoded.select(*cols), kernel, ", ".join(f"`{c}` {kinds[c]}" for c in cols) + ", decoded string", "ids", SLICE)

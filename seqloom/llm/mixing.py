@@ -6,9 +6,12 @@ schedule over training time; its integral is the source's cumulative demand for
 documents, in hash order and again for each repeat, lie on that demand: a copy whose middle word is
 demanded at time t is trained on at position t. Copies that lie beyond the whole demand aren't taken.
 
-Null texts have size 0 and give no words; null sources are one source, last in order. Repeated rows are
-rows of their own; the order of equal ids is by size, so reruns agree. Running sums go by hash ranges of
-about RANGE_ROWS rows, so that a hot source is spread over many tasks.
+Null and empty texts have size 0 and give no words; null sources are one source, last in order; rows without
+id are ordered by their text. Repeated rows are rows of their own, each with its copies; the order of equal
+ids is by size, so reruns agree. An empty table gives no rows. Very long texts are only counted. Columns not
+named in `carry` are left out, and the names of those that are mustn't be result columns. Running sums go by
+hash ranges of about RANGE_ROWS rows, so that a hot source is spread over many tasks; sources, of which a
+window holds one row each, are taken to be few (as names are, not documents).
 """
 
 from __future__ import annotations
@@ -79,7 +82,7 @@ def demand_time(share: Column, kind: Column, schedules=SCHEDULES) -> Column:
         time = F.lit(1.0)
         for t0, w0, slope, low, high in reversed(parts):
             need = share * total - low
-            root = need / w0 if slope == 0 else (F.sqrt(F.greatest(w0 * w0 + 2 * slope * need, F.lit(0.0))) - w0) / slope
+            root = need / w0 if slope == 0 else (F.sqrt(F.greatest(F.lit(w0 * w0) + F.lit(2 * slope) * need, F.lit(0.0))) - w0) / slope
             time = F.when(share * total <= high, root + t0).otherwise(time)
         out = F.when(kind == index, time).otherwise(out)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), out))
@@ -91,7 +94,7 @@ def assign(docs: DataFrame, range_rows: int = RANGE_ROWS, schedules=SCHEDULES, c
     `carry` columns of docs pass unchanged.
     """
     scratch = Scratch(docs.sparkSession)
-    key = F.coalesce(key_hash(F.col("doc_id")), F.lit(0).cast("long"))
+    key = key_hash(F.coalesce(F.col("doc_id").cast("string"), "text", F.lit("")))
     sized = scratch.cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), key.alias("h"), *carry))
     targets = scratch.cut(source_targets(sized))
     ranges = F.ceil(F.col("source_rows") / range_rows)
@@ -103,7 +106,7 @@ def assign(docs: DataFrame, range_rows: int = RANGE_ROWS, schedules=SCHEDULES, c
     inner = W.partitionBy("source", "r").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     offset = F.col("ahead") + F.coalesce(F.sum("size").over(inner), F.lit(0))
     placed = placed.withColumn("offset", offset)
-    middles = F.transform(F.sequence(F.lit(0), F.lit(MOST_REPEATS - 1)), lambda k: k * F.col("source_size") + F.col("offset") + F.col("size") / 2.0)
+    middles = F.transform(F.sequence(F.lit(0), F.lit(MOST_REPEATS - 1)), lambda k: k * F.col("source_size") + (F.col("offset") + F.col("size") / 2.0))
     inside = F.filter(middles, lambda m: m < F.col("target"))
     positions = F.transform(inside, lambda m: demand_time(m / F.col("target"), F.col("class"), schedules))
     return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.size(inside)).alias("taken"), positions.alias("positions"), *carry)
@@ -120,15 +123,34 @@ def training_order(docs: DataFrame, range_rows: int = RANGE_ROWS, schedules=SCHE
     return assign(docs, range_rows, schedules, carry).orderBy(F.size("positions") == 0, "positions", "doc_id", "size")
 
 
+def demand_sql(share: str, kind: str, schedules=SCHEDULES) -> str:
+    """demand_time as SQL text."""
+    number = lambda x: f"{x!r}::DOUBLE"
+    out = share
+    for index, knots in reversed(list(enumerate(schedules))):
+        parts, total = [], 0.0
+        for (t0, w0), (t1, w1) in zip(knots, knots[1:]):
+            area = (w0 + w1) / 2 * (t1 - t0)
+            parts.append((t0, w0, (w1 - w0) / (t1 - t0), total, total + area))
+            total += area
+        time = "1.0::DOUBLE"
+        for t0, w0, slope, low, high in reversed(parts):
+            need = f"({share} * {number(total)} - {number(low)})"
+            root = f"{need} / {number(w0)}" if slope == 0 else f"(sqrt(greatest({number(w0 * w0)} + {number(2 * slope)} * {need}, 0)) - {number(w0)}) / {number(slope)}"
+            time = f"CASE WHEN {share} * {number(total)} <= {number(high)} THEN {root} + {number(t0)} ELSE {time} END"
+        out = f"CASE WHEN {kind} = {index} THEN {time} ELSE {out} END"
+    return f"greatest(0, least(1, {out}))"
+
+
 #: The same rows in DuckDB: sizes, targets by the same closed form, and running sums in hash order.
 SQL = rf"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
-         coalesce(('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT, 0) AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 15))::BIGINT AS h
   FROM documents),
 stats AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 one AS (
-  SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM stats),
+  SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS class, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM stats),
 two AS (
   SELECT *, source_size * 3.0::DOUBLE AS cap, source_size * 3.0::DOUBLE / weight AS ratio,
          sum(source_size::DOUBLE) OVER () AS total, sum(weight) OVER () AS all_weight FROM one),
@@ -139,12 +161,16 @@ four AS (
   SELECT *, sum(CASE WHEN stopped THEN cap ELSE 0 END) OVER () AS kept_caps,
          sum(CASE WHEN stopped THEN 0 ELSE weight END) OVER () AS open_weight FROM three),
 targets AS (
-  SELECT source, source_size, CASE WHEN stopped THEN cap ELSE weight * ((total - kept_caps) / open_weight) END AS target FROM four),
+  SELECT source, source_size, class, CASE WHEN stopped THEN cap ELSE weight * ((total - kept_caps) / open_weight) END AS target FROM four),
 placed AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target,
+  SELECT s.doc_id, s.size, t.source_size, t.target, t.class,
          coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (size * ((before + size / 2.0::DOUBLE < target)::BIGINT + (source_size + before + size / 2.0::DOUBLE < target)::BIGINT
-              + (2 * source_size + before + size / 2.0::DOUBLE < target)::BIGINT))::BIGINT AS taken
-FROM placed"""
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+counted AS (
+  SELECT *, before + size / 2.0::DOUBLE AS middle, (before + size / 2.0::DOUBLE < target)::BIGINT + (source_size + before + size / 2.0::DOUBLE < target)::BIGINT
+              + (2 * source_size + before + size / 2.0::DOUBLE < target)::BIGINT AS n_copies
+  FROM placed)
+SELECT doc_id, size, source_size, target, (size * n_copies)::BIGINT AS taken, n_copies,
+       CASE WHEN n_copies > 0 THEN round({demand_sql('(middle / target)', 'class')}, 9) END AS first_position,
+       CASE WHEN n_copies > 0 THEN round({demand_sql('(((n_copies - 1) * source_size + middle) / target)', 'class')}, 9) END AS last_position
+FROM counted"""

@@ -39,9 +39,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of every document, in the order in which the curriculum trains on them."""
+    """Words that the mix takes of every document, and its training positions, in the order in which the curriculum trains on them."""
     mixed = mixing.training_order(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    at = lambda i: F.round(F.try_element_at("positions", F.lit(i)), 9)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("positions").cast("long").alias("n_copies"), at(1).alias("first_position"), at(-1).alias("last_position"))
 
 
 def op4_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +77,8 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the text decoded from them, as digests."""
-    coded = bpe.encode(table(spark, sf_dir, "documents"))
-    back = bpe.decode(coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids"), carry=("n_tokens", "ids_sha256"))
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    coded = bpe.encode(table(spark, sf_dir, "documents"), back=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

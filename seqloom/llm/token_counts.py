@@ -4,15 +4,20 @@ The tokens of a byte-level vocabulary have log-probabilities by Zipf's law of th
 file, nothing is trained), in whole units so that sums are exact. Distinct pre-tokens go into a trie of
 bytes; each new node gets the best forward score of its prefix once, over the tokens that end there, with
 the number of tokens on that path, and terminal nodes keep the count for their pre-token. Of equally
-likely paths the one of fewer tokens counts. Tries are per worker and bounded; a full one starts anew.
+likely paths the one of fewer tokens counts. Tries are per worker and bounded; a full one starts anew. A
+pre-token of more than LONG_WORD bytes, which hardly shares a prefix, is scored alone, with the scores of
+its last bytes only, so memory doesn't follow the longest word.
 
-Null and empty texts have no tokens. All 256 bytes are tokens, so every text has a path.
+Null and empty texts have no tokens; an empty table gives no rows. All 256 bytes are tokens, so every text has
+a path. Repeated rows are counted alike, each on its own; ties are settled as said. Other columns than id and
+text are never read, so their names can't clash.
 """
 
 from __future__ import annotations
 
 import base64
 import math
+from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +27,7 @@ from .common import map_arrow, texts_of, tokenizer_path
 
 NODES = 400_000
 WORDS = 300_000
+LONG_WORD = 1024
 UNIT = 1 << 20
 SHIFT = 2.7
 
@@ -34,6 +40,7 @@ class Trie:
         self.cost = {p: round(UNIT * (math.log(r + SHIFT) + norm)) for p, r in ranks.items()}
         #: Ends of tokens: beyond a string that isn't one, no longer token can end at the node.
         self.tails = {p[k:] for p in ranks for k in range(len(p))}
+        self.longest = max(map(len, ranks), default=1)
         self.clear()
 
     def clear(self) -> None:
@@ -66,6 +73,25 @@ class Trie:
         return tokens[node]
 
 
+    def alone(self, word: bytes) -> int:
+        """The same without the trie: scores of the last bytes, as many as the longest token has."""
+        best, tokens, cost, tails = deque([0], self.longest), deque([0], self.longest), self.cost, self.tails
+        for d in range(1, len(word) + 1):
+            least, count = None, 0
+            for back in range(1, min(d, self.longest) + 1):
+                piece = word[d - back : d]
+                if piece not in tails:
+                    break
+                c = cost.get(piece)
+                if c is not None:
+                    here, n = best[-back] + c, tokens[-back] + 1
+                    if least is None or here < least or (here == least and n < count):
+                        least, count = here, n
+            best.append(least)
+            tokens.append(count)
+        return tokens[-1]
+
+
 class Counter:
     """Token counts of texts, with terminals shared by all texts of a worker."""
 
@@ -88,7 +114,11 @@ class Counter:
             for w in words:
                 n = terminal.get(w)
                 if n is None:
-                    n = terminal[w] = trie.insert(w.encode())
+                    piece = w.encode()
+                    if len(piece) > LONG_WORD:
+                        n = trie.alone(piece)
+                    else:
+                        n = terminal[w] = trie.insert(piece)
                 total += n
             return len(words), total
         return len(words), sum(found)

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -209,7 +210,12 @@ def test_token_counts_match_viterbi(spark, rough):
             best[d] = min((best[k][0] + cost[word[k:d]], best[k][1] + 1) for k in range(d) if word[k:d] in cost)
         return best[-1][1]
 
-    texts = [r.text or "" for r in rough.where("length(text) < 3000 or text is null").collect()]
+    r = random.Random(5)
+    long = "".join(r.choice("abcdefgh") for _ in range(3000))
+    assert counter.trie.alone(long.encode()) == brute(long.encode()) == counter.count(long)[1]
+    huge = long * 350
+    assert counter.count(huge)[0] == 1 and len(counter.trie.best) < 10_000 and not counter.terminal
+    texts = [r.text or "" for r in rough.collect()]
     for t in texts:
         words = counter.vocabulary.words(t)
         assert "".join(words) == t
@@ -275,8 +281,14 @@ def test_curriculum_order_and_schedules(spark, rough):
 def test_registered_mixing_follows_the_schedules(spark, docs, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     at = {r.doc_id: r.positions for r in mixing.assign(docs).collect()}
-    order = [r.doc_id for r in queries.op4_mixing(spark, str(tmp_path)).collect()]
-    assert order == sorted(at, key=lambda d: (not at[d], at[d], d))
+    mixed = queries.op4_mixing(spark, str(tmp_path)).collect()
+    assert [r.doc_id for r in mixed] == sorted(at, key=lambda d: (not at[d], at[d], d))
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = {r[0]: r[1:] for r in con.execute(mixing.SQL).fetchall()}
+    for r in mixed:
+        assert tuple(r)[1:3] == want[r.doc_id][:2] and tuple(r)[4:6] == want[r.doc_id][3:5]
+        assert tuple(r)[6:] == pytest.approx(want[r.doc_id][5:], abs=1e-9) and len(at[r.doc_id]) == r.n_copies
     copies = queries.op4_curriculum(spark, str(tmp_path)).collect()
     assert [r.position for r in copies] == sorted(r.position for r in copies)
     assert sorted((r.doc_id, r.copy, r.position) for r in copies) == sorted((d, k, x) for d, p in at.items() for k, x in enumerate(p))
@@ -505,10 +517,18 @@ def test_bpe_equals_the_library(spark, rough):
     for t, a, b in zip(texts, edges, edges[1:]):
         want = tok.encode(t, add_special_tokens=False).ids
         assert ids[a:b].tolist() == want and v.decode(ids[a:b]) == tok.decode(want, skip_special_tokens=False) == t
+    letters = "".join(r.choice("abcdeaaé") for _ in range(30_000))
+    for t in (letters, "a" * 5001, "ab" * 4000 + " " + "the" * 3000, "=" * 3000 + "\n" + "é" * 900, " " * 4000 + "x"):
+        ids, _ = v.encode_many([t])
+        assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids and v.decode(ids) == t
+    began = time.time()
+    huge = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    assert v.decode(v.encode_many([huge])[0]) == huge and time.time() - began < 60
     odd = np.array([220, 172, 241, 50256], dtype=np.uint32)
     assert v.decode(odd) == tok.decode(odd.tolist(), skip_special_tokens=False)
     coded = bpe.encode(rough)
     back = bpe.decode(coded, carry=("n_tokens",))
+    assert sorted(map(tuple, bpe.encode(rough, back=True).select("doc_id", "decoded").collect()), key=str) == sorted(map(tuple, back.select("doc_id", "decoded").collect()), key=str)
     assert sorted(r.decoded for r in back.collect()) == sorted((r.text or "") for r in rough.collect())
     assert bpe.encode(rough.limit(0)).count() == 0
 
@@ -630,3 +650,24 @@ def test_pipeline_stages(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "none/documents.parquet"))
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "none/labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_stages_with_repeated_rows_and_clashing_names(spark):
+    r = random.Random(31)
+    one, two, three = (sentence(r, 40) for _ in range(3))
+    rows = [(1, one), (1, one), (1, two), (2, one + " end"), (None, three), (None, three), (None, "x y"), (3, three + " end"), (4, None), (4, ""), (4, ""), (5, "solo"), (5, "solo")]
+    df = spark.createDataFrame([(i, t, "en", "s0", 0) for i, t in rows], DOCS)
+    for c in ("version", "hash", "group", "position", "positions", "node", "_id", "score", "c0", "row"):
+        df = df.withColumn(c, F.lit("x"))
+    kept = corpus_pipeline.near_duplicates(spark, df, "")
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.where("text <> ''").collect()) == sorted([(1, one), (1, two), (0, "x y"), (3, three + " end"), (5, "solo")])
+    assert kept.where("doc_id = 4").count() == 3
+    mixed = corpus_pipeline.mix_sources(spark, df, "")
+    slim = df.select("doc_id", "source", "text")
+    want = collections.Counter()
+    for r in mixing.assign(slim.withColumn("t", F.coalesce("text", F.lit(""))), carry=("t",)).collect():
+        want[r.doc_id, r.t] += len(r.positions)
+    assert mixed.columns == df.columns and collections.Counter((r.doc_id, r.text or "") for r in mixed.collect()) == +want
+    assert corpus_pipeline.personal_data(spark, df, "").columns == df.columns
+    assert corpus_pipeline.tokens(spark, df, "").count() == len(rows)
