@@ -2,7 +2,11 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which
 is written and read again as the next one's docs. All but the last return the columns of documents.
-Rows with null text count as empty texts; extra columns pass unchanged. Empty tables pass through.
+
+Null texts count as empty ones; empty texts are scored, never linked, and give no words and no tokens. Rows of
+one id with different texts are documents of their own; repeated rows are one document to the near-duplicate
+stage and rows of their own elsewhere. Ties (equal texts, equal positions) go by id and by hashes, so reruns
+agree. Very long texts are handled whole. Extra columns pass unchanged under any name. Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -22,19 +26,36 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col(scored.columns[-1]) >= quality_gam.THRESHOLD).select(*docs.columns)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component; rows of one id are one document.
+def _plain(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with columns c0, c1, ... that clash with nothing, and the new names of doc_id and text."""
+    names = dict(zip(docs.columns, (f"c{i}" for i in range(len(docs.columns)))))
+    return docs.toDF(*names.values()), names["doc_id"], names["text"]
+
 
-    Rows without id are documents of their own, one for each text.
-    """
-    found = Scratch(spark).cut(ngram_join.similar_components(docs))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(ngram_join.small(gone), "doc_id", "left_anti")
-    twice = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
-    marked = kept.join(ngram_join.small(twice), F.col("doc_id").eqNullSafe(F.col("again")), "left_semi")
-    once = kept.join(ngram_join.small(twice), F.col("doc_id").eqNullSafe(F.col("again")), "left_anti")
-    one_each = marked.withColumn("_text", F.when(F.col("doc_id").isNull(), F.col("text"))).dropDuplicates(["doc_id", "_text"])
-    return once.select(*docs.columns).union(one_each.select(*docs.columns))
+def _one_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key, that of the least hash; a repeated row is reduced before it is dealt."""
+    best = F.min_by(F.struct(*[c for c in rows.columns if c not in keys]), F.xxhash64(*rows.columns)).alias("row")
+    return rows.groupBy(*keys).agg(best).select(*keys, "row.*").select(*rows.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked texts: that of the smallest id (one without id last; of equal ids, that of the smaller hash)."""
+    scratch = Scratch(spark)
+    rows = scratch.cut(ngram_join.similar_rows(docs).where("group is not null"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("f")
+    first = scratch.cut(rows.groupBy("group").agg(first).select("group", F.col("f.doc_id").alias("kept_id"), F.col("f.version").alias("kept")))
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    lost = rows.join(first, "group").where(~(same("doc_id", "kept_id") & same("version", "kept")))
+    lost = scratch.cut(lost.select("doc_id", "version").distinct())
+    again = scratch.cut(rows.groupBy("doc_id", "version").count().where("count > 1").select("doc_id", "version"))
+    plain, key, text = _plain(docs)
+    marked = plain.withColumn("hash", F.xxhash64(text))
+    on = same(key, "doc_id") & (F.col("hash") == F.col("version"))
+    kept = marked.join(ngram_join.small(lost), on, "left_anti")
+    if again.head(1):
+        repeated = _one_each(kept.join(ngram_join.small(again), on, "left_semi"), [key, "hash"])
+        kept = kept.join(ngram_join.small(again), on, "left_anti").union(repeated)
+    return kept.drop("hash").toDF(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,18 +66,26 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The copies that the curriculum takes, in order of their training position."""
-    version = F.xxhash64("text")
-    slim = docs.select("doc_id", "source", "text", version.alias("version"))
-    placed = mixing.assign(slim, carry=("version",)).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.explode("positions").alias("_position"))
-    whole = docs.join(placed, F.col("doc_id").eqNullSafe(F.col("_id")) & (version == F.col("_version")))
-    return whole.orderBy("_position", "_id").select(*docs.columns)
+    scratch = Scratch(spark)
+    plain, key, _ = _plain(docs)
+    marked = plain.withColumn("hash", F.xxhash64(*plain.columns))
+    slim = docs.select("doc_id", "source", "text", F.xxhash64(*docs.columns).alias("version"))
+    placed = scratch.cut(mixing.assign(slim, carry=("version",)).select("doc_id", "version", "positions"))
+    on = F.col(key).eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("version"))
+    # Equal rows are one row that has the copies of all of them.
+    again = scratch.cut(placed.groupBy("doc_id", "version").count().where("count > 1").select("doc_id", "version"))
+    if again.head(1):
+        repeated = _one_each(marked.join(ngram_join.small(again), on, "left_semi"), [key, "hash"])
+        marked = marked.join(ngram_join.small(again), on, "left_anti").union(repeated)
+    copies = scratch.cut(placed.select("doc_id", "version", F.explode("positions").alias("position")))
+    sorted_ = marked.join(ngram_join.small(copies), on).orderBy("position", key, "hash")
+    return sorted_.select(*plain.columns).toDF(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every copy, with digests of the ids and of the text decoded from them."""
-    coded = bpe.encode(docs)
-    back = bpe.decode(coded.withColumn("ids_sha256", F.sha2("ids", 256)).withColumn("packed", F.col("ids")), carry=("n_tokens", "ids_sha256", "packed"))
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.col("packed").alias("ids"))
+    coded = bpe.encode(docs, back=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "ids")
 
 
 STAGES = [
@@ -73,9 +102,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
-    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
+    docs, scratch, last = table(spark, sf_dir, "documents"), Scratch(spark), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = scratch.cut(docs)
+            docs, path = scratch.write(docs)
+            if last:
+                scratch.drop(last)
+            last = path
     return docs
