@@ -42,33 +42,33 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("m"))
 
 
-def _written(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, str, tuple]:
+def _written(edges: DataFrame, scratch: Scratch, rows: int | None) -> tuple[DataFrame, str, tuple]:
     """Writes edges; their number and a sum of their hashes come with the writing, without a pass of their own."""
     seen = Observation()
-    table, path = scratch.write(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")))
+    table, path = scratch.write(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")), rows)
     return table, path, (seen.get["n"], seen.get["s"])
 
 
-def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, rows: int | None = None) -> DataFrame:
     """edges: two columns of one orderable type. Rows of node and component (the least node it reaches).
 
-    Nulls and loops join nothing; nodes without an edge have no row.
+    Nulls and loops join nothing; nodes without an edge have no row. rows: the number of edges, where it is known.
     """
     a, b = edges.columns
-    now, path, state = _written(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(f"`{a}` <> `{b}`").distinct(), scratch)
+    now, path, state = _written(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(f"`{a}` <> `{b}`").distinct(), scratch, rows)
     before = None
     while state != before and state[0]:
-        before, old = state, [path]
+        before, old, rows = state, [path], 2 * state[0]  # a round doesn't add edges; both directions are listed
         both = now.union(now.select("b", "a"))
-        low, at = scratch.write(_least(both).select("a", F.least("a", "m").alias("m")))
+        low, at = scratch.write(_least(both).select("a", F.least("a", "m").alias("m")), rows)
         old.append(at)
-        wide, at = scratch.write(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"))
+        wide, at = scratch.write(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"), rows)
         old.append(at)
         # Every edge of `wide` leads from a node to a lesser one.
-        low, at = scratch.write(_least(wide))
+        low, at = scratch.write(_least(wide), rows)
         old.append(at)
         down = wide.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        now, path, state = _written(down.union(low.select("a", F.col("m").alias("b"))).distinct(), scratch)
+        now, path, state = _written(down.union(low.select("a", F.col("m").alias("b"))).distinct(), scratch, rows)
         for p in old:
             scratch.drop(p)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())

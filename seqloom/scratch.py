@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Rows of a few numbers that a file of a table of known size has: many small files cost more than the rows in them.
+ROWS_A_FILE = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,15 +38,17 @@ class Scratch:
         self.count = 0
         self.tables: dict[str, DataFrame] = {}
 
-    def write(self, df: DataFrame) -> tuple[DataFrame, str]:
+    def write(self, df: DataFrame, rows: int | None = None) -> tuple[DataFrame, str]:
+        """The table read back, and its path. rows: how many there are at most, where that is known; the last stage then has tasks by it."""
         path = f"{self.root}/{self.count}"
+        df = df if rows is None else df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
         self.count += 1
         df.write.option("compression", "zstd").parquet(path)
         table = self.tables[path] = self.spark.read.schema(df.schema).parquet(path)
         return table, path
 
-    def cut(self, df: DataFrame) -> DataFrame:
-        return self.write(df)[0]
+    def cut(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        return self.write(df, rows)[0]
 
     def drop(self, path: str) -> None:
         jvm = self.spark._jvm
