@@ -96,7 +96,7 @@ def assign(docs: DataFrame, range_rows: int = RANGE_ROWS, schedules=SCHEDULES, c
     scratch = Scratch(docs.sparkSession)
     key = key_hash(F.coalesce(F.col("doc_id").cast("string"), "text", F.lit("")))
     sized = scratch.cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), key.alias("h"), *carry))
-    targets = scratch.cut(source_targets(sized))
+    targets = scratch.cut(source_targets(sized), 1)  # one task's few rows
     ranges = F.ceil(F.col("source_rows") / range_rows)
     known = sized.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     known = known.withColumn("r", F.floor(F.col("h") / float(1 << 60) * ranges).cast("long"))

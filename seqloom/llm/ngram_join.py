@@ -421,7 +421,7 @@ def crossing_pairs(held: DataFrame, groups: DataFrame, places: DataFrame, scratc
     rows = known.groupBy("key", "group").agg(F.count("*").alias("rows"))
     per = rows.groupBy("key").agg(F.max(F.struct("rows", "group")).alias("top"), F.sum("rows").alias("all"), F.count("*").alias("groups")).where("groups > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("long")
-    mixed = scratch.cut(per.select("key", F.col("top.group").alias("base"), blocks(F.col("top.rows")).alias("base_blocks"), blocks(F.col("all") - F.col("top.rows")).alias("blocks")))
+    mixed = scratch.cut(per.select("key", F.col("top.group").alias("base"), blocks(F.col("top.rows")).alias("base_blocks"), blocks(F.col("all") - F.col("top.rows")).alias("blocks")), held.count())
     rest = known.join(mixed, "key").join(places.select("node", "sketch"), "node")
     each = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), f)
     place = lambda what, a, b, side: F.struct(F.xxhash64("key", F.lit(what), a, b).alias("place"), F.lit(side).cast("int").alias("side") if isinstance(side, int) else side.cast("int").alias("side"))
@@ -466,9 +466,10 @@ def link_groups(docs: DataFrame, scratch: Scratch, same_id: bool = False) -> tup
     clashes = NONE
     while True:
         nodes = scratch.cut(node_table(docs, clashes))
+        rows = nodes.count()
         linked = nodes.where("node <> 0 and doc_id is not null" if same_id else "node <> 0")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("first")
-        places = scratch.cut(linked.groupBy("node").agg(first, F.first("sketch").alias("sketch"), F.min("twin").alias("low"), F.max("twin").alias("high")).select("node", "first.doc_id", "first.version", "sketch", "low", "high"))
+        places = scratch.cut(linked.groupBy("node").agg(first, F.first("sketch").alias("sketch"), F.min("twin").alias("low"), F.max("twin").alias("high")).select("node", "first.doc_id", "first.version", "sketch", "low", "high"), 4 * rows)
         # Chance equals among 64-bit ids: a handful, if any, for any corpus.
         found = np.array([r.node for r in places.where("low <> high").select("node").collect()], dtype=np.int64).view(np.uint64)
         if not len(found):
@@ -479,36 +480,40 @@ def link_groups(docs: DataFrame, scratch: Scratch, same_id: bool = False) -> tup
     frequent, hot = frequent_shingles_and_keys(nodes)
     source = docs.where("doc_id is not null") if same_id else docs
     keyed = scratch.cut(shared_keys(source, frequent, hot, bits, clashes))
-    pruned = scratch.cut(prune(keyed))
+    pruned = scratch.cut(prune(keyed), keyed.count())
+    rows = pruned.count()
     # The centre of a key is its node with most keys.
-    weight = scratch.cut(pruned.groupBy("node").agg(F.count("*").alias("weight")))
+    weight = scratch.cut(pruned.groupBy("node").agg(F.count("*").alias("weight")), rows)
     lead = F.max(F.struct("weight", "node"))
-    centres = scratch.cut(pruned.join(weight, "node").groupBy("key").agg(lead.alias("c"), F.count("*").alias("n")).where("n > 1").select("key", F.col("c.node").alias("lead")))
-    held = scratch.cut(pruned.join(centres, "key"))
+    centres = scratch.cut(pruned.join(weight, "node").groupBy("key").agg(lead.alias("c"), F.count("*").alias("n")).where("n > 1").select("key", F.col("c.node").alias("lead")), rows)
+    held = scratch.cut(pruned.join(centres, "key"), rows)
     shared = held.where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("shared"))
     stars = shared.groupBy("node").agg(F.max(F.struct("shared", "lead")).alias("best")).select(F.col("node").alias("a"), F.col("best.lead").alias("b"))
-    needed = scratch.cut(held.select("node").distinct().join(places.select("node", "doc_id", "version"), "node"))
-    sets = scratch.cut(shingle_sets(source, needed, clashes))
-    if sets.count() > needed.count():  # rows repeated over several tasks
+    needed = scratch.cut(held.select("node").distinct().join(places.select("node", "doc_id", "version"), "node"), rows)
+    sets, rows = scratch.cut(shingle_sets(source, needed, clashes)), needed.count()
+    if sets.count() > rows:  # rows repeated over several tasks
         sets = scratch.cut(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
-    links, members = verify(scratch.cut(stars), sets), needed.select("node")
+    links, members = scratch.cut(verify(scratch.cut(stars, rows), sets), rows), needed.select("node")
     if same_id:
-        several = scratch.cut(linked.groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("doc_id", "least"))
-        own = scratch.cut(linked.select("doc_id", "node").join(several, "doc_id").where("node <> least").select("node", "least").distinct())
+        several = scratch.cut(linked.groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("doc_id", "least"), nodes.count())
+        own = scratch.cut(linked.select("doc_id", "node").join(several, "doc_id").where("node <> least").select("node", "least").distinct(), nodes.count())
         links, members = links.union(own), members.union(own.select("node")).union(own.select("least")).distinct()
-    joined = scratch.cut(connected_components(scratch.cut(links), scratch))
-    groups = scratch.cut(members.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+        rows += own.count()
+    joined = scratch.cut(connected_components(links, scratch, rows), rows)
+    groups = scratch.cut(members.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")), 2 * rows)
     pairs = scratch.cut(crossing_pairs(held, groups, places, scratch))
     for last in (False, False, True):
         # First the closest pair of two components, which may settle the others; at last all that are left.
-        apart = scratch.cut(between(pairs, groups))
-        if not apart.head(1):
+        apart = scratch.cut(between(pairs, groups), pairs.count())
+        rows = apart.count()
+        if not rows:
             break
-        chosen = apart if last else scratch.cut(apart.groupBy("g", "h").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b", "g", "h"))
-        links = scratch.cut(verify(chosen.select("a", "b"), sets).join(chosen, ["a", "b"]).select("g", "h").distinct())
-        joined = scratch.cut(connected_components(links, scratch))
-        groups = scratch.cut(groups.join(joined.toDF("component", "onto"), "component", "left").select("node", F.coalesce("onto", "component").alias("component")))
-        pairs = scratch.cut(apart.join(chosen.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "far")) if not last else pairs
+        chosen = apart if last else scratch.cut(apart.groupBy("g", "h").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b", "g", "h"), rows)
+        links = scratch.cut(verify(chosen.select("a", "b"), sets).join(chosen, ["a", "b"]).select("g", "h").distinct(), rows)
+        joined = scratch.cut(connected_components(links, scratch, rows), 2 * rows)
+        groups = scratch.cut(groups.join(joined.toDF("component", "onto"), "component", "left").select("node", F.coalesce("onto", "component").alias("component")), groups.count())
+        if not last:
+            pairs = scratch.cut(apart.join(chosen.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "far"), rows)
     scratch.release(nodes, groups)
     return nodes, groups
 
@@ -532,15 +537,15 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) for every row of docs."""
     scratch = Scratch(docs.sparkSession)
     nodes, groups = link_groups(_versioned(docs, id_col, text_col), scratch, same_id=True)
-    own = nodes.where("node <> 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    own = scratch.cut(own.join(groups, "node", "left").select("node", "least", F.coalesce("component", "node").alias("group")))
-    least = scratch.cut(own.groupBy("group").agg(F.min("least").alias("component_id")))
-    reach = scratch.cut(own.join(least, "group").select("node", "component_id"))
+    own, rows = nodes.where("node <> 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least")), nodes.count()
+    own = scratch.cut(own.join(groups, "node", "left").select("node", "least", F.coalesce("component", "node").alias("group")), rows)
+    least = scratch.cut(own.groupBy("group").agg(F.min("least").alias("component_id")), rows)
+    reach = scratch.cut(own.join(least, "group").select("node", "component_id"), rows)
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     out = nodes.join(reach, "node", "left").select("doc_id", "n_shingles", found.alias("component_id"), "node")
     # A document may have an empty text beside others.
     both = out.groupBy("doc_id").agg(F.min(F.col("node") == 0).alias("all_empty"), F.max(F.col("node") == 0).alias("an_empty"), F.min("component_id").alias("id"))
-    both = scratch.cut(both.where("an_empty and not all_empty and doc_id is not null").select(F.col("doc_id").alias("d"), "id"))
+    both = scratch.cut(both.where("an_empty and not all_empty and doc_id is not null").select(F.col("doc_id").alias("d"), "id"), rows)
     if both.head(1):
         out = out.join(small(both), F.col("doc_id") == F.col("d"), "left").withColumn("component_id", F.coalesce("id", "component_id"))
     scratch.release(nodes, reach, both)
