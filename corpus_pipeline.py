@@ -43,11 +43,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     scratch = Scratch(spark)
     rows = scratch.cut(ngram_join.similar_rows(docs).where("group is not null"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("f")
-    first = scratch.cut(rows.groupBy("group").agg(first).select("group", F.col("f.doc_id").alias("kept_id"), F.col("f.version").alias("kept")))
+    first = scratch.cut(rows.groupBy("group").agg(first).select("group", F.col("f.doc_id").alias("kept_id"), F.col("f.version").alias("kept")), rows.count())
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     lost = rows.join(first, "group").where(~(same("doc_id", "kept_id") & same("version", "kept")))
-    lost = scratch.cut(lost.select("doc_id", "version").distinct())
-    again = scratch.cut(rows.groupBy("doc_id", "version").count().where("count > 1").select("doc_id", "version"))
+    lost = scratch.cut(lost.select("doc_id", "version").distinct(), rows.count())
+    again = scratch.cut(rows.groupBy("doc_id", "version").count().where("count > 1").select("doc_id", "version"), rows.count())
     plain, key, text = _plain(docs)
     marked = plain.withColumn("hash", F.xxhash64(text))
     on = same(key, "doc_id") & (F.col("hash") == F.col("version"))
@@ -70,14 +70,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plain, key, _ = _plain(docs)
     marked = plain.withColumn("hash", F.xxhash64(*plain.columns))
     slim = docs.select("doc_id", "source", "text", F.xxhash64(*docs.columns).alias("version"))
-    placed = scratch.cut(mixing.assign(slim, carry=("version",)).select("doc_id", "version", "positions"))
+    placed = scratch.cut(mixing.assign(slim, carry=("version",)).select("doc_id", "version", "positions"), docs.count())
     on = F.col(key).eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("version"))
     # Equal rows are one row that has the copies of all of them.
-    again = scratch.cut(placed.groupBy("doc_id", "version").count().where("count > 1").select("doc_id", "version"))
+    again = scratch.cut(placed.groupBy("doc_id", "version").count().where("count > 1").select("doc_id", "version"), placed.count())
     if again.head(1):
         repeated = _one_each(marked.join(ngram_join.small(again), on, "left_semi"), [key, "hash"])
         marked = marked.join(ngram_join.small(again), on, "left_anti").union(repeated)
-    copies = scratch.cut(placed.select("doc_id", "version", F.explode("positions").alias("position")))
+    copies = scratch.cut(placed.select("doc_id", "version", F.explode("positions").alias("position")), 3 * placed.count())
     sorted_ = marked.join(ngram_join.small(copies), on).orderBy("position", key, "hash")
     return sorted_.select(*plain.columns).toDF(*docs.columns)
 
