@@ -55,7 +55,9 @@ FLUSH_KEYS, RANGE_KEYS, HELD_KEYS = 200_000, 400_000, 1_500_000
 #: One in so many sets tells what is very frequent: shingles and keys in FREQUENT of them; at most MOST_FREQUENT of each.
 SAMPLE, FREQUENT, MOST_FREQUENT = 64, 8, 100_000
 #: Bits of a bit sketch, as powers of two, and the rows of one key that a task compares with as many others.
-LEAST_BITS, MOST_BITS, BLOCK = 6, 13, 4096
+LEAST_BITS, MOST_BITS, BLOCK = 6, 17, 4096
+#: Bits for each shingle, at least; and the share of a sketch's words that a first look at a pair takes.
+BITS_A_SHINGLE, FIRST_LOOK = 8, 4
 #: A side of at most so many bytes is broadcast; a larger one is shuffled.
 BROADCAST_BYTES = 32 << 20
 #: Stands for the number of nodes of a very frequent key; and from so many parts on a set's keys aren't counted.
@@ -141,11 +143,11 @@ def join_keys(value: np.ndarray, row: np.ndarray, size: np.ndarray, frequent: np
 
 
 def bit_sketches(value: np.ndarray, row: np.ndarray, size: np.ndarray) -> list[bytes]:
-    """Parity bit sketches: each shingle flips one of m bits, m being the power of two from twice the set's size on.
+    """Parity bit sketches: each shingle flips one of m bits, m being the power of two from BITS_A_SHINGLE times the set's size on.
 
     The Hamming distance of two sketches (the longer folded by XOR) is at most the symmetric difference.
     """
-    bits = 1 << np.clip(np.ceil(np.log2(2 * np.maximum(size, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+    bits = 1 << np.clip(np.ceil(np.log2(BITS_A_SHINGLE * np.maximum(size, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
     begin = np.cumsum(bits) - bits
     place = (mix(value + U(7)) & (bits[row] - 1).astype(np.uint64)).astype(np.int64) + begin[row]
     parity = np.bincount(place, minlength=int(bits.sum())).astype(np.uint8) & 1
@@ -175,8 +177,10 @@ def close_pairs(node: np.ndarray, size: np.ndarray, group: np.ndarray, side: np.
         for v, other in kinds.items():
             if v < w or v > 2 * w:  # link sizes differ by less than a factor of two
                 continue
-            theirs = fold(words[v], w)
-            step = max(1, (1 << 20) // max(1, len(other) * w))
+            mine, theirs = words[w], fold(words[v], w)
+            look = max(1, w // FIRST_LOOK)
+            few, fewer = fold(mine, look), fold(theirs, look)
+            step = max(1, (1 << 20) // max(1, len(other) * look))
             for a in range(0, len(at), step):
                 i = at[a : a + step]
                 s, t = size[i][:, None], size[other][None, :]
@@ -185,9 +189,12 @@ def close_pairs(node: np.ndarray, size: np.ndarray, group: np.ndarray, side: np.
                 if v == w:
                     fit &= node[i][:, None] < node[other][None, :]
                 x, y = np.nonzero(fit)
+                most = (size[i][x] + size[other][y]) // 9
+                close = np.bitwise_count(few[a + x] ^ fewer[y]).sum(axis=1, dtype=np.int64) <= most
+                x, y, most = x[close], y[close], most[close]
                 if len(x):
-                    far = np.bitwise_count(words[w][a + x] ^ theirs[y]).sum(axis=1, dtype=np.int64)
-                    good = 9 * far <= size[i][x] + size[other][y]
+                    far = np.bitwise_count(mine[a + x] ^ theirs[y]).sum(axis=1, dtype=np.int64)
+                    good = far <= most
                     left.append(i[x[good]])
                     right.append(other[y[good]])
                     apart.append(far[good])
@@ -196,7 +203,7 @@ def close_pairs(node: np.ndarray, size: np.ndarray, group: np.ndarray, side: np.
 
 
 def node_table(docs: DataFrame, clashes: np.ndarray = NONE) -> DataFrame:
-    """doc_id, version, n_shingles, node (id of the set; 0 when empty), second fingerprint, bit sketch, and the shingles of one set in SAMPLE.
+    """doc_id, version, n_shingles, node (id of the set; 0 when empty), second fingerprint, and the shingles of one set in SAMPLE.
 
     docs: doc_id, text and version (a hash of the text).
     """
@@ -209,11 +216,11 @@ def node_table(docs: DataFrame, clashes: np.ndarray = NONE) -> DataFrame:
         picked = (one.view(np.uint64) % U(SAMPLE) == 0) & (size > 0)
         sample = [value[b - n : b].view(np.int64).tolist() if p else None for b, n, p in zip(ends, size, picked)]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(one), pa.array(two), pa.array(bit_sketches(value, row, size), pa.binary()), pa.array(sample, pa.list_(pa.int64()))],
-            names=["doc_id", "version", "n_shingles", "node", "twin", "sketch", "sample"],
+            [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(one), pa.array(two), pa.array(sample, pa.list_(pa.int64()))],
+            names=["doc_id", "version", "n_shingles", "node", "twin", "sample"],
         )
 
-    return map_arrow(docs.select("doc_id", "version", "text"), kernel, f"doc_id {kind}, version long, n_shingles long, node long, twin long, sketch binary, sample array<long>", "text", SLICE)
+    return map_arrow(docs.select("doc_id", "version", "text"), kernel, f"doc_id {kind}, version long, n_shingles long, node long, twin long, sample array<long>", "text", SLICE)
 
 
 def _most_frequent(values: DataFrame) -> np.ndarray:
@@ -378,7 +385,7 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, needed: DataFrame, clashes: np.ndarray = NONE) -> DataFrame:
-    """node and shingles (array of hashes) of the needed nodes (node, doc_id, version of one text that has it). Only those texts are hashed again."""
+    """node, shingles (array of hashes) and bit sketch of the needed nodes (node, doc_id, version of one text that has it). Only those texts are hashed again."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()  # a repeated row is hashed, but goes on once per task
@@ -390,14 +397,16 @@ def shingle_sets(docs: DataFrame, needed: DataFrame, clashes: np.ndarray = NONE)
                 right[i] = node[i] not in done
                 done.add(node[i])
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(value.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["node", "shingles"]).filter(pa.array(right))
+            sketch = pa.array(bit_sketches(value, row, size), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, sketch], names=["node", "shingles", "sketch"]).filter(pa.array(right))
 
     on = docs["doc_id"].eqNullSafe(needed["doc_id"]) & (docs["version"] == needed["version"])
-    return docs.join(small(needed), on).select(needed["node"], "text").mapInArrow(sets, "node long, shingles array<long>")
+    return docs.join(small(needed), on).select(needed["node"], "text").mapInArrow(sets, "node long, shingles array<long>, sketch binary")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose exact sets have 100 * |intersection| >= 80 * |union|."""
+    sets = sets.select("node", "shingles")
     both = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
     size = lambda c: F.size(c).cast("long")
     common = size(F.array_intersect("x", "y"))
@@ -410,7 +419,7 @@ def between(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return known.where("ga <> gb").select("a", "b", "far", F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h"))
 
 
-def crossing_pairs(held: DataFrame, groups: DataFrame, places: DataFrame, scratch: Scratch) -> DataFrame:
+def crossing_pairs(held: DataFrame, groups: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """a, b and sketch distance of nodes that share a key, but no component, and may be linked.
 
     The nodes of a key meet in blocks of BLOCK rows, each pair of blocks in a place of its own, so that a key
@@ -422,7 +431,7 @@ def crossing_pairs(held: DataFrame, groups: DataFrame, places: DataFrame, scratc
     per = rows.groupBy("key").agg(F.max(F.struct("rows", "group")).alias("top"), F.sum("rows").alias("all"), F.count("*").alias("groups")).where("groups > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("long")
     mixed = scratch.cut(per.select("key", F.col("top.group").alias("base"), blocks(F.col("top.rows")).alias("base_blocks"), blocks(F.col("all") - F.col("top.rows")).alias("blocks")), held.count())
-    rest = known.join(mixed, "key").join(places.select("node", "sketch"), "node")
+    rest = known.join(mixed, "key").join(sets.select("node", "sketch"), "node")
     each = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), f)
     place = lambda what, a, b, side: F.struct(F.xxhash64("key", F.lit(what), a, b).alias("place"), F.lit(side).cast("int").alias("side") if isinstance(side, int) else side.cast("int").alias("side"))
     is_base = F.col("group") == F.col("base")
@@ -469,7 +478,7 @@ def link_groups(docs: DataFrame, scratch: Scratch, same_id: bool = False) -> tup
         rows = nodes.count()
         linked = nodes.where("node <> 0 and doc_id is not null" if same_id else "node <> 0")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("first")
-        places = scratch.cut(linked.groupBy("node").agg(first, F.first("sketch").alias("sketch"), F.min("twin").alias("low"), F.max("twin").alias("high")).select("node", "first.doc_id", "first.version", "sketch", "low", "high"), 4 * rows)
+        places = scratch.cut(linked.groupBy("node").agg(first, F.min("twin").alias("low"), F.max("twin").alias("high")).select("node", "first.doc_id", "first.version", "low", "high"), rows)
         # Chance equals among 64-bit ids: a handful, if any, for any corpus.
         found = np.array([r.node for r in places.where("low <> high").select("node").collect()], dtype=np.int64).view(np.uint64)
         if not len(found):
@@ -492,7 +501,7 @@ def link_groups(docs: DataFrame, scratch: Scratch, same_id: bool = False) -> tup
     needed = scratch.cut(held.select("node").distinct().join(places.select("node", "doc_id", "version"), "node"), rows)
     sets, rows = scratch.cut(shingle_sets(source, needed, clashes)), needed.count()
     if sets.count() > rows:  # rows repeated over several tasks
-        sets = scratch.cut(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
+        sets = scratch.cut(sets.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch")))
     links, members = scratch.cut(verify(scratch.cut(stars, rows), sets), rows), needed.select("node")
     if same_id:
         several = scratch.cut(linked.groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("doc_id", "least"), nodes.count())
@@ -501,7 +510,7 @@ def link_groups(docs: DataFrame, scratch: Scratch, same_id: bool = False) -> tup
         rows += own.count()
     joined = scratch.cut(connected_components(links, scratch, rows), rows)
     groups = scratch.cut(members.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")), 2 * rows)
-    pairs = scratch.cut(crossing_pairs(held, groups, places, scratch))
+    pairs = scratch.cut(crossing_pairs(held, groups, sets, scratch))
     for last in (False, False, True):
         # First the closest pair of two components, which may settle the others; at last all that are left.
         apart = scratch.cut(between(pairs, groups), pairs.count())
