@@ -18,12 +18,14 @@ when it has fewer words). Two sets with Jaccard similarity J >= 0.8 have a symme
 4. Prune. Partners differ in at most D parts, so the rarest key that they share is among the D + 1 rarest of
    either's keys of that kind; all others go. Sets with more than D keys of their own have no partner.
 5. Stars. Each node is first verified against one centre: of its keys' most connected nodes the one it
-   shares most keys with. Links found are contracted to components, so a group of thousands of near copies
-   costs a comparison each, not their square.
+   shares most keys with. Links found are contracted to components, and what a key has beside its centre's
+   component gets a centre of its own in the next round. So a group of thousands of near copies costs a
+   few comparisons each, not their square.
 6. Verify. Keys that still hold several components are compared in blocks: parity bit sketches, in which
    every shingle flips one bit, bound the symmetric difference from below by their Hamming distance, and
-   only pairs within the bound of a link leave the block, to be verified with the exact sets. The largest
-   component of a key is dealt once for each block of the key's other nodes and never meets itself.
+   only pairs within the bound of a link leave the block, to be verified with the exact sets: each
+   component's closest pair first, and what other components are left at last. The largest component of a
+   key is dealt once for each block of the key's other nodes and never meets itself.
 
 Results: empty texts and texts without words have an empty set and are alone. Texts of one id are linked with
 each other, and repeated rows are linked as equal texts are; null ids stay as rows of their own. An empty
@@ -58,6 +60,8 @@ SAMPLE, FREQUENT, MOST_FREQUENT = 64, 8, 100_000
 LEAST_BITS, MOST_BITS, BLOCK = 6, 17, 4096
 #: Bits for each shingle, at least; and the share of a sketch's words that a first look at a pair takes.
 BITS_A_SHINGLE, FIRST_LOOK = 8, 4
+#: Rounds of centres, and of closest pairs, before all pairs that are left are verified.
+STARS, TURNS = 4, 8
 #: A side of at most so many bytes is broadcast; a larger one is shuffled.
 BROADCAST_BYTES = 32 << 20
 #: Stands for the number of nodes of a very frequent key; and from so many parts on a set's keys aren't counted.
@@ -491,38 +495,63 @@ def link_groups(docs: DataFrame, scratch: Scratch, same_id: bool = False) -> tup
     keyed = scratch.cut(shared_keys(source, frequent, hot, bits, clashes))
     pruned = scratch.cut(prune(keyed), keyed.count())
     rows = pruned.count()
-    # The centre of a key is its node with most keys.
-    weight = scratch.cut(pruned.groupBy("node").agg(F.count("*").alias("weight")), rows)
-    lead = F.max(F.struct("weight", "node"))
-    centres = scratch.cut(pruned.join(weight, "node").groupBy("key").agg(lead.alias("c"), F.count("*").alias("n")).where("n > 1").select("key", F.col("c.node").alias("lead")), rows)
-    held = scratch.cut(pruned.join(centres, "key"), rows)
-    shared = held.where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("shared"))
-    stars = shared.groupBy("node").agg(F.max(F.struct("shared", "lead")).alias("best")).select(F.col("node").alias("a"), F.col("best.lead").alias("b"))
-    needed = scratch.cut(held.select("node").distinct().join(places.select("node", "doc_id", "version"), "node"), rows)
-    sets, rows = scratch.cut(shingle_sets(source, needed, clashes)), needed.count()
-    if sets.count() > rows:  # rows repeated over several tasks
-        sets = scratch.cut(sets.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch")))
-    links, members = scratch.cut(verify(scratch.cut(stars, rows), sets), rows), needed.select("node")
-    if same_id:
-        several = scratch.cut(linked.groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("doc_id", "least"), nodes.count())
-        own = scratch.cut(linked.select("doc_id", "node").join(several, "doc_id").where("node <> least").select("node", "least").distinct(), nodes.count())
-        links, members = links.union(own), members.union(own.select("node")).union(own.select("least")).distinct()
-        rows += own.count()
-    joined = scratch.cut(connected_components(links, scratch, rows), rows)
-    groups = scratch.cut(members.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")), 2 * rows)
+    rest, groups, sets = pruned, None, None
+
+    def contracted(groups: DataFrame, links: DataFrame, rows: int) -> DataFrame:
+        """groups after links (g, h) between components."""
+        joined = scratch.cut(connected_components(links, scratch, rows), 2 * rows)
+        return scratch.cut(groups.join(joined.toDF("component", "onto"), "component", "left").select("node", F.coalesce("onto", "component").alias("component")), groups.count())
+
+    for star in range(STARS):
+        # The centre of a key is its node with most keys. Keys that no other node has are left behind.
+        weight = scratch.cut(rest.groupBy("node").agg(F.count("*").alias("weight")), rows)
+        lead = F.max(F.struct("weight", "node"))
+        centres = scratch.cut(rest.join(weight, "node").groupBy("key").agg(lead.alias("c"), F.count("*").alias("n")).where("n > 1").select("key", F.col("c.node").alias("lead")), rows)
+        rest = scratch.cut(rest.join(centres, "key"), rows)
+        if groups is None:
+            held = rest
+            needed = scratch.cut(held.select("node").distinct().join(places.select("node", "doc_id", "version"), "node"), rows)
+            sets, count = scratch.cut(shingle_sets(source, needed, clashes)), needed.count()
+            if sets.count() > count:  # rows repeated over several tasks
+                sets = scratch.cut(sets.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch")))
+            groups = needed.select("node", F.col("node").alias("component"))
+            if same_id:
+                several = scratch.cut(linked.groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("doc_id", "least"), nodes.count())
+                own = scratch.cut(linked.select("doc_id", "node").join(several, "doc_id").where("node <> least").select("node", "least").distinct(), nodes.count())
+                if own.head(1):
+                    every = groups.select("node").union(own.select("node")).union(own.select("least")).distinct()
+                    groups = contracted(scratch.cut(every.select("node", F.col("node").alias("component")), count + 2 * own.count()), own, own.count())
+        between_ = lambda df: df.join(groups.toDF("node", "g"), "node").join(groups.toDF("lead", "h"), "lead").where("g <> h")  # noqa: B023, E731
+        shared = between_(rest).groupBy("node", "lead", "g", "h").agg(F.count("*").alias("shared"))
+        best = F.max(F.struct("shared", "lead", "g", "h")).alias("best")
+        stars = scratch.cut(shared.groupBy("node").agg(best).select(F.col("node").alias("a"), F.col("best.lead").alias("b"), "best.g", "best.h"), count)
+        links = scratch.cut(verify(stars.select("a", "b"), sets).join(stars, ["a", "b"]).select("g", "h").distinct(), count)
+        new = links.count()
+        if not new:
+            break
+        groups = contracted(groups, links, new)
+        rest = scratch.cut(between_(rest).select("key", "node"), rows)
+        rows = rest.count()
+        if not rows:
+            break
     pairs = scratch.cut(crossing_pairs(held, groups, sets, scratch))
-    for last in (False, False, True):
-        # First the closest pair of two components, which may settle the others; at last all that are left.
+    for turn in range(TURNS):
+        # First each component's closest pair with another, which may settle the others; at last all that are left.
         apart = scratch.cut(between(pairs, groups), pairs.count())
         rows = apart.count()
         if not rows:
             break
-        chosen = apart if last else scratch.cut(apart.groupBy("g", "h").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b", "g", "h"), rows)
+        ends = F.explode(F.array(*[F.struct(F.col(c).alias("c"), "far", "a", "b", "g", "h") for c in ("g", "h")])).alias("e")
+        closest = apart.select(ends).select("e.*").groupBy("c").agg(F.min(F.struct("far", "a", "b", "g", "h")).alias("p"))
+        chosen = scratch.cut(closest.select("p.a", "p.b", "p.g", "p.h").distinct(), rows)
+        last = turn == TURNS - 1 or rows <= 4 * chosen.count()
+        if last:
+            chosen = apart
         links = scratch.cut(verify(chosen.select("a", "b"), sets).join(chosen, ["a", "b"]).select("g", "h").distinct(), rows)
-        joined = scratch.cut(connected_components(links, scratch, rows), 2 * rows)
-        groups = scratch.cut(groups.join(joined.toDF("component", "onto"), "component", "left").select("node", F.coalesce("onto", "component").alias("component")), groups.count())
-        if not last:
-            pairs = scratch.cut(apart.join(chosen.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "far"), rows)
+        groups = contracted(groups, links, links.count())
+        if last:
+            break
+        pairs = scratch.cut(apart.join(chosen.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "far"), rows)
     scratch.release(nodes, groups)
     return nodes, groups
 
