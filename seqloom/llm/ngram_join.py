@@ -24,7 +24,7 @@ when it has fewer words). Two sets with Jaccard similarity J >= 0.8 have a symme
 6. Verify. Keys that still hold several components are compared in blocks: parity bit sketches, in which
    every shingle flips one bit, bound the symmetric difference from below by their Hamming distance, and
    only pairs within the bound of a link leave the block, to be verified with the exact sets: each
-   component's closest pair first, and what other components are left at last. The largest component of a
+   component's closest pair in a block as long as that joins any, and then all pairs that are left. The largest component of a
    key is dealt once for each block of the key's other nodes and never meets itself.
 
 Results: empty texts and texts without words have an empty set and are alone. Texts of one id are linked with
@@ -61,7 +61,7 @@ LEAST_BITS, MOST_BITS, BLOCK = 6, 17, 4096
 #: Bits for each shingle, at least; and the share of a sketch's words that a first look at a pair takes.
 BITS_A_SHINGLE, FIRST_LOOK = 8, 4
 #: Rounds of centres, and of closest pairs, before all pairs that are left are verified.
-STARS, TURNS = 4, 8
+STARS, TURNS = 2, 8
 #: A side of at most so many bytes is broadcast; a larger one is shuffled.
 BROADCAST_BYTES = 32 << 20
 #: Stands for the number of nodes of a very frequent key; and from so many parts on a set's keys aren't counted.
@@ -167,8 +167,8 @@ def fold(sketch: np.ndarray, width: int) -> np.ndarray:
     return sketch
 
 
-def close_pairs(node: np.ndarray, size: np.ndarray, group: np.ndarray, side: np.ndarray, sketch: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places i, j and sketch distance of rows of different groups whose sizes and sketches allow a link.
+def close_pairs(node: np.ndarray, size: np.ndarray, group: np.ndarray, side: np.ndarray, sketch: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places i, j and sketch distance of rows of different groups whose sizes and sketches allow a link, some blocks at a time.
 
     side: -1 for rows that meet all others, or 0 and 1 for rows that meet the other side only.
     Rows are compared in blocks, those with sketches of one length at a time.
@@ -176,7 +176,6 @@ def close_pairs(node: np.ndarray, size: np.ndarray, group: np.ndarray, side: np.
     width = np.array([len(s) // 8 for s in sketch])
     kinds = {w: np.flatnonzero(width == w) for w in np.unique(width)}
     words = {w: np.frombuffer(b"".join(sketch[i] for i in at), dtype="<u8").reshape(len(at), w) for w, at in kinds.items()}
-    left, right, apart = [], [], []
     for w, at in kinds.items():
         for v, other in kinds.items():
             if v < w or v > 2 * w:  # link sizes differ by less than a factor of two
@@ -196,14 +195,23 @@ def close_pairs(node: np.ndarray, size: np.ndarray, group: np.ndarray, side: np.
                 most = (size[i][x] + size[other][y]) // 9
                 close = np.bitwise_count(few[a + x] ^ fewer[y]).sum(axis=1, dtype=np.int64) <= most
                 x, y, most = x[close], y[close], most[close]
-                if len(x):
-                    far = np.bitwise_count(mine[a + x] ^ theirs[y]).sum(axis=1, dtype=np.int64)
-                    good = far <= most
-                    left.append(i[x[good]])
-                    right.append(other[y[good]])
-                    apart.append(far[good])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right), np.concatenate(apart)) if left else (none, none, none)
+                for k in range(0, len(x), 1 + (1 << 20) // w):
+                    p, q = x[k : k + 1 + (1 << 20) // w], y[k : k + 1 + (1 << 20) // w]
+                    far = np.bitwise_count(mine[a + p] ^ theirs[q]).sum(axis=1, dtype=np.int64)
+                    good = far <= most[k : k + len(p)]
+                    if good.any():
+                        yield i[p[good]], other[q[good]], far[good]
+
+
+def closest(group: np.ndarray, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs those that are the closest one of either group."""
+    keep = np.zeros(len(i), dtype=bool)
+    for end in (i, j):
+        order = np.lexsort((far, group[end]))
+        first = np.ones(len(order), dtype=bool)
+        first[1:] = group[end][order][1:] != group[end][order][:-1]
+        keep[order[first]] = True
+    return i[keep], j[keep], far[keep]
 
 
 def node_table(docs: DataFrame, clashes: np.ndarray = NONE) -> DataFrame:
@@ -417,14 +425,10 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.withColumn("common", common).where(100 * F.col("common") >= 80 * (size("x") + size("y") - F.col("common"))).select("a", "b").distinct()
 
 
-def between(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The pairs whose nodes are in different components, with these (g < h)."""
-    known = pairs.join(groups.toDF("a", "ga"), "a").join(groups.toDF("b", "gb"), "b")
-    return known.where("ga <> gb").select("a", "b", "far", F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h"))
-
+def crossing_pairs(held: DataFrame, groups: DataFrame, sets: DataFrame, scratch: Scratch, every: bool) -> DataFrame:
+    """a, b (nodes that share a key, but no component, and may be linked), their components g and h, and `more`.
 
-def crossing_pairs(held: DataFrame, groups: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """a, b and sketch distance of nodes that share a key, but no component, and may be linked.
+    Without `every`, a place gives each component's closest pair only, and `more` tells that there were others.
 
     The nodes of a key meet in blocks of BLOCK rows, each pair of blocks in a place of its own, so that a key
     of any size is spread. Rows of its largest component meet the others only. Only pairs that pass the
@@ -464,11 +468,23 @@ def crossing_pairs(held: DataFrame, groups: DataFrame, sets: DataFrame, scratch:
     def pairs_of(part: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(part)
         node, size, group, side = (table.column(c).to_numpy() for c in ("node", "size", "group", "side"))
-        i, j, far = close_pairs(node, size, group, side, table.column("sketch").to_pylist())
-        if len(i):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(far)], names=["a", "b", "far"])
+        found = close_pairs(node, size, group, side, table.column("sketch").to_pylist())
+        if every:
+            for i, j, _ in found:
+                yield rows_of(node, group, i, j, False)
+            return
+        best, total = (np.zeros(0, np.int64),) * 3, 0
+        for some in found:
+            total += len(some[0])
+            best = closest(group, *(np.concatenate(x) for x in zip(best, some)))
+        if total:
+            yield rows_of(node, group, best[0], best[1], total > len(best[0]))
 
-    return dealt.mapInArrow(compare, "a long, b long, far long").distinct()
+    def rows_of(node: np.ndarray, group: np.ndarray, i: np.ndarray, j: np.ndarray, more: bool) -> pa.RecordBatch:
+        columns = [np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.minimum(group[i], group[j]), np.maximum(group[i], group[j]), np.full(len(i), more)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "g", "h", "more"])
+
+    return dealt.mapInArrow(compare, "a long, b long, g long, h long, more boolean").groupBy("a", "b", "g", "h").agg(F.max("more").alias("more"))
 
 
 def link_groups(docs: DataFrame, scratch: Scratch, same_id: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -514,7 +530,7 @@ def link_groups(docs: DataFrame, scratch: Scratch, same_id: bool = False) -> tup
             sets, count = scratch.cut(shingle_sets(source, needed, clashes)), needed.count()
             if sets.count() > count:  # rows repeated over several tasks
                 sets = scratch.cut(sets.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch")))
-            groups = needed.select("node", F.col("node").alias("component"))
+            groups = scratch.cut(needed.select("node", F.col("node").alias("component")), count)
             if same_id:
                 several = scratch.cut(linked.groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("doc_id", "least"), nodes.count())
                 own = scratch.cut(linked.select("doc_id", "node").join(several, "doc_id").where("node <> least").select("node", "least").distinct(), nodes.count())
@@ -534,24 +550,21 @@ def link_groups(docs: DataFrame, scratch: Scratch, same_id: bool = False) -> tup
         rows = rest.count()
         if not rows:
             break
-    pairs = scratch.cut(crossing_pairs(held, groups, sets, scratch))
+    every = False
     for turn in range(TURNS):
-        # First each component's closest pair with another, which may settle the others; at last all that are left.
-        apart = scratch.cut(between(pairs, groups), pairs.count())
-        rows = apart.count()
+        # First each component's closest pairs, which may settle the others; at last all that are left.
+        every |= turn == TURNS - 1
+        pairs = scratch.cut(crossing_pairs(held, groups, sets, scratch, every))
+        rows = pairs.count()
         if not rows:
             break
-        ends = F.explode(F.array(*[F.struct(F.col(c).alias("c"), "far", "a", "b", "g", "h") for c in ("g", "h")])).alias("e")
-        closest = apart.select(ends).select("e.*").groupBy("c").agg(F.min(F.struct("far", "a", "b", "g", "h")).alias("p"))
-        chosen = scratch.cut(closest.select("p.a", "p.b", "p.g", "p.h").distinct(), rows)
-        last = turn == TURNS - 1 or rows <= 4 * chosen.count()
-        if last:
-            chosen = apart
-        links = scratch.cut(verify(chosen.select("a", "b"), sets).join(chosen, ["a", "b"]).select("g", "h").distinct(), rows)
-        groups = contracted(groups, links, links.count())
-        if last:
+        links = scratch.cut(verify(pairs.select("a", "b"), sets).join(pairs, ["a", "b"]).select("g", "h").distinct(), rows)
+        new = links.count()
+        if new:
+            groups = contracted(groups, links, new)
+        if every or not pairs.where("more").head(1):
             break
-        pairs = scratch.cut(apart.join(chosen.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "far"), rows)
+        every = not new
     scratch.release(nodes, groups)
     return nodes, groups
 
