@@ -1,15 +1,19 @@
-"""Substring removal by hashing lines and sentences.
-
-Units are the lines of a text, the sentences inside them (up to . ! or ? before white space), and pairs
-of neighbouring chunks of words. Chunks run over the whole text and are cut where the hash of two
-successive words is the least within CHUNK_REACH words, so equal passages are cut alike wherever they
-stand (chunks have some 7 words). Words, lower-cased, are digested; digests are grouped over the whole corpus, and the earliest occurrence
-by (doc_id, start) is kept. Later occurrences go: whole lines of LINE_WORDS words or more, and runs of
-successive repeated sentences or pairs of chunks that have RUN_WORDS words or more, which also finds
-passages that stand inside other lines and sentences; up to two chunks at a passage's ends may stay. What goes is given as spans of the original text, in code points, ends exclusive.
-
-Null and empty texts have no units. Rows with the same id and text count as one row and keep their
-first occurrence; the same id with another text is a row of its own. Digests have 64 bits.
+"""Substring removal by hashing lines.
+
+Units are the lines of a text. Two finer kinds of unit, which parameters may leave out, find passages that
+stand inside longer lines: the sentences of a line (up to . ! or ? before white space), and pairs of
+neighbouring chunks of words. Chunks run over the whole text and are cut where the hash of two successive
+words is the least within CHUNK_REACH words, so equal passages are cut alike wherever they stand (chunks have
+some 7 words). Words, lower-cased, are digested; digests are grouped over the whole corpus, and the earliest
+occurrence by (doc_id, hash of the text, start) is kept. Later occurrences go: whole lines of LINE_WORDS words
+or more, and runs of successive repeated sentences or pairs of chunks that have RUN_WORDS words or more. Up to
+two chunks at a passage's ends may stay. What goes is given as spans of the original text, in code points, ends
+exclusive; spans that overlap are one, kept by the smallest id that keeps a unit of it.
+
+Null and empty texts have no units; an empty table gives no rows. Rows with the same id and text count as one
+row and keep their first occurrence; the same id with another text is a row of its own. Rows without id come
+first. Ids may have any orderable type. Very long texts are handled whole. Columns other than id and text aren't
+read, so their names can't clash; remove_spans passes them on. Digests have 64 bits.
 """
 
 from __future__ import annotations
@@ -23,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import IS_SPACE, Scratch, flat_bytes, map_arrow, word_spans
 from .text_kernel import LOWER, STEPS, U, hash_units, line_spans, mix
 
-LINE_WORDS = 5
+#: Words of the shortest line, and of the shortest run of finer units, that goes: shorter ones recur by chance and in boilerplate.
+LINE_WORDS = 15
 RUN_WORDS = 15
 SLICE = 512 << 10
 SENTENCE, LINE, CHUNKS = 0, 1, 2
@@ -49,7 +54,9 @@ def chunk_starts(words: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Whether a chunk starts at each word: at a row's first word, and where the hash of a word and the next is least nearby."""
     if not len(words):
         return np.zeros(0, dtype=bool)
-    pair = mix(words * STEPS[11] + np.append(words[1:], words[:1]))
+    follow = np.zeros(len(words), dtype=np.uint64)  # none after a row's last word
+    follow[:-1] = np.where(owner[1:] == owner[:-1], words[1:], U(0))
+    pair = mix(words * STEPS[11] + follow)
     least = np.ones(len(words), dtype=bool)
     for d in range(1, CHUNK_REACH + 1):
         same = owner[d:] == owner[:-d]
@@ -60,8 +67,8 @@ def chunk_starts(words: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return least
 
 
-def units(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """All units of the rows: row, kind, number within row and kind, start and end (code points), first word's place, words, digest."""
+def units(data: np.ndarray, offsets: np.ndarray, kinds: tuple[int, ...] = (SENTENCE, LINE, CHUNKS), line_words: int = LINE_WORDS) -> dict[str, np.ndarray]:
+    """All units of the rows, of the kinds asked for: row, kind, number within row and kind, start and end (code points), first word's place, words, digest."""
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     starts, ends, first = word_spans(data, offsets)
     words = hash_units(LOWER[data], starts, ends)
@@ -81,10 +88,10 @@ def units(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         cb = np.append(ca[1:], len(words))
         both = np.flatnonzero(owner[ca[1:]] == owner[ca[:-1]])
         out.append((owner[ca[both]], CHUNKS, ca[both], cb[both + 1]))
-    big = (b - a) >= LINE_WORDS
+    big = (b - a) >= line_words
     out.append((lrow[big], LINE, a[big], b[big]))
     parts = []
-    for row, kind, x, y in out:
+    for row, kind, x, y in (o for o in out if o[1] in kinds):
         begin = np.searchsorted(row, row)
         parts.append((row, np.full(len(row), kind), np.arange(len(row)) - begin, chars[starts[x]] if len(x) else x, chars[ends[y - 1]] if len(x) else x, x - first[row] if len(x) else x, y - x, digests(words, x, y)))
     row, kind, number, start, end, place, count, digest = (np.concatenate(p) for p in zip(*parts))
@@ -92,32 +99,33 @@ def units(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return {"row": row, "kind": kind, "number": number, "start": start - base, "end": end - base, "place": place, "words": count, "digest": digest}
 
 
-def unit_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def unit_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[int, ...] = (SENTENCE, LINE, CHUNKS), line_words: int = LINE_WORDS) -> DataFrame:
     """One row per unit: digest, doc_id, version (hash of the text), kind, number, start, stop, place (of its first word), words."""
+    of = dict(docs.select(id_col).dtypes)[id_col]
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        u = units(*flat_bytes(batch.column(2)))
+        u = units(*flat_bytes(batch.column(2)), kinds, line_words)
         at = pa.array(u["row"])
         return pa.RecordBatch.from_arrays(
             [pa.array(u["digest"].view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), *[pa.array(u[c], pa.int32()) for c in ("kind", "number", "start", "end", "place", "words")]],
             names=["digest", "doc_id", "version", "kind", "number", "start", "stop", "place", "words"],
         )
 
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("version"), docs[text_col].alias("text"))
-    return map_arrow(rows, kernel, "digest long, doc_id long, version long, kind int, number int, start int, stop int, place int, words int", "text", SLICE)
+    rows = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("version"), docs[text_col].alias("text"))
+    return map_arrow(rows, kernel, f"digest long, doc_id {of}, version long, kind int, number int, start int, stop int, place int, words int", "text", SLICE)
 
 
-def repeated_spans(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, run_words: int = RUN_WORDS, line_words: int = LINE_WORDS, sentences: bool = True, chunks: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """What to remove: doc_id, version, start, stop, n_words, kept_doc_id (the smallest that keeps a copy of a unit of it).
 
     The earliest occurrence of each digest comes from a partial aggregation and is written out, so that the
     join back to the units has a plain table of one row per digest on its other side: adaptive execution
     can then split a frequent line, which is never gathered.
     """
-    every = unit_table(docs, id_col, text_col)
+    every = unit_table(docs, id_col, text_col, (LINE, *[SENTENCE] * sentences, *[CHUNKS] * chunks), line_words)
     first = Scratch(docs.sparkSession).cut(every.groupBy("digest", "kind").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "version", "start")).alias("first")).where("n > 1").select("digest", "kind", "first"))
     place = F.struct("doc_id", "version", "start")
-    later = every.join(first, ["digest", "kind"]).where(place != F.col("first")).select("doc_id", "version", "kind", "number", "start", "stop", "place", (F.col("place") + F.col("words")).alias("upto"), F.col("first.doc_id").alias("kept"))
+    later = every.join(first, ["digest", "kind"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "version", "kind", "number", "start", "stop", "place", (F.col("place") + F.col("words")).alias("upto"), F.col("first.doc_id").alias("kept"))
     row = W.partitionBy("doc_id", "version")
     inner = W.partitionBy("doc_id", "version", "kind").orderBy("number")
     # Repeated rows give each unit several times; the dense rank and the lag count it once.
@@ -138,7 +146,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, text_col: str = "text") -> D
     cols = docs.columns
     own = docs.withColumn("_version", F.xxhash64(docs[text_col]))
     ranges = ranges.select(F.col("doc_id").alias("_id"), F.col("version").alias("_v"), "cuts")
-    joined = own.join(ranges, (own["doc_id"].cast("long") == ranges["_id"]) & (own["_version"] == ranges["_v"]), "left")
+    joined = own.join(ranges, own["doc_id"].eqNullSafe(ranges["_id"]) & (own["_version"] == ranges["_v"]), "left")
     cut = F.aggregate(
         F.coalesce("cuts", F.array().cast("array<struct<start:int,stop:int>>")), F.col(text_col),
         lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.substring(t, s["stop"] + 1, F.length(t))),

@@ -5,8 +5,10 @@ letters, spelled digits, "at" and "dot" in words or brackets) and keep, for ever
 the span of source characters it came from; identifiers found in the rewritten text that touch a
 rewritten character are mapped back to source spans and added.
 
-Offsets are code points, ends exclusive. Null and empty texts have no spans. Every search is linear
-in the text, so very long texts are safe; rows are independent.
+Offsets are code points, ends exclusive. Null and empty texts have no spans; an empty table gives no rows. Every
+search is linear in the text, so very long texts are safe. Rows are independent, so repeated ones are treated
+alike; spans of one start come in the order of their kinds. detect() reads id and text only, redact() passes
+all other columns unchanged, whatever their names. Words are those of English, German, French and Spanish.
 """
 
 from __future__ import annotations
@@ -79,22 +81,38 @@ LOOKALIKES = {
     "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "К": "K", "М": "M", "О": "O", "Р": "P", "Ѕ": "S", "Т": "T", "У": "Y", "Х": "X",
     "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "Α": "A", "Β": "B", "Ε": "E", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Χ": "X", "Ζ": "Z",
 }
-# Digit words of English.
-DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+# Digit words of English, German, French and Spanish.
+DIGIT_WORDS = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+# Words for @ and for the point of a domain, in these languages.
+AT_WORDS, DOT_WORDS = ("at", "arroba", "arobase"), ("dot", "punkt", "point", "punto")
 # Last labels that make "name at host dot label" without brackets an address.
 LABELS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu", "co")
+#: White space around a word or a bracket, letters of a label, and labels between the host and the last one, at most.
+GAP, LABEL_LETTERS, MORE_LABELS = 3, 63, 4
 
-_WORDS = f"(?a:{'|'.join(DIGIT_WORDS)})"
-_SPELLED = re.compile(rf"(?<![^\W_]){_WORDS}(?:[\s,.-]{{1,3}}{_WORDS})*(?![^\W_])", re.I)
+_WORDS = f"(?a:{'|'.join(sorted(DIGIT_WORDS, key=len, reverse=True))})"
+_SPELLED = re.compile(rf"(?<![^\W_]){_WORDS}(?:[\s,.-]{{1,{GAP}}}{_WORDS})*(?![^\W_])", re.I)
 # A single digit word is a disguise only next to a digit or a plus.
-_DIGIT_BEFORE = re.compile(r"[0-9+][\s,.-]{1,3}\Z|\+\Z").search
-_DIGIT_AFTER = re.compile(r"[\s,.-]{1,3}[0-9]").match
+_DIGIT_BEFORE = re.compile(rf"[0-9+][\s,.-]{{1,{GAP}}}\Z|\+\Z").search
+_DIGIT_AFTER = re.compile(rf"[\s,.-]{{1,{GAP}}}[0-9]").match
 _ONE_WORD = re.compile(_WORDS, re.I)
-_AT = re.compile(r"\s{0,3}[\[({<]\s{0,3}at\s{0,3}[\])}>]\s{0,3}", re.I)
-_DOT = re.compile(r"\s{0,3}[\[({<]\s{0,3}dot\s{0,3}[\])}>]\s{0,3}", re.I)
-_PLAIN = re.compile(rf"(?<=[a-z0-9])\s{{1,3}}at\s{{1,3}}(?!(?:the|an?|this|that|my|our|your|its)\s)(?=([a-z0-9-]{{1,63}}(?:\s{{1,3}}dot\s{{1,3}}[a-z0-9-]{{1,63}}){{0,4}}?\s{{1,3}}dot\s{{1,3}}(?:{'|'.join(LABELS)}))(?![a-z0-9-]))", re.I)
-_AT_CORE = re.compile(r"[\[({<]\s{0,3}at\s{0,3}[\])}>]", re.I).search
-_PLAIN_DOT = re.compile(r"\s{1,3}dot\s{1,3}", re.I)
+_AT_WORD, _DOT_WORD = f"(?:{'|'.join(AT_WORDS)})", f"(?:{'|'.join(DOT_WORDS)})"
+_OPEN, _CLOSE = rf"[\[({{<]\s{{0,{GAP}}}", rf"\s{{0,{GAP}}}[\])}}>]"
+_AT = re.compile(rf"\s{{0,{GAP}}}{_OPEN}{_AT_WORD}{_CLOSE}\s{{0,{GAP}}}", re.I)
+_DOT = re.compile(rf"\s{{0,{GAP}}}{_OPEN}{_DOT_WORD}{_CLOSE}\s{{0,{GAP}}}", re.I)
+_LABEL, _SPACED_DOT = f"[a-z0-9-]{{1,{LABEL_LETTERS}}}", rf"\s{{1,{GAP}}}{_DOT_WORD}\s{{1,{GAP}}}"
+_PLAIN = re.compile(
+    rf"(?<=[a-z0-9])\s{{1,{GAP}}}{_AT_WORD}\s{{1,{GAP}}}(?!(?:the|an?|this|that|my|our|your|its)\s)"
+    rf"(?=({_LABEL}(?:{_SPACED_DOT}{_LABEL}){{0,{MORE_LABELS}}}?{_SPACED_DOT}(?:{'|'.join(LABELS)}))(?![a-z0-9-]))",
+    re.I,
+)
+_AT_CORE = re.compile(_OPEN + _AT_WORD + _CLOSE, re.I).search
+_PLAIN_DOT = re.compile(_SPACED_DOT, re.I)
 
 
 def plain_character(c: str) -> str:
@@ -146,7 +164,7 @@ def spelled_digits(text: str) -> list[tuple[int, int, str, list[tuple[int, int]]
     edits = []
     for m in _SPELLED.finditer(text):
         words = list(_ONE_WORD.finditer(text, m.start(), m.end()))
-        if len(words) > 1 or _DIGIT_BEFORE(text[max(0, m.start() - 4) : m.start()]) or _DIGIT_AFTER(text, m.end()):
+        if len(words) > 1 or _DIGIT_BEFORE(text[max(0, m.start() - 1 - GAP) : m.start()]) or _DIGIT_AFTER(text, m.end()):
             edits.append((m.start(), m.end(), "".join(DIGIT_WORDS[w.group().lower()] for w in words), [w.span() for w in words]))
     return edits
 
@@ -161,8 +179,9 @@ def disguised(text: str, gates: bool = True) -> list[tuple[int, int, int]]:
     plain = text.translate(PLAIN) if strange else text
     lower = plain.lower()
     edits = spelled_digits(plain) if not gates or any(w in lower for w in DIGIT_WORDS) else []
-    dots = not gates or "dot" in lower
-    brackets = not gates or ("at" in lower and _AT_CORE(plain) is not None)
+    dots = not gates or any(w in lower for w in DOT_WORDS)
+    ats = not gates or any(w in lower for w in AT_WORDS)
+    brackets = not gates or (ats and _AT_CORE(plain) is not None)
     if not (strange or dots or brackets or edits):
         return []
     out = Rewritten(text)
@@ -173,7 +192,7 @@ def disguised(text: str, gates: bool = True) -> list[tuple[int, int, int]]:
     edits = [(m.start(), m.end(), "@", [m.span()]) for m in _AT.finditer(out.text)] if brackets else []
     if dots:
         edits += [(m.start(), m.end(), ".", [m.span()]) for m in _DOT.finditer(out.text)]
-        if not gates or "at" in lower:
+        if ats:
             for m in _PLAIN.finditer(out.text):
                 edits.append((m.start(), m.end(), "@", [m.span()]))
                 edits += [(d.start(), d.end(), ".", [d.span()]) for d in _PLAIN_DOT.finditer(out.text, m.start(1), m.end(1))]

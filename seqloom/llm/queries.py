@@ -16,7 +16,7 @@ URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, rule and verdict."""
-    return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES).drop("alias_class")
 
 
 def op2_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,10 +87,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: ~s["added"])
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select(
+        "doc_id", *[count(k) for k in pii.KINDS], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+        (F.size("spans") > 0).alias("found"), F.size(F.filter("spans", lambda s: s["added"])).cast("long").alias("n_added"),
+    )
 
 
-ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.SQL, "op8_ngram_join": ngram_join.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": url_filters.sql(URL_RULES), "op4_mixing": mixing.SQL, "op8_ngram_join": ngram_join.SQL}
 
 
 def queries() -> dict:

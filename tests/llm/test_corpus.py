@@ -110,7 +110,7 @@ def test_url_rules_and_aliases(spark):
         (12, "http://example.org/en/12", ""), (13, "http://m.safe.net/x/?utm_source=f", ""), (14, "http://safe.net/x", ""),
     ]
     df = spark.createDataFrame(pages, "page_id bigint, url string, html string").withColumn("host", F.lit("clash")).withColumn("node", F.lit(1))
-    out = url_filters.judge(df, queries.URL_RULES)
+    out = url_filters.judge(df, queries.URL_RULES, conventions=True)
     got = table(out, "page_id")
     assert out.count() == len(pages)
     assert (got[4].host, got[4].path, got[5].host, got[6].path, got[7].path) == ("sub.org", "/ok", "", "", "")
@@ -123,7 +123,7 @@ def test_url_rules_and_aliases(spark):
     assert verdicts == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "block", 9: "block", 10: "allow", 11: "allow", 12: "block", 13: "allow", 14: "allow"}
     assert got[13].alias_class == got[14].alias_class is not None
     many = [*queries.URL_RULES, *[("block", f"h{i}.net", "/") for i in range(100)]]
-    assert {r.page_id: (r.rule, r.verdict) for r in url_filters.judge(df, many).collect()} == {i: (r.rule, r.verdict) for i, r in got.items()}
+    assert {r.page_id: (r.rule, r.verdict) for r in url_filters.judge(df, many, conventions=True).collect()} == {i: (r.rule, r.verdict) for i, r in got.items()}
     assert url_filters.judge(df.limit(0), queries.URL_RULES).count() == 0
 
 
@@ -139,6 +139,55 @@ def test_blocked_targets_that_are_no_pages(spark):
         assert {r.page_id: r.verdict for r in url_filters.judge(df, rules).collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
 
 
+def test_links_of_a_page():
+    text = """<link rel="stylesheet" href=a><LINK data-x='%s' href='/b?x=1&amp;y=2' rel="alternate CANONICAL"><!-- <link rel=canonical href=c> -->
+    <script>var t = '<link rel=canonical href=d>';</script><meta content="5; URL = 'e f'" http-equiv=Refresh><link rel=canonical href=g/><meta name=refresh content="0; url=h">
+    <link rel=canonical href="" ><link rel=canonical><title><link rel=canonical href=i></title><link rel=canonical href="j""" % ("z" * 5000)
+    assert url_filters.named_addresses(text) == ["/b?x=1&y=2", "e f", "g/"]
+    for t in ("<link " * 50_000, "<!--" * 50_000, "<link a='" * 50_000, "<link rel=canonical href=" + "x" * 1_000_000 + ">", "<script>" * 20_000):
+        url_filters.named_addresses(t)
+
+
+def test_blocks_spread_as_in_sql_and_by_brute_force(spark, tmp_path):
+    r = random.Random(12)
+    hosts = ["x.com", "y.org", "z.net", "w.net", "v.net"]
+    urls = [f"http://{r.choice(hosts)}/{r.choice(['de', 'fr', 'q'])}/{i}" for i in range(120)] + [f"http://only.com/de/{i}" for i in range(3)]
+    pages, edges = [], []
+    for i, u in enumerate(urls[:120]):
+        body = ""
+        for t in r.sample(urls, r.choice([0, 0, 1, 1, 2])) + ([urls[7]] if i % 9 == 0 else []):  # chains, loops and a hub
+            body += r.choice(['<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">']).format(t)
+            edges.append((u, t))
+        pages.append((i, u, body))
+    pages += [pages[3], (500, None, body), (501, "no address", body), (502, "http://alone.net", None)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+
+    def rule(u):
+        host, _, path = u.split("://")[1].partition("/")
+        return brute_rule(host, "/" + path)
+
+    near = collections.defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    bad, todo = set(), [u for u in urls if (x := rule(u)) and x[0] == "block"]
+    while todo:
+        if (u := todo.pop()) not in bad:
+            bad.add(u)
+            todo += near[u]
+    want = {i: ((rule(u)[0] if rule(u) else "block" if u in bad else "allow") if u and "://" in u else "allow") for i, u, _ in pages}
+    got = url_filters.judge(df, queries.URL_RULES).collect()
+    assert len(got) == len(pages) and {r.page_id: r.verdict for r in got} == want and set(want.values()) == {"allow", "block"}
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    mine = queries.op1_url_filters(spark, str(tmp_path))
+    names = mine.columns
+    cursor = con.execute(queries.ORACLE_SQL["op1_url_filters"])
+    order = [[c[0] for c in cursor.description].index(n) for n in names]
+    assert sorted(map(str, map(tuple, mine.collect()))) == sorted(str(tuple(x[k] for k in order)) for x in cursor.fetchall())
+
+
 # --- 2: GIF -------------------------------------------------------------------------------------------
 
 
@@ -301,9 +350,9 @@ def test_registered_mixing_follows_the_schedules(spark, docs, tmp_path):
 def test_repeated_lines_and_passages(spark):
     r = random.Random(7)
     passage = " ".join(sentence(r, 8).capitalize() + "." for _ in range(9))
-    own = [sentence(r, 12).capitalize() + "." for _ in range(8)]
+    own = [sentence(r, 16).capitalize() + "." for _ in range(8)]
     texts = [
-        f"{own[0]} {passage}\n{own[1]}", f"{own[2]} half of {passage} {own[3]}", f"{own[4]}\nThis line is shared by two.\n{own[5]}", f"{own[6]}\nthis LINE is shared  by two.", "Yes.\nNo.", "Yes.\nNo.", None, "",
+        f"{own[0]} {passage}\n{own[1]}", f"{own[2]} half of {passage} {own[3]}", f"{own[4]}\nThis line is shared by two {own[4]}\n{own[5]}", f"{own[6]}\nthis LINE is shared  by two {own[4]}", "Yes.\nNo.", "Yes.\nNo.", None, "",
         f"{own[7]}\n{own[7]}",
     ]
     rows = [(i, t) for i, t in enumerate(texts)]
@@ -313,7 +362,7 @@ def test_repeated_lines_and_passages(spark):
     assert {d for d, _ in cut} == {1, 3, 8}
     assert {s.doc_id: s.kept_doc_id for s in spans} == {1: 0, 3: 2, 8: 8}
     assert passage.split(". ", 1)[1] in "".join(t for d, t in cut if d == 1)
-    assert (3, "this LINE is shared  by two.") in cut
+    assert (3, f"this LINE is shared  by two {own[4]}") in cut
     kept = {r.doc_id: r.text for r in line_dedup.remove_spans(df, line_dedup.repeated_spans(df)).collect()}
     assert kept[0] == texts[0] and "LINE" not in kept[3] and kept[8].count(own[7]) == 1 and kept[6] is None
     assert line_dedup.repeated_spans(df.limit(0)).count() == 0
@@ -340,6 +389,78 @@ def test_passages_without_sentence_ends(spark):
         assert sum(s.n_words for s in spans) >= 30 and all(len(texts[1][s.start : s.stop].split()) == s.n_words for s in spans)
 
 
+def brute_spans_of_repeats(rows, run_words=line_dedup.RUN_WORDS):
+    """Spans by plain loops over the units of the distinct rows."""
+    rows = sorted(set((d, t) for d, t in rows if t))
+    data, offsets = flat_bytes(pa.array([t for _, t in rows], pa.string()))
+    u = line_dedup.units(data, offsets)
+    each = [dict(zip(u, (x.item() for x in v))) for v in zip(*u.values())]
+    first = {}
+    for x in sorted(each, key=lambda x: (rows[x["row"]][0], x["row"], x["start"])):
+        first.setdefault((x["digest"], x["kind"]), x)
+    found = collections.defaultdict(list)
+    runs = collections.defaultdict(list)
+    for x in sorted(each, key=lambda x: (x["row"], x["kind"], x["number"])):
+        f = first[x["digest"], x["kind"]]
+        if f is not x:
+            last = runs[x["row"], x["kind"]]
+            if x["kind"] != line_dedup.LINE and last and last[-1][-1][0]["number"] + 1 == x["number"]:
+                last[-1].append((x, f))
+            else:
+                last.append([(x, f)])
+    for (row, kind), several in runs.items():
+        for run in several:
+            if kind == line_dedup.LINE or run[-1][0]["place"] + run[-1][0]["words"] - run[0][0]["place"] >= run_words:
+                found[row].append((run[0][0]["start"], max(x["end"] for x, _ in run), run[0][0]["place"], max(x["place"] + x["words"] for x, _ in run), min(rows[f["row"]][0] for _, f in run)))
+    out = []
+    for row, spans in found.items():
+        joined = []
+        for s in sorted(spans):
+            if joined and s[0] <= joined[-1][1]:
+                j = joined[-1]
+                joined[-1] = (j[0], max(j[1], s[1]), j[2], max(j[3], s[3]), min(j[4], s[4]))
+            else:
+                joined.append(s)
+        out += [(rows[row][0], a, b, q - p, k) for a, b, p, q, k in joined]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_repeats_match_brute_force(spark, kind):
+    r = random.Random(17)
+    pool = [sentence(r, r.choice([3, 6, 17, 30])).capitalize() + r.choice([".", "!", ""]) for _ in range(30)]
+    rows = []
+    for i in range(60):
+        parts = [r.choice(pool) if r.random() < 0.5 else sentence(r, r.randrange(1, 20)) for _ in range(r.randrange(1, 9))]
+        text = "".join(p + r.choice([" ", "\n", "  ", "\n\n"]) for p in parts)
+        rows.append((f"{i:03}" if kind == "string" else i, text))
+    rows += [(rows[0][0], None), (rows[1][0], ""), (rows[2][0], " \n"), (rows[3][0], "another text of this id")]
+    df = spark.createDataFrame(rows + rows[5:20] + rows[5:9], f"doc_id {kind}, text string").repartition(3)
+    for c in ("digest", "version", "start", "stop", "kept", "place", "kind", "number"):
+        df = df.withColumn(c, F.lit("x"))
+    spans = line_dedup.repeated_spans(df)
+    got = sorted((s.doc_id, s.start, s.stop, s.n_words, s.kept_doc_id) for s in spans.collect())
+    assert got == brute_spans_of_repeats(rows) and len(got) > 20
+    text = dict(rows[:60])
+    left = {}
+    for d, a, b, *_ in sorted(got, key=lambda s: -s[1]):
+        left[d] = left.get(d, text[d])[:a] + left.get(d, text[d])[b:]
+    clean = line_dedup.remove_spans(df, spans)
+    assert clean.columns == df.columns and clean.count() == df.count()
+    for row in clean.where("length(text) > 23").collect():
+        assert row.text == left.get(row.doc_id, text[row.doc_id])
+
+
+def test_finer_units_can_be_left_out(spark):
+    r = random.Random(18)
+    line, passage = sentence(r, 20), sentence(r, 60)
+    rows = [(0, f"{line}\n{sentence(r, 5)} {passage}"), (1, f"{sentence(r, 6)}\n{line}"), (2, f"{sentence(r, 4)} {passage} {sentence(r, 4)}"), (3, "short line\n" + sentence(r, 30)), (4, "short line\n" + sentence(r, 30))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {s.doc_id for s in line_dedup.repeated_spans(df).collect()} == {1, 2}
+    assert {s.doc_id for s in line_dedup.repeated_spans(df, sentences=False, chunks=False).collect()} == {1}
+    assert {s.doc_id for s in line_dedup.repeated_spans(df, line_words=2, sentences=False, chunks=False).collect()} == {1, 4}
+
+
 # --- 6 and 7: quality ---------------------------------------------------------------------------------
 
 
@@ -565,6 +686,12 @@ def test_base_spans_match_the_patterns():
     ("+one two three four five six seven eight nine zero one", "phone", "+one two three four five six seven eight nine zero one"),
     ("card ４１１１１１１１１１１１１１１１ ok", "card", "４１１１１１１１１１１１１１１１"),
     ("ip １９２.168.0.1", "ip", "１９２.168.0.1"),
+    ("Mail jana (at) beispiel [Punkt] de bitte", "email", "jana (at) beispiel [Punkt] de"),
+    ("escribe a ana arroba ejemplo punto com hoy", "email", "ana arroba ejemplo punto com"),
+    ("écris à luc arobase exemple point fr", "email", "luc arobase exemple point fr"),
+    ("+vier neun eins sieben null sechs fünf vier drei zwei eins", "phone", "+vier neun eins sieben null sechs fünf vier drei zwei eins"),
+    ("+trois trois six un deux trois quatre cinq six sept huit", "phone", "+trois trois six un deux trois quatre cinq six sept huit"),
+    ("+tres cuatro seis uno dos tres cuatro cinco seis siete ocho", "phone", "+tres cuatro seis uno dos tres cuatro cinco seis siete ocho"),
 ])
 def test_disguises(text, kind, span):
     added = [(pii.KINDS[k], text[a:b]) for a, k, b, new in pii.spans_of(text) if new]
@@ -588,6 +715,22 @@ def test_gates_change_nothing():
         assert pii.disguised(t) == pii.disguised(t, gates=False)
 
 
+def test_planted_disguises_are_found():
+    r = random.Random(14)
+    words = [w for w in pii.DIGIT_WORDS]
+    found = 0
+    for k in range(2000):
+        name, host, label = sentence(r, 1), sentence(r, 1), r.choice(pii.LABELS)
+        at = r.choice(["({})", "[ {} ]", " ( {} ) ", "<{}>", " {} "]).format(r.choice(pii.AT_WORDS))
+        dot = r.choice(["({})", "[ {} ]", " ( {} ) "]).format(r.choice(pii.DOT_WORDS)) if at.strip() != at.strip("[](){}<> ") else " dot "
+        mail = f"{name}{at}{host}{dot}{label}"
+        phone = "+" + " ".join(r.choice(words) for _ in range(11))
+        text = f"{sentence(r, 5)}. {mail}; {sentence(r, 4)} {phone}. {sentence(r, 3)}"
+        got = [text[a:b] for a, _, b, new in pii.spans_of(text) if new]
+        found += (mail in got) + (phone in got)
+    assert found >= 0.97 * 4000
+
+
 @pytest.mark.parametrize("text", ["look at the dot on this page", "at one two three", "the dot com boom at home", "zero. One two", "", "at (at) dot", "Он в 5 домах"])
 def test_plain_prose_is_left_alone(text):
     assert pii.spans_of(text) == [] and pii.redacted(text) == text
