@@ -59,7 +59,7 @@ SAMPLE, FREQUENT, MOST_FREQUENT = 64, 8, 100_000
 #: Bits of a bit sketch, as powers of two, and the rows of one key that a task compares with as many others.
 LEAST_BITS, MOST_BITS, BLOCK = 6, 17, 4096
 #: Bits for each shingle, at least; and the share of a sketch's words that a first look at a pair takes.
-BITS_A_SHINGLE, FIRST_LOOK = 8, 4
+BITS_A_SHINGLE, FIRST_LOOK = 4, 4
 #: Rounds of centres, and of closest pairs, before all pairs that are left are verified.
 STARS, TURNS = 2, 8
 #: A side of at most so many bytes is broadcast; a larger one is shuffled.
@@ -378,13 +378,13 @@ def shared_keys(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray, bits: in
 
 
 def prune(keyed: DataFrame) -> DataFrame:
-    """key, node, size: each node's D + 1 rarest keys of a kind, those that no other node has (which aren't listed) counted first."""
+    """key, node, size, weight (the node's shared keys of the kind): its D + 1 rarest keys of a kind, those that no other node has (which aren't listed) counted first."""
     each = keyed.where(F.col("many") < HOT).union(keyed.where(F.col("many") == HOT).distinct())
     kind = W.partitionBy("node", "kind")
     most = F.when(F.col("kind") < 3, F.floor(F.col("size") / 4)).otherwise(F.floor(2 * F.col("size") / 9))
-    own = F.col("parts") - F.count("*").over(kind)
-    rank = F.row_number().over(kind.orderBy("many", "key"))
-    return each.withColumn("kept", (rank + own <= most + 1) | (F.col("parts") >= MANY_PARTS)).where("kept").select("key", "node", "size")
+    rank, shared = F.row_number().over(kind.orderBy("many", "key")), F.count("*").over(kind)
+    ranked = each.withColumns({"weight": shared, "rank": rank})
+    return ranked.where((F.col("rank") + F.col("parts") - F.col("weight") <= most + 1) | (F.col("parts") >= MANY_PARTS)).select("key", "node", "size", "weight")
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -417,29 +417,35 @@ def shingle_sets(docs: DataFrame, needed: DataFrame, clashes: np.ndarray = NONE)
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose exact sets have 100 * |intersection| >= 80 * |union|."""
-    sets = sets.select("node", "shingles")
-    both = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
+    """The pairs (a, b; a written table) of nodes whose exact sets have 100 * |intersection| >= 80 * |union|.
+
+    Few pairs go to the sets, so that only sets of pairs are dealt: each set of `a` with its pair, each set of `b` once.
+    """
+    sets, pairs = sets.select("node", "shingles"), pairs.select("a", "b").distinct()
+    few = small(pairs)
+    left = sets.join(few, F.col("node") == F.col("a")).select("a", "b", F.col("shingles").alias("x"))
+    right = sets.join(small(pairs.select(F.col("b").alias("n")).distinct()), F.col("node") == F.col("n"), "left_semi").toDF("b", "y")
     size = lambda c: F.size(c).cast("long")
-    common = size(F.array_intersect("x", "y"))
-    return both.withColumn("common", common).where(100 * F.col("common") >= 80 * (size("x") + size("y") - F.col("common"))).select("a", "b").distinct()
+    both = left.join(right, "b").withColumn("common", size(F.array_intersect("x", "y")))
+    return both.where(100 * F.col("common") >= 80 * (size("x") + size("y") - F.col("common"))).select("a", "b").distinct()
 
 
-def crossing_pairs(held: DataFrame, groups: DataFrame, sets: DataFrame, scratch: Scratch, every: bool) -> DataFrame:
-    """a, b (nodes that share a key, but no component, and may be linked), their components g and h, and `more`.
+def crossing_pairs(held: DataFrame, groups: DataFrame, sets: DataFrame, scratch: Scratch, every: bool) -> tuple[DataFrame, DataFrame]:
+    """a, b (nodes that share a key, but no component, and may be linked), their components g and h, and `more`; and the rows of keys of several components.
 
-    Without `every`, a place gives each component's closest pair only, and `more` tells that there were others.
+    Without `every`, a place of more pairs than rows gives each component's closest pair only, and `more` tells that there were others.
 
     The nodes of a key meet in blocks of BLOCK rows, each pair of blocks in a place of its own, so that a key
     of any size is spread. Rows of its largest component meet the others only. Only pairs that pass the
     bounds of sizes and bit sketches leave the block.
     """
-    known = held.join(groups, "node").select("key", "node", "size", F.col("component").alias("group"))
+    known = held.join(small(groups), "node").select("key", "node", "size", F.col("component").alias("group"))
     rows = known.groupBy("key", "group").agg(F.count("*").alias("rows"))
     per = rows.groupBy("key").agg(F.max(F.struct("rows", "group")).alias("top"), F.sum("rows").alias("all"), F.count("*").alias("groups")).where("groups > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("long")
     mixed = scratch.cut(per.select("key", F.col("top.group").alias("base"), blocks(F.col("top.rows")).alias("base_blocks"), blocks(F.col("all") - F.col("top.rows")).alias("blocks")), held.count())
-    rest = known.join(mixed, "key").join(sets.select("node", "sketch"), "node")
+    several = known.join(small(mixed), "key")
+    rest = several.join(sets.select("node", "sketch"), "node")
     each = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), f)
     place = lambda what, a, b, side: F.struct(F.xxhash64("key", F.lit(what), a, b).alias("place"), F.lit(side).cast("int").alias("side") if isinstance(side, int) else side.cast("int").alias("side"))
     is_base = F.col("group") == F.col("base")
@@ -476,7 +482,9 @@ def crossing_pairs(held: DataFrame, groups: DataFrame, sets: DataFrame, scratch:
         best, total = (np.zeros(0, np.int64),) * 3, 0
         for some in found:
             total += len(some[0])
-            best = closest(group, *(np.concatenate(x) for x in zip(best, some)))
+            best = tuple(np.concatenate(x) for x in zip(best, some))
+            if total > len(node):
+                best = closest(group, *best)
         if total:
             yield rows_of(node, group, best[0], best[1], total > len(best[0]))
 
@@ -484,7 +492,8 @@ def crossing_pairs(held: DataFrame, groups: DataFrame, sets: DataFrame, scratch:
         columns = [np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.minimum(group[i], group[j]), np.maximum(group[i], group[j]), np.full(len(i), more)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "g", "h", "more"])
 
-    return dealt.mapInArrow(compare, "a long, b long, g long, h long, more boolean").groupBy("a", "b", "g", "h").agg(F.max("more").alias("more"))
+    pairs = dealt.mapInArrow(compare, "a long, b long, g long, h long, more boolean").groupBy("a", "b", "g", "h").agg(F.max("more").alias("more"))
+    return scratch.cut(pairs), scratch.cut(several.select("key", "node", "size"), held.count())
 
 
 def link_groups(docs: DataFrame, scratch: Scratch, same_id: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -519,11 +528,10 @@ def link_groups(docs: DataFrame, scratch: Scratch, same_id: bool = False) -> tup
         return scratch.cut(groups.join(joined.toDF("component", "onto"), "component", "left").select("node", F.coalesce("onto", "component").alias("component")), groups.count())
 
     for star in range(STARS):
-        # The centre of a key is its node with most keys. Keys that no other node has are left behind.
-        weight = scratch.cut(rest.groupBy("node").agg(F.count("*").alias("weight")), rows)
+        # The centre of a key is its node with most shared keys. Keys that no other node has are left behind.
         lead = F.max(F.struct("weight", "node"))
-        centres = scratch.cut(rest.join(weight, "node").groupBy("key").agg(lead.alias("c"), F.count("*").alias("n")).where("n > 1").select("key", F.col("c.node").alias("lead")), rows)
-        rest = scratch.cut(rest.join(centres, "key"), rows)
+        centres = scratch.cut(rest.groupBy("key").agg(lead.alias("c"), F.count("*").alias("n")).where("n > 1").select("key", F.col("c.node").alias("lead")), rows)
+        rest = scratch.cut(rest.join(small(centres), "key"), rows)
         if groups is None:
             held = rest
             needed = scratch.cut(held.select("node").distinct().join(places.select("node", "doc_id", "version"), "node"), rows)
@@ -537,16 +545,18 @@ def link_groups(docs: DataFrame, scratch: Scratch, same_id: bool = False) -> tup
                 if own.head(1):
                     every = groups.select("node").union(own.select("node")).union(own.select("least")).distinct()
                     groups = contracted(scratch.cut(every.select("node", F.col("node").alias("component")), count + 2 * own.count()), own, own.count())
-        between_ = lambda df: df.join(groups.toDF("node", "g"), "node").join(groups.toDF("lead", "h"), "lead").where("g <> h")  # noqa: B023, E731
-        shared = between_(rest).groupBy("node", "lead", "g", "h").agg(F.count("*").alias("shared"))
+        of = small(groups)
+        between = lambda df: df.join(of.toDF("node", "g"), "node").join(of.toDF("lead", "h"), "lead").where("g <> h")  # noqa: B023, E731
+        shared = between(rest).groupBy("node", "lead", "g", "h").agg(F.count("*").alias("shared"))
         best = F.max(F.struct("shared", "lead", "g", "h")).alias("best")
         stars = scratch.cut(shared.groupBy("node").agg(best).select(F.col("node").alias("a"), F.col("best.lead").alias("b"), "best.g", "best.h"), count)
-        links = scratch.cut(verify(stars.select("a", "b"), sets).join(stars, ["a", "b"]).select("g", "h").distinct(), count)
+        links = scratch.cut(verify(stars, sets).join(stars, ["a", "b"]).select("g", "h").distinct(), count)
         new = links.count()
         if not new:
             break
         groups = contracted(groups, links, new)
-        rest = scratch.cut(between_(rest).select("key", "node"), rows)
+        of = small(groups)
+        rest = scratch.cut(between(rest).select("key", "node", "size", "weight"), rows)
         rows = rest.count()
         if not rows:
             break
@@ -554,11 +564,11 @@ def link_groups(docs: DataFrame, scratch: Scratch, same_id: bool = False) -> tup
     for turn in range(TURNS):
         # First each component's closest pairs, which may settle the others; at last all that are left.
         every |= turn == TURNS - 1
-        pairs = scratch.cut(crossing_pairs(held, groups, sets, scratch, every))
+        pairs, held = crossing_pairs(held, groups, sets, scratch, every)
         rows = pairs.count()
         if not rows:
             break
-        links = scratch.cut(verify(pairs.select("a", "b"), sets).join(pairs, ["a", "b"]).select("g", "h").distinct(), rows)
+        links = scratch.cut(verify(pairs, sets).join(pairs, ["a", "b"]).select("g", "h").distinct(), rows)
         new = links.count()
         if new:
             groups = contracted(groups, links, new)
