@@ -100,6 +100,12 @@ def cut_suffix(a: Column | str, prefix: str) -> Column:
     return F.when(c.startswith(prefix + "_"), F.lit(prefix)).otherwise(c)
 
 
+def cut_prefix(a: Column | str, prefix: str) -> Column:
+    """`prefixRest` becomes `Rest`, as in "ko:K00001"."""
+    c = col(a)
+    return F.when(c.startswith(prefix), F.substring(c, len(prefix) + 1, F.length(c))).otherwise(c)
+
+
 def json_safe(odds: Column) -> Column:
     """Infinity as -1."""
     return F.when(odds == float("inf"), -1.0).otherwise(odds)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import K
+from .packing import LONGEST, packed_windows
 
 
 def col(c: Column | str) -> Column:
@@ -85,9 +86,12 @@ def in_part(c: Column | str, part: int, parts: int, hasher=portable_hash) -> Col
 def with_canonical_kmers(reads: DataFrame, k: int = K, packed: bool = False) -> DataFrame:
     """sample_id and one kmer per N-free window of each read.
 
-    Window starts are exploded and the words cut by plain expressions, so all of it is compiled code;
-    the reverse complement is made once per read.
+    Packed words (8 bytes) are made batch by batch in numpy. Else, and for streams, window starts are
+    exploded and the words cut by plain expressions, so all of it is compiled code; the reverse complement
+    is made once per read.
     """
+    if packed and k <= LONGEST and not reads.isStreaming:
+        return packed_windows(reads, k, ["sample_id"])
     n = F.length("seq")
     long = reads.where(n >= k).select("sample_id", "seq", reverse_complement("seq").alias("rc"), F.explode(F.sequence(F.lit(1), n - (k - 1))).alias("i"))
     word, other = F.substring("seq", F.col("i"), F.lit(k)), F.substring("rc", n - F.col("i") - (k - 2), F.lit(k))

@@ -13,13 +13,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrays import entropy, smoothed_entropy
-from ..functions.sequences import free_windows, reverse_complement
+from ..functions.packing import LONGEST, packed_windows
+from ..functions.sequences import free_windows, pack, reverse_complement, unpack
 from ..schema import BASES, FLANK, K, PROFILE_WIDTH
 from . import ranking
 
 
 def occurrences(reads: DataFrame, whitelist: DataFrame, k: int = K) -> DataFrame:
-    """kmer, kpos (0-based) and seq of every whitelisted window of the reads and their reverse complements."""
+    """kmer, kpos (0-based) and seq of every whitelisted window of the reads and their reverse complements.
+
+    Reads that sample_id and read_no tell apart are looked up by packed windows, of which only those found
+    are joined to their reads; of others each window carries its read.
+    """
+    if k <= LONGEST and {"sample_id", "read_no"} <= set(reads.columns):
+        listed = whitelist.where(F.col("kmer").rlike(f"^[ACGT]{{{k}}}$")).select(pack("kmer").alias("kmer")).distinct()
+        found = packed_windows(reads, k, ["sample_id", "read_no"], strands=True).join(listed, "kmer", "left_semi")
+        placed = found.join(reads.select("sample_id", "read_no", "seq"), ["sample_id", "read_no"])
+        seq = F.when(F.col("strand") == 0, F.col("seq")).otherwise(reverse_complement("seq"))
+        return placed.select(unpack("kmer", k).alias("kmer"), F.col("pos").alias("kpos"), seq.alias("seq"))
     both = reads.select("sample_id", F.explode(F.array("seq", reverse_complement("seq"))).alias("seq"))
     windows = both.select("sample_id", "seq", F.explode(free_windows("seq", k)).alias("w")).select("sample_id", "seq", F.col("w.word").alias("kmer"), F.col("w.pos").alias("kpos"))
     return windows.join(whitelist.select("kmer").distinct(), "kmer", "left_semi")
@@ -27,8 +38,8 @@ def occurrences(reads: DataFrame, whitelist: DataFrame, k: int = K) -> DataFrame
 
 def fill(found: DataFrame) -> DataFrame:
     """kmer, pos, base, n: bases of the reads round each occurrence, the k-mer starting at position 100."""
-    at = F.posexplode(F.split("seq", ""))
-    every = found.select("kmer", "kpos", at.alias("i", "base")).where(F.col("base").isin(*BASES))
+    each = found.select("kmer", "kpos", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("i"))
+    every = each.select("kmer", "kpos", "i", F.substring("seq", F.col("i") + 1, F.lit(1)).alias("base")).where(F.col("base").isin(*BASES))
     placed = every.select("kmer", (F.col("i") + FLANK - F.col("kpos")).cast("int").alias("pos"), "base").where(F.col("pos").between(0, PROFILE_WIDTH - 1))
     return placed.groupBy("kmer", "pos", "base").agg(F.count("*").alias("n"))
 

@@ -31,6 +31,13 @@ def abundant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts(spark, sf_dir).where(F.col("n") >= MIN_SAMPLES)
 
 
+def abundant_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorted samples of those k-mers; words are packed until the arrays are made."""
+    words = S.with_canonical_kmers(reads(spark, sf_dir), packed=True)
+    has = P.presence(words, P.filter_counts(P.kmer_counts(words), MIN_SAMPLES))
+    return has.select(S.unpack("kmer").alias("kmer"), "samples")
+
+
 @query(f"WITH {WINDOWS_SQL} SELECT sample_id, count(*)::BIGINT AS n_windows, min(kmer) AS first_kmer FROM kmers GROUP BY sample_id")
 def kmer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """N-free canonical windows of each sample."""
@@ -54,7 +61,7 @@ def canonical_kmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {WINDOWS_SQL} SELECT sample_id, kmer, least(count(*), 255)::BIGINT AS n FROM kmers GROUP BY sample_id, kmer HAVING count(*) >= 2")
 def sample_kmers_min2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K-mers seen twice or more in a sample."""
-    return P.sample_kmers(reads(spark, sf_dir))
+    return P.sample_kmers(reads(spark, sf_dir), packed=True).select("sample_id", S.unpack("kmer").alias("kmer"), "n")
 
 
 @query(f"WITH {ABUNDANT_SQL} SELECT kmer, n FROM abundant")
@@ -78,8 +85,7 @@ def kmer_pack2bit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {ABUNDANT_SQL} SELECT kmer, array_to_string(list_sort(list(DISTINCT sample_id)), ',') AS samples FROM kmers WHERE kmer IN (SELECT kmer FROM abundant) GROUP BY kmer")
 def presence_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sorted samples of whitelisted k-mers."""
-    words = S.with_canonical_kmers(reads(spark, sf_dir))
-    return P.presence(words, P.filter_counts(P.kmer_counts(words), MIN_SAMPLES)).select("kmer", joined("samples").alias("samples"))
+    return abundant_presence(spark, sf_dir).select("kmer", joined("samples").alias("samples"))
 
 
 @query(f"WITH {BUYERS_SQL} SELECT kmer, array_to_string(list_sort(list(sample_id)), ',') AS samples FROM buyers GROUP BY kmer")
@@ -168,9 +174,7 @@ def minimizer_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {MNZ} SELECT mnz, count(*)::BIGINT AS keys, sum(n)::BIGINT AS size FROM mnz GROUP BY mnz")
 def partition_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys and sizes of the minimizer partitions, largest first."""
-    words = S.with_canonical_kmers(reads(spark, sf_dir))
-    has = P.presence(words, P.filter_counts(P.kmer_counts(words), MIN_SAMPLES))
-    return sampling.partition_sizes(sampling.with_minimizer(has))
+    return sampling.partition_sizes(sampling.with_minimizer(abundant_presence(spark, sf_dir)))
 
 
 @query("""WITH k AS (SELECT s_nationkey::BIGINT AS kmer, list(s_suppkey) AS l FROM supplier GROUP BY s_nationkey), m AS (SELECT max(s_suppkey) AS top FROM supplier)
@@ -221,17 +225,17 @@ def profile_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.positions_seen(profile(spark, sf_dir))
 
 
-@query(f"WITH {PROFILE_SQL} SELECT kmer FROM profile WHERE false")
+@query(f"WITH {PROFILE_SQL} SELECT kmer FROM (SELECT kmer, pos, count(DISTINCT base) AS b FROM profile WHERE pos BETWEEN 100 AND 119 GROUP BY kmer, pos) GROUP BY kmer HAVING count(*) <> 20 OR max(b) <> 1")
 def profile_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K-mers whose own positions aren't of one base: none."""
     return R.invalid(profile(spark, sf_dir))
 
 
-@query(f"WITH {PROFILE_SQL} SELECT kmer, pos, base, (2 * n)::BIGINT AS n FROM profile")
+@query(f"WITH {PROFILE_SQL} SELECT kmer, pos, base, n FROM profile")
 def merge_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A profile merged with itself."""
-    one = profile(spark, sf_dir)
-    return P.merge("profile", one, one)
+    """Profiles of three disjoint parts of the samples, merged: that of all."""
+    listed, every = Scratch(spark).cut(whitelist(spark, sf_dir)), reads(spark, sf_dir)
+    return P.merge("profile", *[R.profiles(every.where(F.col("sample_id") % 3 == i), listed, False) for i in range(3)])
 
 
 @query(f"WITH {PROFILE_SQL} SELECT kmer, round(e, 9) AS avg_entropy FROM ent")

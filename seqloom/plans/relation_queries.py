@@ -171,10 +171,17 @@ def ols_association(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.select("key", "n", *[F.round(c, 6).alias(c) for c in ("kmer_coef", "z_coef", "rsquared")], "degenerate")
 
 
-@query(None)
+#: Two-sided tails by Simpson's rule over 4,000 intervals, and the 97.5 % point by its expansion in the normal one.
+T_TAIL_SQL = """, e AS (SELECT key, b, abs(tstat) AS t, m - 3 AS v, sqrt((rss0 - b * b * den) / (m - 3) / den) AS se, exp(lgamma((m - 2) / 2) - lgamma((m - 3) / 2)) / sqrt((m - 3) * pi()) AS c, least(abs(tstat), 12) / 4000 AS h, 1.959963984540054::DOUBLE AS z FROM t),
+q AS (SELECT *, z + (z ** 3 + z) / (4 * v) + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96 * v ** 2) + (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / (384 * v ** 3) AS reach FROM e),
+p AS (SELECT key, b, se, reach, greatest(0, 1 - 2 * c * h / 3 * list_sum(list_transform(range(0, 4001), lambda i: (CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * (1 + (i * h) * (i * h) / v) ** (-(v + 1) / 2)))) AS pval FROM q)"""
+
+
+@query(OLS_SQL + T_TAIL_SQL + " SELECT f.key, round(pval, 5) AS kmer_pval, round(b - reach * se, 6) AS kmer_coef_025, round(b + reach * se, 6) AS kmer_coef_975 FROM f LEFT JOIN p ON p.key = f.key")
 def ols_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All columns of the regressions, p-values and intervals included."""
-    return association.associate(word_docs(spark, sf_dir), covariates(spark, sf_dir), "y")
+    """P-values and intervals of each word's coefficient."""
+    fit = association.associate(word_docs(spark, sf_dir), covariates(spark, sf_dir), "y")
+    return fit.select("key", F.round("kmer_pval", 5).alias("kmer_pval"), *[F.round(c, 6).alias(c) for c in ("kmer_coef_025", "kmer_coef_975")])
 
 
 @query(None)
@@ -318,7 +325,7 @@ def fisher_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("*", F.round(T.odds_ratio("a", "b", "c", "d"), 6).alias("odds"), *[F.round(T.fisher("a", "b", "c", "d", t), 6).alias(n) for n, t in tails.items()])
 
 
-KO_SQL = """WITH found AS (SELECT s_suppkey AS gene FROM supplier), enr AS (SELECT s_suppkey AS gene FROM supplier WHERE s_acctbal > 5000), ko AS (SELECT s_suppkey AS gene, n_name AS ko FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name <> 'FRANCE'),
+KO_SQL = """WITH found AS (SELECT s_suppkey AS gene FROM supplier), enr AS (SELECT s_suppkey AS gene FROM supplier WHERE s_acctbal > 5000), ko AS (SELECT s_suppkey AS gene, n_name AS ko FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey <> 3),
 al AS (SELECT ko, count(*)::BIGINT AS total FROM found JOIN ko ON ko.gene = found.gene GROUP BY ko), so AS (SELECT ko, count(*)::BIGINT AS sp FROM enr JOIN ko ON ko.gene = enr.gene GROUP BY ko),
 c AS (SELECT so.ko, sp, total - sp AS nsp, (SELECT count(*) FROM enr) - sp AS snp, (SELECT count(*) FROM found) - (SELECT count(*) FROM enr) - (total - sp) AS nsnp FROM so JOIN al ON al.ko = so.ko),
 t AS (SELECT *, (SELECT sum(exp(lgamma(sp + nsp + 1) + lgamma(snp + nsnp + 1) + lgamma(sp + snp + 1) + lgamma(nsp + nsnp + 1) - lgamma(sp + nsp + snp + nsnp + 1) - lgamma(x + 1) - lgamma(sp + nsp - x + 1) - lgamma(sp + snp - x + 1) - lgamma(nsnp - sp + x + 1))) FROM range(sp, least(sp + nsp, sp + snp) + 1) AS r(x)) AS p FROM c)"""
@@ -326,7 +333,7 @@ t AS (SELECT *, (SELECT sum(exp(lgamma(sp + nsp + 1) + lgamma(snp + nsnp + 1) +
 
 def annotated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     sup = table(spark, sf_dir, "supplier")
-    nation = table(spark, sf_dir, "nation").where("n_name <> 'FRANCE'")
+    nation = table(spark, sf_dir, "nation").where("n_regionkey <> 3")
     groups = sup.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("gene"), F.col("n_name").alias("ko"))
     return sup.select(F.col("s_suppkey").alias("gene")), sup.where("s_acctbal > 5000").select(F.col("s_suppkey").alias("gene")), groups
 
@@ -338,11 +345,11 @@ def ko_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tested.select("ko", "sp", "nsp", "snp", "nsnp", F.round("odds", 8).alias("odds"), F.round("pvalue", 8).alias("pvalue"), "significant")
 
 
-@query("SELECT s_suppkey AS gene FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'FRANCE'")
+@query("SELECT s_suppkey AS gene FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 3 AND s_acctbal > 5000")
 def no_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers without a group."""
-    found, _, groups = annotated(spark, sf_dir)
-    return enrichment.without_group(found, groups)
+    """Rich suppliers without a group."""
+    _, rich, groups = annotated(spark, sf_dir)
+    return enrichment.without_group(rich, groups)
 
 
 @query("""WITH i AS (SELECT c_mktsegment AS segment, n_name AS nation, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), n AS (SELECT count(*)::DOUBLE AS n FROM i),
@@ -367,12 +374,12 @@ def category_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT c_custkey, round(100.0::DOUBLE * c_acctbal / 10000, 6) AS pct, (list_position(l, list_min(l)) - 1)::BIGINT AS lowest, (list_position(l, list_max(l)) - 1)::BIGINT AS highest, array_to_string(string_split(c_name, '#'), '|') AS parts,
-  CASE WHEN c_mktsegment LIKE 'AUTO%' THEN 'AUTO' ELSE c_mktsegment END AS seg FROM (SELECT *, [c_custkey % 7, c_custkey % 5, c_nationkey::BIGINT] AS l FROM customer)""")
+  CASE WHEN c_mktsegment LIKE 'AUTO%' THEN 'AUTO' ELSE c_mktsegment END AS seg, replace(c_name, 'Customer#', '') AS trimmed, (sign(c_custkey % 9 - 4) * floor(abs(c_custkey % 9 - 4) / 2.0::DOUBLE + 0.5))::BIGINT AS halved FROM (SELECT *, [c_custkey % 7, c_custkey % 5, c_nationkey::BIGINT] AS l FROM customer)""")
 def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small helpers: percentages, first places of extrema, splitting, prefixes."""
     c = table(spark, sf_dir, "customer").withColumn("l", F.array(F.col("c_custkey") % 7, F.col("c_custkey") % 5, F.col("c_nationkey").cast("bigint")))
     seg = A.cut_suffix(F.regexp_replace("c_mktsegment", "^AUTO", "AUTO_"), "AUTO")
-    return c.select("c_custkey", F.round(A.percent("c_acctbal", F.lit(10000)), 6).alias("pct"), A.arg_min("l").alias("lowest"), A.arg_max("l").alias("highest"), F.array_join(A.split_parts("c_name", "#"), "|").alias("parts"), seg.alias("seg"))
+    return c.select("c_custkey", F.round(A.percent("c_acctbal", F.lit(10000)), 6).alias("pct"), A.arg_min("l").alias("lowest"), A.arg_max("l").alias("highest"), F.array_join(A.split_parts("c_name", "#"), "|").alias("parts"), seg.alias("seg"), A.cut_prefix("c_name", "Customer#").alias("trimmed"), A.round_div(F.col("c_custkey") % 9 - 4, F.lit(2)).alias("halved"))
 
 
 @query("""WITH s AS (SELECT o_custkey, list_sort(list(o_totalprice)) AS l FROM orders GROUP BY o_custkey)

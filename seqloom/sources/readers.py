@@ -50,6 +50,39 @@ def fastq(spark: SparkSession, paths: Sequence[str], part: int | None = None, pa
     return lines.join(names, "path").select("sample_id", F.floor(F.col("line") / 4).cast("bigint").alias("read_no"), F.regexp_replace("value", "\r$", "").alias("seq"))
 
 
+def fasta(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """sample_id, read_no, seq of FASTA files; the lines of a record are put together in order, and a record without lines is left out."""
+    names = spark.createDataFrame([(i, qualified(spark, p)) for i, p in enumerate(paths)], "sample_id bigint, path string")
+    lines = numbered_lines(spark, paths).withColumn("head", F.col("value").startswith(">"))
+    # A record is known by the line of its header: the last one up to each line.
+    order = W.partitionBy("path").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
+    placed = lines.withColumn("read_no", (F.sum(F.col("head").cast("long")).over(order) - 1)).where("not head and read_no >= 0")
+    part = F.struct("line", F.trim(F.regexp_replace("value", "\r$", "")).alias("seq"))
+    whole = placed.groupBy("path", "read_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["seq"]), "").alias("seq"))
+    return whole.join(F.broadcast(names), "path").select("sample_id", "read_no", "seq").where("seq <> ''")
+
+
+def line_counts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """path and rows (header left out) of result files; an empty file is an error."""
+    names = spark.createDataFrame([(p, qualified(spark, p)) for p in paths], "name string, path string")
+    counted = spark.read.text(list(paths)).groupBy(F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("path")).agg((F.count("*") - 1).alias("rows"))
+    out = names.join(counted, "path", "left")
+    empty = out.where("coalesce(rows, -1) < 0").head(1)
+    if empty:
+        raise ValueError(f"{empty[0]['name']} is empty")
+    return out.select(F.col("name").alias("path"), "rows")
+
+
+def counts_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """kmer and n of a written table of counts."""
+    return spark.read.parquet(path).select("kmer", F.col("n").cast("bigint").alias("n"))
+
+
+def presence_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """kmer and samples of a written presence table."""
+    return spark.read.parquet(path).select("kmer", F.col("samples").cast("array<bigint>").alias("samples"))
+
+
 def sam(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """rname, mapq and seq of SAM alignments; header lines start with @."""
     parts = F.split("value", "\t")
@@ -65,7 +98,7 @@ def translated(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def kmer_lines(spark: SparkSession, path: str, k: int | None = None) -> DataFrame:
     """kmer and idx (line number from 0) of a text list; a repeated word, or one of another length than k, is an error."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("idx", "kmer")).where("kmer <> ''")
+    lines = numbered_lines(spark, [path]).select(F.col("line").alias("idx"), F.regexp_replace("value", "\r$", "").alias("kmer")).where("kmer <> ''")
     again = lines.groupBy("kmer").count().where("count > 1").head(1)
     if again:
         raise ValueError(f"repeated k-mer {again[0]['kmer']}")
@@ -93,7 +126,7 @@ def covariates(spark: SparkSession, path: str, sample_order: bool = True) -> Dat
     elif path.endswith((".csv", ".tsv")):
         df = spark.read.csv(path, header=True, inferSchema=True, sep="\t" if path.endswith(".tsv") else ",")
     else:
-        raise TypeError(f"unknown kind of table: {path}")
+        raise TypeError(f"unknown kind of table: {path}; write others (HDF5 frames, say) as .parquet first, with pandas.read_hdf(...).to_parquet(...)")
     if "sample_id" in df.columns or not sample_order:
         return df
     numbered = df.withColumn("_m", F.monotonically_increasing_id())
@@ -111,8 +144,8 @@ def gene_sets_json(spark: SparkSession, path: str) -> DataFrame:
 
 def components_json(spark: SparkSession, path: str) -> DataFrame:
     """comp, kmer, loading of one JSON object per component, in file order."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("comp", "line")).where("line <> ''")
-    return lines.select("comp", F.explode(F.from_json("line", "map<string,double>")).alias("kmer", "loading"))
+    lines = numbered_lines(spark, [path]).select(F.col("line").cast("int").alias("comp"), "value").where("value <> ''")
+    return lines.select("comp", F.explode(F.from_json("value", "map<string,double>")).alias("kmer", "loading"))
 
 
 def group_lists_json(spark: SparkSession, path: str, key: str = "gene", group: str = "ko") -> DataFrame:

@@ -42,6 +42,12 @@ def components_json(components: DataFrame, path: str, mode: str = "error") -> No
     rows.orderBy("comp").select("value").coalesce(1).write.mode(mode).text(path)
 
 
+def explained_variance_csv(share, path: str, spark, mode: str = "error") -> None:
+    """comp and explained-variance ratio of each component, in order."""
+    rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(share)], "comp int, explained double")
+    rows.orderBy("comp").coalesce(1).write.mode(mode).csv(path, header=True)
+
+
 def clusters_json(clusters: DataFrame, path: str, key: str = "kmer", mode: str = "error") -> None:
     """One sorted list of keys per component, largest first."""
     lists = clusters.groupBy("component").agg(F.array_sort(F.collect_list(key)).alias("keys"))

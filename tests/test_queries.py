@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from seqloom.plans import kmer_queries, registry, relation_queries  # noqa: F401
+from seqloom.plans import io_queries, kmer_queries, registry, relation_queries  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -25,7 +25,7 @@ def rows(names, values):
     return sorted(tuple(plain(r[i]) for i in order) for r in values)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.SQL) - {"canonical_kmer_counts", "kmer_parts"}))
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(DATA):

@@ -54,6 +54,23 @@ def test_csv_headers(spark, tmp_path):
         readers.covariates(spark, "x.h5")
 
 
+def test_line_counts_and_variance(spark, tmp_path):
+    a, b = tmp_path / "a.csv", tmp_path / "b.csv"
+    a.write_text("key\nx\ny\n")
+    b.write_text("key\n")
+    assert sorted(map(tuple, readers.line_counts(spark, [str(a), str(b)]).collect())) == [(str(a), 2), (str(b), 0)]
+    b.write_text("")
+    with pytest.raises(ValueError):
+        readers.line_counts(spark, [str(a), str(b)])
+    writers.explained_variance_csv([0.75, 0.25], str(tmp_path / "v"), spark)
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "v"), header=True, schema="comp int, explained double").collect()] == [(0, 0.75), (1, 0.25)]
+    has = spark.createDataFrame([("A", [1, 2])], "kmer string, samples array<bigint>")
+    writers.sorted_parquet(has, str(tmp_path / "p"))
+    assert [tuple(r) for r in readers.presence_parquet(spark, str(tmp_path / "p")).collect()] == [("A", [1, 2])]
+    writers.sorted_parquet(has.selectExpr("kmer", "size(samples) n"), str(tmp_path / "n"))
+    assert [tuple(r) for r in readers.counts_parquet(spark, str(tmp_path / "n")).collect()] == [("A", 2)]
+
+
 def test_json_round_trips(spark, tmp_path):
     has = spark.createDataFrame([("A", [1, 2]), ("C", [])], "kmer string, samples array<bigint>")
     writers.presence_json(has, str(tmp_path / "h"))
