@@ -6,7 +6,9 @@ frame on the canvas by its palette, transparent index and the disposal of the fr
 timed frames with colour-histogram columns.
 
 Null and empty texts make one row of 64 zero samples. A null medium decodes to no frames; a broken
-one to the frames read before the fault, with `error` set. Equal bytes make equal media.
+one to the frames read before the fault, with `error` set. Equal bytes make equal media, so repeated rows are
+alike. Very long texts are several frames of bounded height. An empty table gives no rows. Other columns than id,
+text and those named in `carry` aren't read, so their names can't clash.
 """
 
 from __future__ import annotations

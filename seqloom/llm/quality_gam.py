@@ -5,6 +5,10 @@ tree on each one's bins to its lookup table; then the strongest pairs, found by
 two cuts, get tables the same way. A score is the sigmoid of the sum of table entries, added up for
 whole Arrow batches. Features come from the text alone. Null and empty texts have all counts zero and
 are scored like any other; without labels, or with one label only, every score is that label's (1 if none).
+Rows are scored one by one, so repeated ones alike; very long texts are handled whole. Of equally good cuts the
+first is taken, and rows are sorted before a fit, so reruns agree. Ids with several labels take their rounded
+mean. An empty table gives no rows. Other columns pass unchanged; where one is named score, the new one is
+quality_score.
 """
 
 from __future__ import annotations

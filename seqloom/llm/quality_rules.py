@@ -5,6 +5,9 @@ bias plus the mean weight of its n-grams in each block. The weights are fitted o
 labelled rows, then calibrated to probabilities (a logistic curve on rows kept apart) and scored in
 Arrow batches. Null and empty texts have no words and fail the base rules. An unlabelled or one-sided
 corpus gives the constant probability of its labels (1 without labels), so nothing is rejected by it.
+Rows are judged one by one, so repeated ones alike; very long texts are handled whole. A probability equal to the
+threshold is kept; rows are sorted before a fit, so reruns agree. An empty table gives no rows. Other columns
+than id and text aren't read, so their names can't clash.
 """
 
 from __future__ import annotations

@@ -220,7 +220,7 @@ def test_gif_disposal_transparency_and_time():
     assert rgb(2) == first  # the frame before was undone, and this one is all transparent
     assert f[3].canvas[1, 1].tolist() == [0, 0, 0, 0] and rgb(3)[1][0] == [0, 20, 0]
     assert [(x.start, x.delay) for x in f] == [(0, 5), (5, 7), (12, 1), (13, 2)]
-    assert media_gif.histogram(f[3].canvas, 8)[1] == [2, 0, 0, 0, 0, 0, 0, 0] or sum(media_gif.histogram(f[3].canvas, 8)[1]) == 3
+    assert sum(media_gif.histogram(f[3].canvas, 8)[1]) == 3  # the clear pixel isn't counted
 
 
 def test_gif_query_and_faults(spark, rough):
