@@ -37,9 +37,11 @@ def candidates(sketched: DataFrame, key: str = "kmer", min_shared: int = MIN_SHA
     post = sketched.select(key, *groups, F.size("sketch").alias("len"), need.alias("need"), F.explode("sketch").alias("h")).where("len >= need")
     frequency = post.groupBy(*groups, "h").agg(F.count("*").alias("f"))
     ranked = post.join(frequency, [*groups, "h"]).withColumn("rank", F.row_number().over(W.partitionBy(key, *groups).orderBy("f", "h")))
-    prefix = ranked.where(F.col("rank") <= F.col("len") - F.col("need") + 1).where("f > 1").select(key, *groups, "h")
-    left, right = prefix.withColumnRenamed(key, "a"), prefix.withColumnRenamed(key, "b")
-    pairs = left.join(right, [*groups, "h"]).where("a < b").select("a", "b").distinct()
+    prefix = ranked.where(F.col("rank") <= F.col("len") - F.col("need") + 1).where("f > 1").select(F.col(key).alias("a"), *groups, "h", F.col("len").alias("m"))
+    # The bound of a pair is its smaller sketch's if `relative`: only that one has its rare hashes alone, the other all.
+    other = post.select(F.col(key).alias("b"), *groups, "h", F.col("len").alias("n")) if relative else prefix.withColumnsRenamed({"a": "b", "m": "n"})
+    met = prefix.join(other, [*groups, "h"]).where("m < n or (m = n and a < b)" if relative else "a < b")
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sk = sketched.select(key, "sketch")
     both = pairs.join(sk.toDF("a", "sa"), "a").join(sk.toDF("b", "sb"), "b").withColumn("shared", common("sa", "sb").cast("bigint"))
     bound = F.least(F.lit(min_shared), F.size("sa"), F.size("sb")) if relative else F.lit(min_shared)
