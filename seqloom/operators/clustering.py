@@ -68,11 +68,16 @@ def medoids(clusters: DataFrame, has: DataFrame, n_samples: int, key: str = "kme
     """component, size, medoid and rms: the member of least root mean square dual distance to the others.
 
     A single member is its own medoid, with no rms. Ties go to the least key; largest components first.
+    Members with equal sets are at distance 0 and alike to all others, so each set is compared once, with its number of keys.
     """
-    size = clusters.groupBy("component").agg(F.count("*").alias("size"), F.min(key).alias("only"))
-    left, right = clusters.select("component", F.col(key).alias("a")), clusters.select("component", F.col(key).alias("b"))
-    pairs = left.join(right, "component").where("a <> b")
-    rms = pair_distances(pairs, has, n_samples, key).groupBy("component", "a").agg(F.sqrt(F.sum(F.col("dist") * F.col("dist")) / F.count("*")).alias("rms"))
+    sets = clusters.join(has.select(key, F.array_sort("samples").alias("samples")), key)
+    sets = sets.groupBy("component", "samples").agg(F.min(key).alias("a"), F.count("*").alias("times"))
+    size = sets.groupBy("component").agg(F.sum("times").alias("size"), F.min("a").alias("only"))
+    members = sets.select("component", "a", "times")
+    pairs = members.select("component", "a").join(members.withColumnRenamed("a", "b"), "component").where("a <> b")
+    far = pair_distances(pairs, has, n_samples, key).groupBy("component", "a").agg(F.sum(F.col("times") * F.col("dist") * F.col("dist")).alias("far"))
+    rms = members.join(far, ["component", "a"], "left").join(size.select("component", "size"), "component").where("size > 1")
+    rms = rms.select("component", "a", F.sqrt(F.coalesce("far", F.lit(0.0)) / (F.col("size") - 1)).alias("rms"))
     best = rms.groupBy("component").agg(F.min(F.struct(F.round("rms", 12).alias("rms"), "a")).alias("best"))
     out = size.join(best, "component", "left").select("component", "size", F.coalesce("best.a", "only").alias("medoid"), F.col("best.rms").alias("rms"))
     return out.orderBy(F.desc("size"), "component")

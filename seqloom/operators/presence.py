@@ -103,5 +103,9 @@ def bonferroni(results: DataFrame, alpha: float = 0.05, pvalue: Column | str = "
 def presence_matrix(has: DataFrame, n_samples: int, key: str = "kmer") -> DataFrame:
     """key and a 0/1 array of n_samples, dense only for the rows asked for; samples without a key keep their column."""
     bad = F.exists("samples", lambda s: (s < 0) | (s >= n_samples))
-    row = F.transform(F.sequence(F.lit(0), F.lit(n_samples - 1)), lambda i: F.array_contains("samples", i.cast("bigint")).cast("int"))
-    return has.select(key, F.when(bad, F.raise_error(F.lit("sample beyond n_samples")).cast("array<int>")).otherwise(row).alias("row"))
+    # Zeros fill the gaps between sorted samples, so a row costs its length once.
+    zeros = lambda n: F.array_repeat(F.lit(0), n.cast("int"))
+    ordered = has.select(key, F.array_sort(F.array_distinct(F.array_compact("samples"))).alias("s"), bad.alias("bad"))
+    before = lambda k: F.coalesce(F.get("s", k - 1), F.lit(-1))
+    row = F.concat(F.flatten(F.transform("s", lambda x, k: F.concat(zeros(x - before(k) - 1), F.array(F.lit(1))))), zeros(F.lit(n_samples - 1) - before(F.size("s"))))
+    return ordered.select(key, F.when(F.col("bad"), F.raise_error(F.lit("sample beyond n_samples")).cast("array<int>")).otherwise(row).alias("row"))

@@ -19,31 +19,26 @@ ns AS (SELECT kmer, count(*)::DOUBLE AS m FROM np GROUP BY kmer), tot AS (SELECT
 sh AS (SELECT x.kmer AS a, y.kmer AS b, count(*)::DOUBLE AS s FROM np x JOIN np y ON x.sample_id = y.sample_id AND x.kmer < y.kmer GROUP BY x.kmer, y.kmer)"""
 
 
-def nation_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts supplied from each nation."""
-    items = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
-    sup = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
-    return P.presence(items.join(sup, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("n_name").alias("kmer"), F.col("l_partkey").alias("sample_id")).distinct())
-
-
 def nation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    has = nation_parts(spark, sf_dir)
-    return has.select(F.col("kmer").alias("a"), F.col("samples").alias("x")).join(has.select(F.col("kmer").alias("b"), F.col("samples").alias("y")), F.col("a") < F.col("b")).where(A.common("x", "y") > 0)
+    """a < b (nations), their numbers of parts, and the parts in common (at least one); from the nations' Gram matrix."""
+    pairs = Scratch(spark).cut(population.gram(segment_presence(spark, sf_dir)))
+    size = pairs.where("i = j").select("i", F.col("shared").cast("double").alias("size"))
+    name = size.join(table(spark, sf_dir, "nation"), F.col("i") == F.col("n_nationkey")).select("i", F.struct(F.col("n_name").alias("name"), "size").alias("x"))
+    met = pairs.where("i < j").join(name, "i").join(name.toDF("j", "y"), "j").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.col("shared").cast("double").alias("shared"))
+    return met.select(F.col("x.name").alias("a"), F.col("y.name").alias("b"), F.col("x.size").alias("x"), F.col("y.size").alias("y"), "shared")
 
 
 @query(f"WITH {NATION_PARTS} SELECT a, b, round(1 - s / (p.m + q.m - s), 10) AS dist FROM sh JOIN ns p ON p.kmer = a JOIN ns q ON q.kmer = b")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jaccard distance of the part sets of nations."""
-    size = lambda c: F.size(c).cast("double")
-    return nation_pairs(spark, sf_dir).select("a", "b", F.round(A.jaccard_distance(A.common("x", "y").cast("double"), size("x"), size("y")), 10).alias("dist"))
+    return nation_pairs(spark, sf_dir).select("a", "b", F.round(A.jaccard_distance(F.col("shared"), F.col("x"), F.col("y")), 10).alias("dist"))
 
 
 @query(f"WITH {NATION_PARTS} SELECT a, b, CASE WHEN n - s = 0 THEN 0 ELSE round(1 - 0.5::DOUBLE * (s / (p.m + q.m - s)) - 0.5::DOUBLE * ((n - (p.m + q.m - s)) / (n - s)), 10) END AS dist FROM sh JOIN ns p ON p.kmer = a JOIN ns q ON q.kmer = b, tot")
 def jaccard_dual_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of the Jaccard distances of sets and complements."""
     n = float(table(spark, sf_dir, "part").count())
-    size = lambda c: F.size(c).cast("double")
-    return nation_pairs(spark, sf_dir).select("a", "b", F.round(A.dual_distance(A.common("x", "y").cast("double"), size("x"), size("y"), F.lit(n)), 10).alias("dist"))
+    return nation_pairs(spark, sf_dir).select("a", "b", F.round(A.dual_distance(F.col("shared"), F.col("x"), F.col("y"), F.lit(n)), 10).alias("dist"))
 
 
 SKETCH_SQL = f"""{WORDS_SQL}, hashes AS (SELECT kmer, {h('sample_id')} AS hash FROM doc_words),
@@ -250,6 +245,14 @@ def structure_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(population.stability(has, samples))
 
 
+@query(None)
+def structure_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of nations on disjoint blocks of the parts."""
+    has = Scratch(spark).cut(segment_presence(spark, sf_dir))
+    samples = [r[0] for r in has.select(F.explode("samples").alias("s")).distinct().orderBy("s").collect()]
+    return spark.createDataFrame(population.block_distances(has, samples, steps=2))
+
+
 @query("""WITH m AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), c AS (SELECT label, i, avg(v) AS v FROM m GROUP BY label, i),
 d AS (SELECT a.label AS a, b.label AS b, sum(a.v * b.v) AS ab, sum(a.v * a.v) AS aa, sum(b.v * b.v) AS bb FROM c a JOIN c b ON a.i = b.i AND a.label < b.label GROUP BY a.label, b.label)
 SELECT a, b, round(ab / (sqrt(aa) * sqrt(bb)), 6) AS cosine FROM d""")
@@ -257,9 +260,11 @@ def pairwise_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosines of the mean vectors of labels."""
     each = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "v"))
     means = each.groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
-    mean = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("v"))
-    pairs = mean.select(F.col("label").alias("a"), F.col("v").alias("x")).join(mean.select(F.col("label").alias("b"), F.col("v").alias("y")), F.col("a") < F.col("b"))
-    return pairs.select("a", "b", F.round(A.cosine("x", "y"), 6).alias("cosine"))
+    mine = means.select("i", F.struct("label", "v").alias("x"))
+    both = mine.join(mine.withColumnRenamed("x", "y"), "i").where("x.label <= y.label").groupBy("x.label", F.col("y.label").alias("b")).agg(F.sum(F.col("x.v") * F.col("y.v")).alias("dot"))
+    both = both.withColumnRenamed("label", "a")
+    norm = lambda c: both.where("a = b").select(F.col("a").alias(c), F.sqrt("dot").alias(f"n{c}"))
+    return both.where("a < b").join(norm("a"), "a").join(norm("b"), "b").select("a", "b", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6).alias("cosine"))
 
 
 REF_SQL = f"""{ABUNDANT_SQL}, listed AS (SELECT kmer, row_number() OVER (ORDER BY kmer) - 1 AS idx FROM abundant),

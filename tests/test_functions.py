@@ -123,6 +123,32 @@ def test_fisher(spark):
         assert (r.o, r.g, r.l, r.t) == pytest.approx(want[(r.a, r.b, r.c, r.d)], abs=1e-11)
 
 
+def exact_fisher(a, b, c, d):
+    """The three p-values in whole numbers."""
+    r1, r2, c1 = a + b, c + d, a + c
+    ways = {x: math.comb(r1, x) * math.comb(r2, c1 - x) for x in range(max(0, c1 - r2), min(r1, c1) + 1)}
+    total = sum(ways.values())
+    picks = [x for x in ways if x >= a], [x for x in ways if x <= a], [x for x in ways if ways[x] * 10**7 <= ways[a] * (10**7 + 1)]
+    return [sum(ways[x] for x in p) / total for p in picks]
+
+
+def test_fisher_against_whole_numbers(spark):
+    draw = np.random.default_rng(4)
+    cells = [tuple(int(v) for v in draw.integers(0, top, 4)) for top in (4, 30, 700) for _ in range(25)]
+    cells += [(0, 0, 0, 0), (2500, 0, 2400, 100), (3, 2900, 40, 2000), (900, 900, 900, 900), (0, 5, 0, 5), (5, 0, 5, 0)]
+    df = spark.createDataFrame(cells, "a bigint, b bigint, c bigint, d bigint")
+    for r in df.select("*", *[T.fisher("a", "b", "c", "d", t).alias(t[0]) for t in ("greater", "less", "two-sided")]).collect():
+        assert [r.g, r.l, r.t] == pytest.approx(exact_fisher(r.a, r.b, r.c, r.d), rel=1e-8, abs=1e-300), r
+
+
+def test_fisher_of_large_margins(spark):
+    cells = map(F.lit, (50_000_000, 50_000_000, 50_010_000, 49_990_000))
+    a, b, c, d = (x.cast("bigint") for x in cells)
+    row = one(spark, l=T.fisher(a, b, c, d, "less"), t=T.fisher(a, b, c, d))
+    # 50 million in 100 million against 50.01: z = -1.41421 (with the half-table correction -1.41407)
+    assert row.l == pytest.approx(math.erfc(9999 / math.sqrt(5e7) / math.sqrt(2)) / 2, rel=1e-3) and row.t == pytest.approx(2 * row.l, rel=1e-3)
+
+
 def test_fisher_errors(spark):
     with pytest.raises(Exception, match="negative"):
         one(spark, x=T.fisher(F.lit(-1), F.lit(1), F.lit(1), F.lit(1)))

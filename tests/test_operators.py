@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +102,51 @@ def test_cluster_and_medoid(spark):
         clustering.cluster(h, 10).collect()
 
 
+def test_medoid_of_repeated_sets(spark):
+    sets = {"a": range(40), "b": range(1, 40), "c": range(1, 40), "d": range(2, 40), "e": [7], "f": [7]}
+    clusters = spark.createDataFrame([(k, "e" if k in "ef" else "a") for k in sets], "kmer string, component string")
+    found = {r.component: r for r in clustering.medoids(clusters, has(spark, {k: list(v) for k, v in sets.items()}), 100).collect()}
+
+    def far(x, y):
+        x, y = set(x), set(y)
+        both, either = len(x & y), len(x | y)
+        return 1 - both / either / 2 - (100 - either) / (100 - both) / 2
+
+    rms = {k: math.sqrt(sum(far(sets[k], sets[o]) ** 2 for o in "abcd" if o != k) / 3) for k in "abcd"}
+    assert (found["a"].size, found["a"].medoid) == (4, min("abcd", key=lambda k: (round(rms[k], 12), k))) and found["a"].rms == pytest.approx(min(rms.values()))
+    assert (found["e"].size, found["e"].medoid, found["e"].rms) == (2, "e", 0)
+
+
+def test_gram_is_the_product_of_the_matrix(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.random((300, 40)) < 0.2
+    want = x.T.astype(int) @ x
+    h = has(spark, {f"k{r}": np.flatnonzero(x[r]).tolist() for r in range(300)})
+    assert {(r.i, r.j): r.shared for r in population.gram(h).collect()} == {(i, j): want[i, j] for i in range(40) for j in range(i, 40) if want[i, j]}
+    monkeypatch.setattr(population, "CELLS", 100)
+    monkeypatch.setattr(population, "TILE", 7)
+    assert (population.gram_matrix(population.gram(h), list(range(40))) == want).all()
+    nothing = spark.createDataFrame([("a", None), ("b", []), ("c", [None])], "kmer string, samples array<bigint>")
+    assert population.gram(nothing).count() == 0 and population.gram(nothing.limit(0)).count() == 0
+
+
+def test_block_distances(spark):
+    rng = np.random.default_rng(5)
+    x = rng.random((400, 12)) < rng.random(12) * 0.6 + 0.2
+    h = has(spark, {f"k{r}": np.flatnonzero(x[r]).tolist() for r in range(400)})
+    keys = population.subset_keys(h, 2, 4).select("kmer").collect()
+    m = np.array([x[int(r.kmer[1:])] for r in keys], dtype=float).T
+    m -= m.mean(0)
+    u, s, _ = np.linalg.svd(m, full_matrices=False)
+    scores = population.standard_scores(u[:, :2] * s[:2])
+    d = population.pca_distances(scores)
+    got = population.block_distances(h, list(range(12)), steps=2)
+    block = got[(got.step == 0) & (got.block == 1)]
+    assert block.distance.to_numpy() == pytest.approx(d[np.triu_indices(12, 1)])
+    assert len(got) == 2 * 3 * 66 and np.sqrt((got.groupby(["step", "block"]).distance.apply(lambda v: (v**2).sum()))).to_numpy() == pytest.approx(1 / math.sqrt(2))
+    assert len(population.block_distances(h, list(range(12)), steps=2, halves=True)) == 2 * 3 * 66
+
+
 def test_relative_sketch_bound(spark):
     h = clustering.sketches(has(spark, {"a": [1, 2, 3], "b": [1, 2, 3], "c": [9]}))
     assert clustering.candidates(h).count() == 0
