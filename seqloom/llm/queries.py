@@ -45,7 +45,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("positions").cast("long").alias("n_copies"), at(1).alias("first_position"), at(-1).alias("last_position"))
 
 
-def op4_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+def curriculum_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy that the mix takes, with its training position, in order of position."""
     return mixing.curriculum(table(spark, sf_dir, "documents")).select("doc_id", "copy", "position", "size", "source")
 
@@ -97,4 +97,4 @@ ORACLE_SQL: dict[str, str] = {"op1_url_filters": url_filters.sql(URL_RULES), "op
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (op1_url_filters, op2_media_gif, op3_token_counts, op4_mixing, op4_curriculum, op5_line_dedup, op6_quality_rules, op7_quality_gam, op8_ngram_join, op9_bpe, op10_pii)}
+    return {q.__name__: q for q in (op1_url_filters, op2_media_gif, op3_token_counts, op4_mixing, curriculum_copies, op5_line_dedup, op6_quality_rules, op7_quality_gam, op8_ngram_join, op9_bpe, op10_pii)}

@@ -338,7 +338,7 @@ def test_registered_mixing_follows_the_schedules(spark, docs, tmp_path):
     for r in mixed:
         assert tuple(r)[1:3] == want[r.doc_id][:2] and tuple(r)[4:6] == want[r.doc_id][3:5]
         assert tuple(r)[6:] == pytest.approx(want[r.doc_id][5:], abs=1e-9) and len(at[r.doc_id]) == r.n_copies
-    copies = queries.op4_curriculum(spark, str(tmp_path)).collect()
+    copies = queries.curriculum_copies(spark, str(tmp_path)).collect()
     assert [r.position for r in copies] == sorted(r.position for r in copies)
     assert sorted((r.doc_id, r.copy, r.position) for r in copies) == sorted((d, k, x) for d, p in at.items() for k, x in enumerate(p))
     assert "SQRT" in queries.op4_mixing(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
