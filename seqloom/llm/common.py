@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator
 
@@ -14,7 +15,7 @@ from ..scratch import Scratch, shared_dir
 
 #: Bytes that separate words: space and the ASCII controls tab to carriage return.
 SPACES = b" \t\n\x0b\x0c\r"
-__all__ = ["IS_SPACE", "SLICE_BYTES", "SPACES", "WORD", "Scratch", "flat_bytes", "map_arrow", "shared_dir", "slices", "table", "texts_of", "tokenizer_path", "word_spans"]
+__all__ = ["IS_SPACE", "SLICE_BYTES", "SPACES", "WORD", "Scratch", "flat_bytes", "give_back", "map_arrow", "shared_dir", "slices", "table", "texts_of", "tokenizer_path", "word_spans"]
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[list(SPACES)] = True
 WORD = r"[^\x20\x09-\x0D]+"
@@ -76,6 +77,20 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def give_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, after whose last batch the memory that it no longer uses goes back to the system: Spark keeps idle workers beside the stages that follow."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # only some C libraries have it
+            pass
+
+    return task
+
+
 def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema, by: str, most: int = SLICE_BYTES) -> DataFrame:
     """Applies `kernel` to slices of each Arrow batch; memory is bounded by the slice and the longest text."""
 
@@ -83,7 +98,7 @@ def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch],
         for part in slices(batches, by, most):
             yield kernel(part)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(give_back(run), schema)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

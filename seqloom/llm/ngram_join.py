@@ -45,7 +45,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import Scratch, flat_bytes, map_arrow, slices
+from .common import Scratch, flat_bytes, give_back, map_arrow, slices
 from .text_kernel import U, mix, shingles
 
 SLICE = 512 << 10
@@ -253,7 +253,7 @@ def frequent_shingles_and_keys(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray
                 key = join_keys(value, np.zeros(len(value), np.int64), np.array([len(value)]), frequent)[0]
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["v"])
 
-    return frequent, _most_frequent(each.select("sample").mapInArrow(keys, "v long"))
+    return frequent, _most_frequent(each.select("sample").mapInArrow(give_back(keys), "v long"))
 
 
 def shared_keys(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray, bits: int, clashes: np.ndarray = NONE) -> DataFrame:
@@ -373,8 +373,8 @@ def shared_keys(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray, bits: in
         if held and (found := meet(now, held, free, True)[0]) is not None:
             yield found
 
-    sent = docs.select("text").where("text is not null").mapInArrow(send, "bucket int, run binary")
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(receive, "key long, node long, size long, kind int, parts long, many int")
+    sent = docs.select("text").where("text is not null").mapInArrow(give_back(send), "bucket int, run binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(give_back(receive), "key long, node long, size long, kind int, parts long, many int")
 
 
 def prune(keyed: DataFrame) -> DataFrame:
@@ -413,7 +413,7 @@ def shingle_sets(docs: DataFrame, needed: DataFrame, clashes: np.ndarray = NONE)
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, sketch], names=["node", "shingles", "sketch"]).filter(pa.array(right))
 
     on = docs["doc_id"].eqNullSafe(needed["doc_id"]) & (docs["version"] == needed["version"])
-    return docs.join(small(needed), on).select(needed["node"], "text").mapInArrow(sets, "node long, shingles array<long>, sketch binary")
+    return docs.join(small(needed), on).select(needed["node"], "text").mapInArrow(give_back(sets), "node long, shingles array<long>, sketch binary")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -492,7 +492,7 @@ def crossing_pairs(held: DataFrame, groups: DataFrame, sets: DataFrame, scratch:
         columns = [np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.minimum(group[i], group[j]), np.maximum(group[i], group[j]), np.full(len(i), more)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "g", "h", "more"])
 
-    pairs = dealt.mapInArrow(compare, "a long, b long, g long, h long, more boolean").groupBy("a", "b", "g", "h").agg(F.max("more").alias("more"))
+    pairs = dealt.mapInArrow(give_back(compare), "a long, b long, g long, h long, more boolean").groupBy("a", "b", "g", "h").agg(F.max("more").alias("more"))
     return scratch.cut(pairs), scratch.cut(several.select("key", "node", "size"), held.count())
 
 
