@@ -16,7 +16,7 @@ from ..functions.arrays import entropy, smoothed_entropy
 from ..functions.packing import LONGEST, packed_windows
 from ..functions.sequences import free_windows, pack, reverse_complement, unpack
 from ..schema import BASES, FLANK, K, PROFILE_WIDTH
-from . import ranking
+from . import buckets, ranking
 
 
 def occurrences(reads: DataFrame, whitelist: DataFrame, k: int = K) -> DataFrame:
@@ -49,8 +49,13 @@ def flatten(profile: DataFrame) -> DataFrame:
     return profile.withColumn("n", F.least("n", F.lit(1).cast("bigint")))
 
 
+def in_buckets(reads: DataFrame, k: int = K) -> bool:
+    """Whether the reads are told apart, so that each is looked through once, by tasks that send only what they found."""
+    return k == K and {"sample_id", "read_no"} <= set(reads.columns) and not reads.isStreaming
+
+
 def profiles(reads: DataFrame, whitelist: DataFrame, flat: bool = True, k: int = K) -> DataFrame:
-    filled = fill(occurrences(reads, whitelist, k))
+    filled = buckets.profile_rows(reads, whitelist, buckets.long_rows, buckets.LONG) if in_buckets(reads, k) else fill(occurrences(reads, whitelist, k))
     return flatten(filled) if flat else filled
 
 
