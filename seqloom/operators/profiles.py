@@ -59,6 +59,31 @@ def profiles(reads: DataFrame, whitelist: DataFrame, flat: bool = True, k: int =
     return flatten(filled) if flat else filled
 
 
+def packed_profiles(reads: DataFrame, whitelist: DataFrame) -> DataFrame:
+    """Profiles of reads that sample_id and read_no tell apart, for merging: their counts in packets."""
+    return buckets.profile_rows(reads, whitelist, buckets.cell_packets, buckets.PACKETS)
+
+
+def unpacked(packets: DataFrame) -> DataFrame:
+    """The long form of packed profiles."""
+    return buckets.unpack_rows(packets)
+
+
+def reads_positions(reads: DataFrame, whitelist: DataFrame) -> DataFrame:
+    """positions_seen() of the profiles of reads, without their long form where reads are told apart."""
+    return buckets.profile_rows(reads, whitelist, buckets.position_rows, buckets.POSITIONS) if in_buckets(reads) else positions_seen(profiles(reads, whitelist, False))
+
+
+def reads_invalid(reads: DataFrame, whitelist: DataFrame) -> DataFrame:
+    """invalid() of the profiles of reads, likewise."""
+    return buckets.profile_rows(reads, whitelist, buckets.unsound_rows, buckets.UNSOUND) if in_buckets(reads) else invalid(profiles(reads, whitelist, False))
+
+
+def reads_entropy(reads: DataFrame, whitelist: DataFrame) -> DataFrame:
+    """average_entropy() of the profiles of reads, likewise."""
+    return buckets.profile_rows(reads, whitelist, buckets.entropy_rows, buckets.ENTROPIES) if in_buckets(reads) else average_entropy(profiles(reads, whitelist, False))
+
+
 def positions_seen(profile: DataFrame) -> DataFrame:
     """kmer, pos and 1 for each position that has any base."""
     return profile.where("n > 0").groupBy("kmer", "pos").agg(F.lit(1).cast("bigint").alias("n"))

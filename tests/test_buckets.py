@@ -80,3 +80,10 @@ def test_sums_of_many_rows():
     around = np.zeros((150_000, buckets.PROFILE_WIDTH), dtype=np.uint8)
     h, cells = buckets._cells(np.array([1, 2], dtype=np.uint64), np.array([149_999, 1]), around)
     assert cells[:, 0].tolist() == [[149_999, 0, 0, 0], [1, 0, 0, 0]]
+
+
+def test_flat_profile_of_reads_with_equal_ids(spark, dna):
+    listed = sorted(w for w, n in words(dna).items() if n >= 3)
+    got = profiles.profiles(spark.createDataFrame(dna, READS), spark.createDataFrame([(w,) for w in listed], "kmer string")).collect()
+    assert {(r.kmer, r.pos, r.base) for r in got} == set(counted(dna, set(listed))) and {r.n for r in got} == {1}
+    assert len(got) == len(counted(dna, set(listed)))
