@@ -1,11 +1,17 @@
 """Clustering of keys with near-identical presence: MinHash candidates, dual distance, components, medoids.
 
-Candidates must share min_shared of their sketch hashes, so they share one of the size - min_shared + 1
-rarest: only those are joined, and very common hashes never meet themselves.
+Keys with equal sketches (for clusters: equal sets) are one node, and nodes meet by the rarest of their hashes
+(`sketch_join`), so neither copies nor very common hashes make pairs before the result. Sets themselves are only sent
+for pairs that can be an edge: while there are many, each component's best pair first, which mostly settles the others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,7 +19,16 @@ from pyspark.sql import functions as F
 from ..functions.arrays import bottom_sketch, common, dual_distance, ntiles
 from ..functions.sequences import portable_hash
 from ..schema import MAX_DIST, MIN_SHARED, SKETCH
+from ..scratch import Scratch
 from . import graph
+from .sketch_join import similar_nodes, small
+
+#: Copies of a node that meet in one task, and sets of a component of which a task compares as many with as many.
+COPIES, SETS = 1024, 512
+#: Rounds of best pairs, and the pairs for each node from which on they are worth one.
+ROUNDS, CROWDED = 4, 4
+#: Sample columns of a block that are held at once.
+COLUMNS = 8192
 
 
 def checked(has: DataFrame, n_samples: int) -> DataFrame:
@@ -27,25 +42,52 @@ def sketches(has: DataFrame, key: str = "kmer", size: int = SKETCH, hasher=porta
     return has.select("*", bottom_sketch("samples", size, hasher).alias("sketch"))
 
 
+def _nodes(rows: DataFrame, key: str, groups: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Keys (key, node, len), nodes (node, grp, sketch, len, rep) and copies (node, times, rep: the least key): one node for each different `value` in a group.
+
+    rows: key, groups, value, len, sketch; without key or group, or with a null sketch, they have no node.
+    """
+    grp = F.xxhash64(*groups) if groups else F.lit(0).cast("long")
+    there = F.col("sketch").isNotNull()
+    for c in (key, *groups):
+        there &= F.col(c).isNotNull()
+    seed = 0
+    while True:
+        number = lambda s: F.when(there, F.xxhash64(F.lit(s).cast("long"), *groups, "value"))
+        keys = scratch.cut(rows.select(key, "len", "sketch", grp.alias("grp"), number(seed).alias("node"), number(~seed).alias("twin")))
+        copies = keys.where("node is not null").groupBy("node").agg(F.min(key).alias("rep"), F.count("*").alias("times"), F.min("twin").alias("low"), F.max("twin").alias("high"))
+        copies = scratch.cut(copies)
+        if not copies.where("low <> high").head(1):  # else different values have one number by chance
+            break
+        seed += 1
+    one = copies.select("node", F.col("rep").alias(key), "rep")
+    nodes = scratch.cut(keys.join(small(one) if key_is_long(keys, key) else one, ["node", key]).select("node", "grp", "sketch", "len", "rep"))
+    return keys.select(key, "node", "len"), nodes, copies
+
+
+def key_is_long(df: DataFrame, key: str) -> bool:
+    return dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
+
+
 def candidates(sketched: DataFrame, key: str = "kmer", min_shared: int = MIN_SHARED, group: str | None = None, relative: bool = False) -> DataFrame:
     """a, b (a < b) and shared: pairs of keys with min_shared common sketch hashes, within `group` if named.
 
     Sets of fewer members than min_shared never pair, unless `relative` lowers the bound to the smaller sketch.
     """
-    groups = [group] if group else []
-    need = F.least(F.lit(min_shared), F.size("sketch")) if relative else F.lit(min_shared)
-    post = sketched.select(key, *groups, F.size("sketch").alias("len"), need.alias("need"), F.explode("sketch").alias("h")).where("len >= need")
-    frequency = post.groupBy(*groups, "h").agg(F.count("*").alias("f"))
-    ranked = post.join(frequency, [*groups, "h"]).withColumn("rank", F.row_number().over(W.partitionBy(key, *groups).orderBy("f", "h")))
-    prefix = ranked.where(F.col("rank") <= F.col("len") - F.col("need") + 1).where("f > 1").select(F.col(key).alias("a"), *groups, "h", F.col("len").alias("m"))
-    # The bound of a pair is its smaller sketch's if `relative`: only that one has its rare hashes alone, the other all.
-    other = post.select(F.col(key).alias("b"), *groups, "h", F.col("len").alias("n")) if relative else prefix.withColumnsRenamed({"a": "b", "m": "n"})
-    met = prefix.join(other, [*groups, "h"]).where("m < n or (m = n and a < b)" if relative else "a < b")
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sk = sketched.select(key, "sketch")
-    both = pairs.join(sk.toDF("a", "sa"), "a").join(sk.toDF("b", "sb"), "b").withColumn("shared", common("sa", "sb").cast("bigint"))
-    bound = F.least(F.lit(min_shared), F.size("sa"), F.size("sb")) if relative else F.lit(min_shared)
-    return both.where(F.col("shared") >= bound).select("a", "b", "shared")
+    scratch, groups, least = Scratch(sketched.sparkSession), [group] if group else [], max(min_shared, 1)
+    rows = sketched.where(F.size("sketch") >= (1 if relative else least))
+    keys, nodes, copies = _nodes(rows.select(key, *groups, F.col("sketch").alias("value"), F.size("sketch").cast("bigint").alias("len"), "sketch"), key, groups, scratch)
+    pairs = similar_nodes(nodes.select("node", "grp", "sketch"), scratch, least, relative)
+    # Members of a node with very many copies are dealt in blocks; there is one such node for COPIES keys at most.
+    hot = scratch.cut(copies.where(F.col("times") > COPIES).select("node", F.ceil(F.col("times") / COPIES).cast("int").alias("blocks")), 1)
+    blocks = lambda df, node: df.join(F.broadcast(hot.withColumnRenamed("node", node)), node, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = lambda df, node: blocks(df, node).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    members = blocks(keys.where("node is not null"), "node").select("node", F.pmod(F.xxhash64(key), "blocks").cast("int").alias("block"), F.col(key).alias("k"))
+    expand = lambda df, node, to: dealt(df, node).join(members.toDF(node, "block", to), [node, "block"]).drop("block", node)
+    apart = expand(expand(pairs, "a", "x"), "b", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared")
+    several = keys.join(copies.where("times > 1").select("node"), "node").select("node", F.col(key).alias("a"), F.col("len").alias("shared"))
+    alike = expand(several, "node", "b").where("a < b").select("a", "b", "shared")
+    return apart.union(alike)
 
 
 def pair_distances(pairs: DataFrame, has: DataFrame, n_samples: int, key: str = "kmer") -> DataFrame:
@@ -56,12 +98,110 @@ def pair_distances(pairs: DataFrame, has: DataFrame, n_samples: int, key: str =
     return both.withColumn("dist", dual_distance(common("xa", "xb").cast("double"), size("xa"), size("xb"), F.lit(float(n_samples)))).drop("xa", "xb")
 
 
-def cluster(has: DataFrame, n_samples: int, key: str = "kmer", sketch: int = SKETCH, min_shared: int = MIN_SHARED, max_dist: float = MAX_DIST, group: str | None = None) -> DataFrame:
-    """key and component (its least key), for every key of has."""
-    has = checked(has, n_samples)
-    pairs = candidates(sketches(has, key, sketch), key, min_shared, group)
-    edges = pair_distances(pairs, has, n_samples, key).where(F.col("dist") < max_dist).select("a", "b")
-    return graph.components(has.select(key), edges).withColumnRenamed("vertex", key)
+def _edges(pairs: DataFrame, sets: DataFrame, n_samples: int, max_dist: float) -> DataFrame:
+    """g, h: the components of the pairs (a, b, g, h) that are edges by their exact sets."""
+    return pair_distances(pairs.select("a", "b", "g", "h"), sets, n_samples, "node").where(F.col("dist") < max_dist).select("g", "h").distinct()
+
+
+def cluster(has: DataFrame, n_samples: int, key: str = "kmer", sketch: int = SKETCH, min_shared: int = MIN_SHARED, max_dist: float = MAX_DIST, group: str | None = None, hasher=portable_hash) -> DataFrame:
+    """key and component (its least key), for every key of has.
+
+    has is read twice: for sketches, and for the sets that may have an edge.
+    """
+    scratch, groups, least = Scratch(has.sparkSession), [group] if group else [], max(min_shared, 1)
+    whole = checked(has, n_samples).select(key, *groups, F.array_sort("samples").alias("samples"))
+    able = (F.size("sketch") >= least) & F.lit(max_dist > 0)  # a set that pairs with none, not even with a copy, has no node
+    rows = sketches(whole, key, sketch, hasher).select(key, *groups, F.col("samples").alias("value"), F.size("samples").cast("bigint").alias("len"), F.when(able, F.col("sketch")).alias("sketch"))
+    keys, nodes, _ = _nodes(rows, key, groups, scratch)
+    pairs = similar_nodes(nodes.select("node", "grp", "sketch"), scratch, least)
+    # The distance falls with what two sets share, which is at most the smaller one.
+    sizes = small(nodes.select("node", F.col("len").cast("double").alias("m")))
+    sized = pairs.join(sizes.toDF("a", "ma"), "a").join(sizes.toDF("b", "mb"), "b")
+    sized = sized.where(dual_distance(F.least("ma", "mb"), F.col("ma"), F.col("mb"), F.lit(float(n_samples))) < max_dist)
+    rest = scratch.cut(sized.select("a", "b", "shared", F.col("a").alias("g"), F.col("b").alias("h")))
+    needed = scratch.cut(rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep", "grp"), "node"))
+    one = needed.select("node", F.col("rep").alias(key), *(["grp"] if groups else []))
+    where = whole.withColumn("grp", F.xxhash64(*groups)) if groups else whole
+    sets = scratch.cut(where.join(small(one) if key_is_long(where, key) else one, [key, *(["grp"] if groups else [])]).select("node", "samples"))
+    of, turn, left = needed.select("node", F.col("node").alias("component")), 0, rest.count()
+    while left:
+        crowded = turn < ROUNDS and left > CROWDED * needed.count()
+        some = rest
+        if crowded:  # each component's best pair only
+            ends = rest.select("g", "shared", "a", "b", F.col("h").alias("o")).union(rest.select("h", "shared", "a", "b", F.col("g").alias("o")))
+            best = ends.groupBy("g").agg(F.max(F.struct("shared", "a", "b", "o")).alias("best"))
+            some = scratch.cut(best.select("best.a", "best.b", F.least("g", "best.o").alias("g"), F.greatest("g", "best.o").alias("h")).distinct())
+        links = scratch.cut(_edges(some, sets, n_samples, max_dist))
+        new = links.count()
+        if new:
+            onto = scratch.cut(graph.connected_components(links, scratch, new))
+            of = scratch.cut(of.join(small(onto.toDF("component", "onto")), "component", "left").select("node", F.coalesce("onto", "component").alias("component")))
+        if not crowded:
+            break
+        apart = rest.select("a", "b", "shared").join(some.select("a", "b"), ["a", "b"], "left_anti")
+        to = small(of)
+        apart = apart.join(to.toDF("a", "g"), "a").join(to.toDF("b", "h"), "b").where("g <> h")
+        rest = scratch.cut(apart.select("a", "b", "shared", "g", "h"))
+        left, turn = rest.count(), turn + 1
+    found = keys.join(small(of) if left else of, "node", "left").select(key, F.coalesce("component", "node").alias("c"))
+    first = found.where("c is not null").groupBy("c").agg(F.min(key).alias("component"))
+    return found.join(first, "c", "left").select(key, F.coalesce("component", key).alias("component"))
+
+
+def _squares(sets: DataFrame, n_samples: int) -> DataFrame:
+    """component, a, far: the sum of a set's squared distances to the others, times their keys. sets: component, samples, a, times; a written table.
+
+    Sets of a component meet in blocks of SETS, each pair of blocks in a place of its own, so each set is sent once for each block.
+    """
+    blocks = sets.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component", F.ceil(F.col("n") / SETS).cast("int").alias("blocks"))
+    own = sets.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("a"), "blocks").cast("int"))
+    each = own.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("own", "i").alias("low"), F.greatest("own", "i").alias("high"), "own", "a", "times", "samples")
+    place = ["component", "low", "high"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            new = np.zeros(max(batch.num_rows - 1, 0), dtype=bool)
+            for c in range(3):
+                new |= pc.not_equal(batch.column(c)[1:], batch.column(c)[:-1]).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                if b == a:
+                    continue
+                more = batch.slice(a, b - a)
+                if held and any(held[0].column(c)[0] != more.column(c)[0] for c in range(3)):
+                    yield distances(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                held.append(more)
+        if held:
+            yield distances(pa.Table.from_batches(held).combine_chunks())
+
+    def distances(table: pa.Table) -> pa.RecordBatch:
+        lists = table.column("samples").chunk(0)
+        size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        code, row = lists.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(size)), size)
+        order = np.argsort(code, kind="stable")
+        code, row = code[order], row[order]
+        many = np.bincount(code)[code] > 1  # what one set has alone is in no intersection
+        code, row = np.unique(code[many], return_inverse=True)[1], row[many]
+        both = np.zeros((len(size), len(size)), dtype=np.float64)
+        for at in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+            a, b = np.searchsorted(code, [at, at + COLUMNS])
+            dense = np.zeros((len(size), COLUMNS), dtype=np.float32)
+            dense[row[a:b], code[a:b] - at] = 1
+            both += dense @ dense.T
+        n, union = float(n_samples), size[:, None] + size[None, :] - both
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d = np.where((union == 0) | (n - both == 0), 0.0, 1.0 - 0.5 * (both / union) - 0.5 * ((n - union) / (n - both)))
+        own, low, high = (table.column(c).to_numpy() for c in ("own", "low", "high"))
+        meet = (own[:, None] != own[None, :]) | (low == high)[:, None]
+        np.fill_diagonal(meet, False)
+        far = np.where(meet, d * d, 0.0) @ table.column("times").to_numpy().astype(float)
+        return pa.RecordBatch.from_arrays([table.column("component").chunk(0), table.column("a").chunk(0), pa.array(far)], names=["component", "a", "far"])
+
+    kinds = dict(sets.dtypes)
+    far = each.repartition(*place).sortWithinPartitions(*place).select(*place, "own", "a", "times", "samples").mapInArrow(compare, f"component {kinds['component']}, a {kinds['a']}, far double")
+    return far.groupBy("component", "a").agg(F.sum("far").alias("far"))
 
 
 def medoids(clusters: DataFrame, has: DataFrame, n_samples: int, key: str = "kmer") -> DataFrame:
@@ -70,13 +210,13 @@ def medoids(clusters: DataFrame, has: DataFrame, n_samples: int, key: str = "kme
     A single member is its own medoid, with no rms. Ties go to the least key; largest components first.
     Members with equal sets are at distance 0 and alike to all others, so each set is compared once, with its number of keys.
     """
-    sets = clusters.join(has.select(key, F.array_sort("samples").alias("samples")), key)
-    sets = sets.groupBy("component", "samples").agg(F.min(key).alias("a"), F.count("*").alias("times"))
-    size = sets.groupBy("component").agg(F.sum("times").alias("size"), F.min("a").alias("only"))
-    members = sets.select("component", "a", "times")
-    pairs = members.select("component", "a").join(members.withColumnRenamed("a", "b"), "component").where("a <> b")
-    far = pair_distances(pairs, has, n_samples, key).groupBy("component", "a").agg(F.sum(F.col("times") * F.col("dist") * F.col("dist")).alias("far"))
-    rms = members.join(far, ["component", "a"], "left").join(size.select("component", "size"), "component").where("size > 1")
+    scratch = Scratch(has.sparkSession)
+    size = scratch.cut(clusters.groupBy("component").agg(F.count("*").alias("size"), F.min(key).alias("only")))
+    several = clusters.join(size.where("size > 1").select("component"), "component").select(key, "component")
+    several = scratch.cut(several)
+    sets = has.select(key, F.array_sort("samples").alias("samples")).join(small(several) if key_is_long(several, key) else several, key)
+    sets = scratch.cut(sets.groupBy("component", "samples").agg(F.min(key).alias("a"), F.count("*").alias("times")))
+    rms = sets.select("component", "a").join(_squares(sets, n_samples), ["component", "a"], "left").join(size.select("component", "size"), "component")
     rms = rms.select("component", "a", F.sqrt(F.coalesce("far", F.lit(0.0)) / (F.col("size") - 1)).alias("rms"))
     best = rms.groupBy("component").agg(F.min(F.struct(F.round("rms", 12).alias("rms"), "a")).alias("best"))
     out = size.join(best, "component", "left").select("component", "size", F.coalesce("best.a", "only").alias("medoid"), F.col("best.rms").alias("rms"))
