@@ -21,7 +21,7 @@ from ..functions.sequences import portable_hash
 from ..schema import MAX_DIST, MIN_SHARED, SKETCH
 from ..scratch import Scratch
 from . import graph
-from .sketch_join import similar_nodes, small
+from .sketch_join import SMALL_ROWS, similar_nodes, small
 
 #: Copies of a node that meet in one task, and sets of a component of which a task compares as many with as many.
 COPIES, SETS = 1024, 512
@@ -99,8 +99,14 @@ def pair_distances(pairs: DataFrame, has: DataFrame, n_samples: int, key: str =
 
 
 def _edges(pairs: DataFrame, sets: DataFrame, n_samples: int, max_dist: float) -> DataFrame:
-    """g, h: the components of the pairs (a, b, g, h) that are edges by their exact sets."""
-    return pair_distances(pairs.select("a", "b", "g", "h"), sets, n_samples, "node").where(F.col("dist") < max_dist).select("g", "h").distinct()
+    """g, h: the components of the pairs (a, b, g, h; a written table) that are edges by their exact sets. Only sets of these pairs are sent."""
+    few = small(pairs.select("a", "b", "g", "h"))
+    left = sets.join(few, F.col("node") == F.col("a")).select("b", "g", "h", F.col("samples").alias("x"))
+    ends = pairs.select("b").distinct()
+    right = sets.join(F.broadcast(ends) if pairs.count() <= SMALL_ROWS else ends, F.col("node") == F.col("b"), "left_semi").select(F.col("node").alias("b"), F.col("samples").alias("y"))
+    size = lambda c: F.size(c).cast("double")
+    dist = dual_distance(common("x", "y").cast("double"), size("x"), size("y"), F.lit(float(n_samples)))
+    return left.join(right, "b").where(dist < max_dist).select("g", "h").distinct()
 
 
 def cluster(has: DataFrame, n_samples: int, key: str = "kmer", sketch: int = SKETCH, min_shared: int = MIN_SHARED, max_dist: float = MAX_DIST, group: str | None = None, hasher=portable_hash) -> DataFrame:

@@ -100,7 +100,7 @@ def test_meeting_pairs_send_no_sketches(spark):
     assert sent() - before < 5e6
 
 
-def test_word_sets_of_repeated_ids(spark, tmp_path):
+def test_word_sets_of_repeated_ids(spark, tmp_path, monkeypatch):
     rows = [(1, "alpha  beta\nALPHA the"), (2, "gamma"), (1, "gamma delta\tbeta"), (3, "a b"), (4, None), (None, "omega")]
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     words = adapters.doc_words(spark, str(tmp_path)).distinct()
@@ -109,3 +109,5 @@ def test_word_sets_of_repeated_ids(spark, tmp_path):
     got = adapters.doc_word_sets(spark, str(tmp_path))
     assert {(r.kmer, r.h) for r in got.select("kmer", F.explode(F.transform("samples", adapters.word_hash)).alias("h")).collect()} == want
     assert sorted((r.kmer or 0, len(r.samples)) for r in got.collect()) == [(0, 1), (1, 4), (2, 1)]
+    monkeypatch.setattr(adapters, "KNOWN_WORDS", 2)
+    assert adapters.word_count(spark, str(tmp_path)) == words.select("sample_id").distinct().count() == 5
