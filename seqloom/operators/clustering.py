@@ -1,8 +1,10 @@
 """Clustering of keys with near-identical presence: MinHash candidates, dual distance, components, medoids.
 
 Keys with equal sketches (for clusters: equal sets) are one node, and nodes meet by the rarest of their hashes
-(`sketch_join`), so neither copies nor very common hashes make pairs before the result. Sets themselves are only sent
-for pairs that can be an edge: while there are many, each component's best pair first, which mostly settles the others.
+(`sketch_join`), so neither copies nor very common hashes make pairs before the result. Clusters don't need each pair's
+shared hashes: 64-byte parity bit sketches of the whole sets bound a pair's distance from below, and sets with their
+sketches are only sent for pairs that can be an edge: while there are many, each component's best pair first, which
+mostly settles the others.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from ..functions.sequences import portable_hash
 from ..schema import MAX_DIST, MIN_SHARED, SKETCH
 from ..scratch import Scratch
 from . import graph
-from .sketch_join import SMALL_ROWS, similar_nodes, small
+from .sketch_join import SMALL_ROWS, bit_sketches, meeting_nodes, similar_nodes, small
 
 #: Copies of a node that meet in one task, and sets of a component of which a task compares as many with as many.
 COPIES, SETS = 1024, 512
@@ -29,6 +31,8 @@ COPIES, SETS = 1024, 512
 ROUNDS, CROWDED = 4, 4
 #: Sample columns of a block that are held at once.
 COLUMNS = 8192
+#: 64-bit words of a set's bit sketch, and sets that are made bit sketches at a time.
+WORDS, SETS_AT_ONCE = 8, 4096
 
 
 def checked(has: DataFrame, n_samples: int) -> DataFrame:
@@ -43,7 +47,7 @@ def sketches(has: DataFrame, key: str = "kmer", size: int = SKETCH, hasher=porta
 
 
 def _nodes(rows: DataFrame, key: str, groups: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Keys (key, node, len), nodes (node, grp, sketch, len, rep) and copies (node, times, rep: the least key): one node for each different `value` in a group.
+    """Keys (key, node, len and more), nodes (node, grp, sketch, len, rep) and copies (node, times, rep: the least key): one node for each different `value` in a group.
 
     rows: key, groups, value, len, sketch; without key or group, or with a null sketch, they have no node.
     """
@@ -62,7 +66,8 @@ def _nodes(rows: DataFrame, key: str, groups: list[str], scratch: Scratch) -> tu
         seed += 1
     one = copies.select("node", F.col("rep").alias(key), "rep")
     nodes = scratch.cut(keys.join(small(one) if key_is_long(keys, key) else one, ["node", key]).select("node", "grp", "sketch", "len", "rep"))
-    return keys.select(key, "node", "len"), nodes, copies
+    scratch.clean()
+    return keys, nodes, copies
 
 
 def key_is_long(df: DataFrame, key: str) -> bool:
@@ -98,15 +103,43 @@ def pair_distances(pairs: DataFrame, has: DataFrame, n_samples: int, key: str =
     return both.withColumn("dist", dual_distance(common("xa", "xb").cast("double"), size("xa"), size("xb"), F.lit(float(n_samples)))).drop("xa", "xb")
 
 
-def _edges(pairs: DataFrame, sets: DataFrame, n_samples: int, max_dist: float) -> DataFrame:
-    """g, h: the components of the pairs (a, b, g, h; a written table) that are edges by their exact sets. Only sets of these pairs are sent."""
+def _marks(sets: DataFrame) -> DataFrame:
+    """node, m (the set's size) and w0, w1 ...: the words of a parity bit sketch of the set's members."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SETS_AT_ONCE):
+                batch = whole.slice(at, SETS_AT_ONCE)
+                lists = batch.column(1)
+                size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+                words = bit_sketches(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(np.arange(len(size)), size), len(size), 64 * WORDS, True)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(float)), *(pa.array(words[:, k].view(np.int64)) for k in range(WORDS))], names=["node", "m", *(f"w{k}" for k in range(WORDS))])
+
+    hashes = sets.select("node", F.transform("samples", lambda x: F.xxhash64(x)).alias("hashes"))
+    return hashes.mapInArrow(kernel, "node bigint, m double, " + ", ".join(f"w{k} bigint" for k in range(WORDS)))
+
+
+def _near(pairs: DataFrame, marks: DataFrame, n_samples: int, max_dist: float) -> DataFrame:
+    """a, b and near (higher: closer) of the pairs whose bit sketches allow a distance below max_dist. marks: a written table.
+
+    The bit sketches differ in at most as many bits as the sets in members, and the distance falls with what two sets share.
+    """
+    end = lambda c: marks.select(F.col("node").alias(c), F.col("m").alias(f"m{c}"), *(F.col(f"w{k}").alias(f"{c}{k}") for k in range(WORDS)))
+    apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(WORDS)), F.lit(0))
+    shared = F.least("ma", "mb", (F.col("ma") + F.col("mb") - apart) / 2)
+    both = pairs.join(end("a"), "a").join(end("b"), "b")
+    return both.select("a", "b", (-dual_distance(shared, F.col("ma"), F.col("mb"), F.lit(float(n_samples)))).alias("near")).where(F.col("near") > -max_dist)
+
+
+def _edges(pairs: DataFrame, sets: DataFrame, n_samples: int, least: int, max_dist: float) -> DataFrame:
+    """g, h: the components of the pairs (a, b, g, h; a written table) that are edges by their exact sketches and sets. Only sets of these pairs are sent."""
     few = small(pairs.select("a", "b", "g", "h"))
-    left = sets.join(few, F.col("node") == F.col("a")).select("b", "g", "h", F.col("samples").alias("x"))
+    left = sets.join(few, F.col("node") == F.col("a")).select("b", "g", "h", F.col("samples").alias("x"), F.col("sketch").alias("sx"))
     ends = pairs.select("b").distinct()
-    right = sets.join(F.broadcast(ends) if pairs.count() <= SMALL_ROWS else ends, F.col("node") == F.col("b"), "left_semi").select(F.col("node").alias("b"), F.col("samples").alias("y"))
+    right = sets.join(F.broadcast(ends) if pairs.count() <= SMALL_ROWS else ends, F.col("node") == F.col("b"), "left_semi").select(F.col("node").alias("b"), F.col("samples").alias("y"), F.col("sketch").alias("sy"))
     size = lambda c: F.size(c).cast("double")
     dist = dual_distance(common("x", "y").cast("double"), size("x"), size("y"), F.lit(float(n_samples)))
-    return left.join(right, "b").where(dist < max_dist).select("g", "h").distinct()
+    return left.join(right, "b").where((common("sx", "sy") >= least) & (dist < max_dist)).select("g", "h").distinct()
 
 
 def cluster(has: DataFrame, n_samples: int, key: str = "kmer", sketch: int = SKETCH, min_shared: int = MIN_SHARED, max_dist: float = MAX_DIST, group: str | None = None, hasher=portable_hash) -> DataFrame:
@@ -119,35 +152,40 @@ def cluster(has: DataFrame, n_samples: int, key: str = "kmer", sketch: int = SKE
     able = (F.size("sketch") >= least) & F.lit(max_dist > 0)  # a set that pairs with none, not even with a copy, has no node
     rows = sketches(whole, key, sketch, hasher).select(key, *groups, F.col("samples").alias("value"), F.size("samples").cast("bigint").alias("len"), F.when(able, F.col("sketch")).alias("sketch"))
     keys, nodes, _ = _nodes(rows, key, groups, scratch)
-    pairs = similar_nodes(nodes.select("node", "grp", "sketch"), scratch, least)
+    pairs = meeting_nodes(nodes.select("node", "grp", "sketch"), scratch, least)
     # The distance falls with what two sets share, which is at most the smaller one.
-    sizes = small(nodes.select("node", F.col("len").cast("double").alias("m")))
-    sized = pairs.join(sizes.toDF("a", "ma"), "a").join(sizes.toDF("b", "mb"), "b")
-    sized = sized.where(dual_distance(F.least("ma", "mb"), F.col("ma"), F.col("mb"), F.lit(float(n_samples))) < max_dist)
-    rest = scratch.cut(sized.select("a", "b", "shared", F.col("a").alias("g"), F.col("b").alias("h")))
-    needed = scratch.cut(rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep", "grp"), "node"))
+    sizes = small(nodes.select("node", "grp", F.col("len").cast("double").alias("m")))
+    sized = pairs.join(sizes.toDF("a", "ga", "ma"), "a").join(sizes.toDF("b", "gb", "mb"), "b").where("ga = gb")
+    sized = scratch.cut(sized.where(dual_distance(F.least("ma", "mb"), F.col("ma"), F.col("mb"), F.lit(float(n_samples))) < max_dist).select("a", "b"))
+    needed = scratch.cut(sized.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep", "grp"), "node"))
     one = needed.select("node", F.col("rep").alias(key), *(["grp"] if groups else []))
     where = whole.withColumn("grp", F.xxhash64(*groups)) if groups else whole
-    sets = scratch.cut(where.join(small(one) if key_is_long(where, key) else one, [key, *(["grp"] if groups else [])]).select("node", "samples"))
+    own = where.join(small(one) if key_is_long(where, key) else one, [key, *(["grp"] if groups else [])])
+    sets = scratch.cut(sketches(own.select("node", "samples"), "node", sketch, hasher))
+    rest = _near(sized, scratch.cut(_marks(sets)), n_samples, max_dist)
+    rest = scratch.cut(rest.select("a", "b", "near", F.col("a").alias("g"), F.col("b").alias("h")))
+    scratch.release(keys, nodes, needed, sets, rest)
+    scratch.clean()
     of, turn, left = needed.select("node", F.col("node").alias("component")), 0, rest.count()
     while left:
         crowded = turn < ROUNDS and left > CROWDED * needed.count()
         some = rest
         if crowded:  # each component's best pair only
-            ends = rest.select("g", "shared", "a", "b", F.col("h").alias("o")).union(rest.select("h", "shared", "a", "b", F.col("g").alias("o")))
-            best = ends.groupBy("g").agg(F.max(F.struct("shared", "a", "b", "o")).alias("best"))
+            ends = rest.select("g", "near", "a", "b", F.col("h").alias("o")).union(rest.select("h", "near", "a", "b", F.col("g").alias("o")))
+            best = ends.groupBy("g").agg(F.max(F.struct("near", "a", "b", "o")).alias("best"))
             some = scratch.cut(best.select("best.a", "best.b", F.least("g", "best.o").alias("g"), F.greatest("g", "best.o").alias("h")).distinct())
-        links = scratch.cut(_edges(some, sets, n_samples, max_dist))
+        links = scratch.cut(_edges(some, sets, n_samples, least, max_dist))
         new = links.count()
         if new:
             onto = scratch.cut(graph.connected_components(links, scratch, new))
             of = scratch.cut(of.join(small(onto.toDF("component", "onto")), "component", "left").select("node", F.coalesce("onto", "component").alias("component")))
         if not crowded:
             break
-        apart = rest.select("a", "b", "shared").join(some.select("a", "b"), ["a", "b"], "left_anti")
+        apart = rest.select("a", "b", "near").join(some.select("a", "b"), ["a", "b"], "left_anti")
         to = small(of)
         apart = apart.join(to.toDF("a", "g"), "a").join(to.toDF("b", "h"), "b").where("g <> h")
-        rest = scratch.cut(apart.select("a", "b", "shared", "g", "h"))
+        rest = scratch.cut(apart.select("a", "b", "near", "g", "h"))
+        scratch.clean()
         left, turn = rest.count(), turn + 1
     found = keys.join(small(of) if left else of, "node", "left").select(key, F.coalesce("component", "node").alias("c"))
     first = found.where("c is not null").groupBy("c").agg(F.min(key).alias("component"))

@@ -26,7 +26,7 @@ from ..functions.arrays import common
 from ..scratch import Scratch
 
 #: Nodes of a hash that meet in one task; pairs that are looked at together.
-BLOCK, AT_ONCE = 2048, 1 << 20
+BLOCK, AT_ONCE = 8192, 1 << 20
 #: Nodes whose hashes are counted for the order, and the most hashes that are kept of them.
 SAMPLED, MOST_COMMON = 20_000, 100_000
 #: Bits of a bit sketch for each hash, at least; and the logarithm of the filter's bits (8 MB).
@@ -223,18 +223,27 @@ def _met(nodes: DataFrame, order: tuple[np.ndarray, np.ndarray], size: int, min_
     return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
-def similar_nodes(nodes: DataFrame, scratch: Scratch, min_shared: int, relative: bool = False) -> DataFrame:
-    """a, b, shared: pairs of nodes of one group whose sketches share min_shared hashes, or with `relative` all of the smaller sketch if it has less. Each pair once.
-
-    nodes (a written table): node, grp and sketch (distinct hashes), one row each; no two nodes of a group have the same sketch below min_shared.
-    """
+def meeting_nodes(nodes: DataFrame, scratch: Scratch, min_shared: int, relative: bool = False) -> DataFrame:
+    """a, b: the pairs of `similar_nodes`, and some that aren't, or are of two groups. Each pair once; a written table."""
     count, size = nodes.agg(F.count("*"), F.coalesce(F.max(F.size("sketch")), F.lit(1))).first()
     order = _order(nodes, count)
     pairs = _met(nodes, order, size, min_shared, False)
     if relative:
         pairs = pairs.union(_met(nodes, order, size, min_shared, True))
     pairs = scratch.cut(pairs)
+    scratch.clean()
+    return pairs
+
+
+def similar_nodes(nodes: DataFrame, scratch: Scratch, min_shared: int, relative: bool = False) -> DataFrame:
+    """a, b, shared: pairs of nodes of one group whose sketches share min_shared hashes, or with `relative` all of the smaller sketch if it has less. Each pair once.
+
+    nodes (a written table): node, grp and sketch (distinct hashes), one row each; no two nodes of a group have the same sketch below min_shared.
+    """
+    pairs = meeting_nodes(nodes, scratch, min_shared, relative)
     sk = nodes.select("node", "grp", "sketch")
     both = pairs.join(sk.toDF("a", "ga", "sa"), "a").join(sk.toDF("b", "gb", "sb"), "b").where("ga = gb").withColumn("shared", common("sa", "sb").cast("bigint"))
     bound = F.least(F.lit(min_shared), F.size("sa"), F.size("sb")) if relative else F.lit(min_shared)
-    return scratch.cut(both.where(F.col("shared") >= bound).select("a", "b", "shared"))
+    found = scratch.cut(both.where(F.col("shared") >= bound).select("a", "b", "shared"))
+    scratch.clean()
+    return found
