@@ -241,8 +241,10 @@ def similar_nodes(nodes: DataFrame, scratch: Scratch, min_shared: int, relative:
     nodes (a written table): node, grp and sketch (distinct hashes), one row each; no two nodes of a group have the same sketch below min_shared.
     """
     pairs = meeting_nodes(nodes, scratch, min_shared, relative)
-    sk = nodes.select("node", "grp", "sketch")
-    both = pairs.join(sk.toDF("a", "ga", "sa"), "a").join(sk.toDF("b", "gb", "sb"), "b").where("ga = gb").withColumn("shared", common("sa", "sb").cast("bigint"))
+    # Only sketches of nodes that met are sent.
+    ends = lambda c: small(scratch.cut(pairs.select(F.col(c).alias("node")).distinct()))
+    sk = lambda c: nodes.select("node", "grp", "sketch").join(ends(c), "node", "left_semi")
+    both = pairs.join(sk("a").toDF("a", "ga", "sa"), "a").join(sk("b").toDF("b", "gb", "sb"), "b").where("ga = gb").withColumn("shared", common("sa", "sb").cast("bigint"))
     bound = F.least(F.lit(min_shared), F.size("sa"), F.size("sb")) if relative else F.lit(min_shared)
     found = scratch.cut(both.where(F.col("shared") >= bound).select("a", "b", "shared"))
     scratch.clean()
