@@ -12,16 +12,17 @@ when it has fewer words). Two sets with Jaccard similarity J >= 0.8 have a symme
    shingles are left out first; a set that then has too few non-empty parts also joins by the parts of its
    full set, and, if those are too few, by its single shingles. As a partner that has enough parts is found
    by the level above, no link is lost.
-3. Join. Map tasks send packed (key, set) runs by key range; a reducer sorts a range and keeps the keys
-   that different sets share. Keys that a sample shows to be very frequent are dealt by set instead, as they
-   are shared for certain. Equal sets are one node.
+3. Join. Map tasks send packed (key, set) runs by key range, 12 bytes a key, and what belongs to the set once;
+   a reducer sorts a range and keeps the keys that different sets share. Keys that a sample shows to be very
+   frequent are dealt by set instead, as they are shared for certain. Equal sets are one node.
 4. Prune. Partners differ in at most D parts, so the rarest key that they share is among the D + 1 rarest of
    either's keys of that kind; all others go. Sets with more than D keys of their own have no partner.
 5. Stars. Each node is first verified against one centre: of its keys' most connected nodes the one it
    shares most keys with. Links found are contracted to components, and what a key has beside its centre's
    component gets a centre of its own in the next round. So a group of thousands of near copies costs a
    few comparisons each, not their square.
-6. Verify. Keys that still hold several components are compared in blocks: parity bit sketches, in which
+6. Verify. Keys that still hold several components are compared in blocks, of keys of the same nodes only one
+   (near copies have most of theirs in common): parity bit sketches, in which
    every shingle flips one bit, bound the symmetric difference from below by their Hamming distance, and
    only pairs within the bound of a link leave the block, to be verified with the exact sets: each
    component's closest pair in a block as long as that joins any, and then all pairs that are left. The largest component of a
@@ -64,8 +65,10 @@ BITS_A_SHINGLE, FIRST_LOOK = 4, 4
 STARS, TURNS = 2, 8
 #: A side of at most so many bytes is broadcast; a larger one is shuffled.
 BROADCAST_BYTES = 32 << 20
-#: Stands for the number of nodes of a very frequent key; and from so many parts on a set's keys aren't counted.
-HOT, MANY_PARTS = 1 << 30, (1 << 21) - 1
+#: Stands for the number of nodes of a very frequent key.
+HOT = 1 << 30
+#: Bits that tell keys of a range apart; three more hold the kind. A chance meeting only costs a comparison.
+KEY_BITS = 29
 NONE = np.zeros(0, np.uint64)
 
 
@@ -256,26 +259,33 @@ def frequent_shingles_and_keys(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray
     return frequent, _most_frequent(each.select("sample").mapInArrow(give_back(keys), "v long"))
 
 
+NAMES = ["key", "node", "kind", "many", "size", "parts"]
+
+
 def shared_keys(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray, bits: int, clashes: np.ndarray = NONE) -> DataFrame:
-    """key, node, size, kind, parts, many: the keys that several nodes have, with the number of these nodes.
+    """key, node, kind, many: the keys that several nodes have, with the number of these nodes; and node, kind, size, parts, without key.
 
     parts is the number of keys of that kind that the node has: two sets whose difference is at most D
-    share all but D of the parts of either. Very frequent keys have HOT for many, and may come repeatedly.
+    share all but D of the parts of either. Very frequent keys have HOT for many, and may come repeatedly,
+    as rows without key may.
     """
 
-    def pack(*held: list[np.ndarray]) -> pa.RecordBatch:
-        bucket, low, node, size, parts = (np.concatenate(x) for x in held)
+    def pack(held: tuple[list, ...], sets: tuple[list, ...]) -> pa.RecordBatch:
+        bucket, low, node = (np.concatenate(x) for x in held)
         order = np.argsort(bucket, kind="stable")
-        bucket, low, node, size, parts = (x[order] for x in (bucket, low, node, size, parts))
+        bucket, low, node = bucket[order], low[order], node[order]
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         edges = [0, *cuts.tolist(), len(bucket)]
-        head, tail = (low >> U(8)).astype("<u4"), (low & U(255)).astype(np.uint8)
-        few = parts.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-        runs = [head[a:b].tobytes() + tail[a:b].tobytes() + node[a:b].tobytes() + size[a:b].astype("<u4").tobytes() + few[a:b].tobytes() for a, b in zip(edges, edges[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]], pa.int32()), pa.array(runs, pa.binary())], names=["bucket", "run"])
+        runs = [low[a:b].tobytes() + node[a:b].tobytes() for a, b in zip(edges, edges[1:])]
+        # What belongs to the sets is one run, in the negative of a range that its first set gives.
+        whose, kind, size, parts = (np.concatenate(x) for x in sets)
+        to = -1 - int(mix(whose[:1].view(np.uint64))[0] >> U(64 - bits))
+        runs.append(whose.tobytes() + size.astype("<u4").tobytes() + parts.astype("<u4").tobytes() + kind.astype(np.uint8).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(np.append(bucket[edges[:-1]], to), pa.int32()), pa.array(runs, pa.binary())], names=["bucket", "run"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, ...] = ([], [], [], [], [])
+        held: tuple[list, ...] = ([], [], [])
+        sets: tuple[list, ...] = ([], [], [], [])
         count, seen = 0, np.zeros(0, np.int64)
         for batch in slices(batches, "text", SLICE):
             value, row = shingles(*flat_bytes(batch.column(0)))
@@ -286,36 +296,48 @@ def shared_keys(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray, bits: in
             fresh &= ~np.isin(node, seen) & (size > 0)
             seen = np.union1d(seen, node)
             keep = fresh[row]
-            key, owner, kind, parts = join_keys(value[keep], row[keep], np.where(fresh, size, 0), frequent)
+            key, owner, kind, _ = join_keys(value[keep], row[keep], np.where(fresh, size, 0), frequent)
             bucket = (key >> U(64 - bits)).astype(np.int64)
-            # Below the range's own bits 40 more tell keys apart; a chance meeting only costs a comparison.
-            low = (key << U(bits)) >> U(24)
+            low = (key << U(bits)) >> U(64 - KEY_BITS)
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
                 often = hot[at] == key
                 bucket[often] = (1 << bits) | (mix(node[owner[often]].view(np.uint64)) >> U(64 - bits)).astype(np.int64)
                 low[often] = at[often]
-            packed = np.minimum(parts, MANY_PARTS).astype(np.uint32) << np.uint32(3) | kind.astype(np.uint32)
-            for part, x in zip(held, (bucket, low, node[owner], size[owner].astype(np.uint32), packed)):
+            low = low.astype("<u4") << np.uint32(3) | kind.astype(np.uint32)
+            # Keys of one set that are equal as they are sent are one.
+            whole = bucket.astype(np.uint64) << U(32) | low
+            if len(np.unique(mix(whole) + mix(owner.astype(np.uint64) + U(1)))) < len(whole):
+                once = np.unique(np.stack([owner.astype(np.uint64), whole]), axis=1, return_index=True)[1]
+                bucket, low, owner, kind = bucket[once], low[once], owner[once], kind[once]
+            parts = np.bincount(owner * 6 + kind, minlength=6 * batch.num_rows)
+            there = np.flatnonzero(parts)
+            for part, x in zip(held, (bucket, low, node[owner])):
                 part.append(x)
-            count += len(key)
+            for part, x in zip(sets, (node[there // 6], there % 6, size[there // 6], parts[there])):
+                part.append(x)
+            count += len(low)
             if count >= FLUSH_KEYS:
-                yield pack(*held)
-                held, count, seen = ([], [], [], [], []), 0, np.zeros(0, np.int64)
+                yield pack(held, sets)
+                held, sets, count, seen = ([], [], []), ([], [], [], []), 0, np.zeros(0, np.int64)
         if count:
-            yield pack(*held)
+            yield pack(held, sets)
+
+    def out(bucket: int, key: np.ndarray, node: np.ndarray, kind: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+        whole = -1 - key if bucket >> bits else np.int64(bucket) << KEY_BITS | key
+        none = pa.nulls(len(key), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(whole), pa.array(node), pa.array(kind), pa.array(many.astype(np.int32)), none, none], names=NAMES)
 
-    def out(bucket: int, key: np.ndarray, node: np.ndarray, size: np.ndarray, parts: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
-        whole = -1 - key if bucket >> bits else np.int64(bucket) << 40 | key
-        columns = (whole, node, size.astype(np.int64), (parts & 7).astype(np.int32), (parts >> 3).astype(np.int64), many.astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "node", "size", "kind", "parts", "many"])
+    def sets_of(run: bytes) -> pa.RecordBatch:
+        n = len(run) // 17
+        size, parts = (np.frombuffer(run, "<u4", n, at * n).astype(np.int64) for at in (8, 12))
+        kind = np.frombuffer(run, np.uint8, n, 16 * n).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(np.frombuffer(run, "<i8", n)), pa.array(kind), pa.nulls(n, pa.int32()), pa.array(size), pa.array(parts)], names=NAMES)
 
     def opened(run: bytes) -> tuple[np.ndarray, ...]:
-        n = len(run) // 20
-        few = np.zeros((n, 4), dtype=np.uint8)
-        few[:, :3] = np.frombuffer(run, np.uint8, 3 * n, 17 * n).reshape(n, 3)
-        low = np.frombuffer(run, "<u4", n).astype(np.int64) << 8 | np.frombuffer(run, np.uint8, n, 4 * n)
-        return low, np.frombuffer(run, "<i8", n, 5 * n), np.frombuffer(run, "<u4", n, 13 * n), few.view("<u4")[:, 0]
+        n = len(run) // 12
+        low = np.frombuffer(run, "<u4", n)
+        return (low >> np.uint32(3)).astype(np.int64), np.frombuffer(run, "<i8", n, 4 * n), (low & np.uint32(7)).astype(np.int32)
 
     def meet(bucket: int, held: list[tuple[np.ndarray, ...]], free: np.ndarray, last: bool) -> tuple[pa.RecordBatch | None, list[tuple[np.ndarray, ...]], np.ndarray]:
         """Rows of shared keys, the rows that wait for a partner, and the keys known to be shared (`free`), which no longer wait.
@@ -331,12 +353,12 @@ def shared_keys(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray, bits: in
         shared |= bool(bucket >> bits)
         several = order[same[1:] | same[:-1] | shared]
         alone = [] if last else order[~(same[1:] | same[:-1] | shared)]
-        key, node, size, parts = (c[several] for c in columns)
-        order = np.lexsort((node, key))
-        key, node, size, parts = key[order], node[order], size[order], parts[order]
+        key, node, kind = (c[several] for c in columns)
+        order = np.lexsort((kind, node, key))
+        key, node, kind = key[order], node[order], kind[order]
         new = np.ones(len(key), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        key, node, size, parts = key[new], node[new], size[new], parts[new]
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (kind[1:] != kind[:-1])
+        key, node, kind = key[new], node[new], kind[new]
         first = np.ones(len(key), dtype=bool)
         first[1:] = key[1:] != key[:-1]
         length = np.diff(np.append(np.flatnonzero(first), len(key)))
@@ -344,21 +366,24 @@ def shared_keys(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray, bits: in
         known = np.isin(key, free) | bool(bucket >> bits)
         if not last:
             wait = ~known & (many == 1)  # one set that was sent several times
-            alone = [np.concatenate([c[alone], x[wait]]) for c, x in zip(columns, (key, node, size, parts))]
+            alone = [np.concatenate([c[alone], x[wait]]) for c, x in zip(columns, (key, node, kind))]
             many[:] = HOT
-            key, node, size, parts, many = (x[~wait] for x in (key, node, size, parts, many))
+            key, node, kind, many = (x[~wait] for x in (key, node, kind, many))
             free = free if bucket >> bits else np.union1d(free, key)
         else:
             keep = known | (many > 1)
             many = np.where(known, HOT, many)
-            key, node, size, parts, many = (x[keep] for x in (key, node, size, parts, many))
-        return out(bucket, key, node, size, parts, many) if len(key) else None, [] if last or not len(alone[0]) else [tuple(alone)], free
+            key, node, kind, many = (x[keep] for x in (key, node, kind, many))
+        return out(bucket, key, node, kind, many) if len(key) else None, [] if last or not len(alone[0]) else [tuple(alone)], free
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         now, count, free = -1, 0, np.zeros(0, np.int64)
         for batch in batches:
             for i, bucket in enumerate(batch.column(0).to_pylist()):
+                if bucket < 0:
+                    yield sets_of(batch.column(1)[i].as_py())
+                    continue
                 if bucket != now:
                     if held and (found := meet(now, held, free, True)[0]) is not None:
                         yield found
@@ -374,17 +399,19 @@ def shared_keys(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray, bits: in
             yield found
 
     sent = docs.select("text").where("text is not null").mapInArrow(give_back(send), "bucket int, run binary")
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(give_back(receive), "key long, node long, size long, kind int, parts long, many int")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(give_back(receive), "key long, node long, kind int, many int, size long, parts long")
 
 
 def prune(keyed: DataFrame) -> DataFrame:
     """key, node, size, weight (the node's shared keys of the kind): its D + 1 rarest keys of a kind, those that no other node has (which aren't listed) counted first."""
-    each = keyed.where(F.col("many") < HOT).union(keyed.where(F.col("many") == HOT).distinct())
+    keys = keyed.select("key", "node", "kind", "many")
+    each = keys.where(F.col("many") < HOT).union(keys.where(F.col("many") == HOT).distinct())
+    each = each.join(keyed.where("key is null").select("node", "kind", "size", "parts").distinct(), ["node", "kind"])
     kind = W.partitionBy("node", "kind")
     most = F.when(F.col("kind") < 3, F.floor(F.col("size") / 4)).otherwise(F.floor(2 * F.col("size") / 9))
     rank, shared = F.row_number().over(kind.orderBy("many", "key")), F.count("*").over(kind)
     ranked = each.withColumns({"weight": shared, "rank": rank})
-    return ranked.where((F.col("rank") + F.col("parts") - F.col("weight") <= most + 1) | (F.col("parts") >= MANY_PARTS)).select("key", "node", "size", "weight")
+    return ranked.where(F.col("rank") + F.col("parts") - F.col("weight") <= most + 1).select("key", "node", "size", "weight")
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -437,11 +464,15 @@ def crossing_pairs(held: DataFrame, groups: DataFrame, sets: DataFrame, scratch:
 
     The nodes of a key meet in blocks of BLOCK rows, each pair of blocks in a place of its own, so that a key
     of any size is spread. Rows of its largest component meet the others only. Only pairs that pass the
-    bounds of sizes and bit sketches leave the block.
+    bounds of sizes and bit sketches leave the block. Keys of the same nodes (by their number and the sums of
+    both halves of their hashes) would give the same pairs: the least of them stands for all.
     """
     known = held.join(small(groups), "node").select("key", "node", "size", F.col("component").alias("group"))
-    rows = known.groupBy("key", "group").agg(F.count("*").alias("rows"))
-    per = rows.groupBy("key").agg(F.max(F.struct("rows", "group")).alias("top"), F.sum("rows").alias("all"), F.count("*").alias("groups")).where("groups > 1")
+    upper, lower = F.shiftrightunsigned(F.xxhash64("node"), 32), F.xxhash64("node").bitwiseAND(F.lit((1 << 32) - 1))
+    rows = known.groupBy("key", "group").agg(F.count("*").alias("rows"), F.sum(upper).alias("upper"), F.sum(lower).alias("lower"))
+    sums = [F.sum(c).alias(n) for c, n in (("rows", "all"), ("upper", "upper"), ("lower", "lower"))]
+    per = rows.groupBy("key").agg(F.max(F.struct("rows", "group")).alias("top"), *sums, F.count("*").alias("groups")).where("groups > 1")
+    per = per.groupBy("all", "upper", "lower").agg(F.min(F.struct("key", "top")).alias("one")).select("one.key", "one.top", "all")
     blocks = lambda n: F.ceil(n / BLOCK).cast("long")
     mixed = scratch.cut(per.select("key", F.col("top.group").alias("base"), blocks(F.col("top.rows")).alias("base_blocks"), blocks(F.col("all") - F.col("top.rows")).alias("blocks")), held.count())
     several = known.join(small(mixed), "key")
@@ -518,6 +549,7 @@ def link_groups(docs: DataFrame, scratch: Scratch, same_id: bool = False) -> tup
     frequent, hot = frequent_shingles_and_keys(nodes)
     source = docs.where("doc_id is not null") if same_id else docs
     keyed = scratch.cut(shared_keys(source, frequent, hot, bits, clashes))
+    scratch.clean()
     pruned = scratch.cut(prune(keyed), keyed.count())
     rows = pruned.count()
     rest, groups, sets = pruned, None, None
